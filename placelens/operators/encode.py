@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,25 +26,31 @@ class HashingEncoder:
 
     def __init__(self, dim: int = 384):
         self.dim = dim
+        self.known: dict[str, tuple[int, int]] = {}
+
+    def bucket(self, token: str) -> tuple[int, int]:
+        """Bucket and sign of a token; recent ones are remembered."""
+        found = self.known.get(token)
+        if found is None:
+            digest = hashlib.md5(token.encode()).hexdigest()
+            found = int(digest[:8], 16) % self.dim, 1 if digest[8] < "8" else -1
+            if len(self.known) >= 1 << 18:
+                self.known.clear()
+            self.known[token] = found
+        return found
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         rows = np.zeros((len(texts), self.dim))
         for row, text in zip(rows, texts):
             for token in _TOKEN.findall(text.lower()):
-                number, sign = _token_hash(token)
-                row[number % self.dim] += sign
+                at, sign = self.bucket(token)
+                row[at] += sign
         return rows
 
 
 _TOKEN = re.compile(r"\b\w\w+\b")
 
 
-@lru_cache(maxsize=1 << 18)
-def _token_hash(token: str) -> tuple[int, int]:
-    digest = hashlib.md5(token.encode()).hexdigest()
-    return int(digest[:8], 16), 1 if digest[8] < "8" else -1
-
-
 def encode(
     df: DataFrame,
     text: str,

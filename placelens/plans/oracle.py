@@ -252,9 +252,9 @@ SELECT a.query_id, any_value(a.query) AS query_user, any_value(a.clean) AS query
        count(r.id) AS jumlah_hasil, coalesce(arg_min(r.nama, r.rank), 'Tidak ditemukan') AS hasil_teratas"""
 
 LABEL_QUERIES = """means AS (
-  SELECT label, list(m ORDER BY at) AS mean FROM (
-    SELECT label, at, avg(x) AS m FROM (
-      SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS at FROM embeddings)
+  SELECT label, list(m ORDER BY dim) AS mean FROM (
+    SELECT label, dim, avg(x) AS m FROM (
+      SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings)
     GROUP BY 1, 2) GROUP BY 1),
 asked AS (
   SELECT label AS query_id, mean,
@@ -347,7 +347,7 @@ def owner(column: str) -> str:
 
 def buckets(column: str, dim: int, key: str, source: str) -> str:
     """Signed token counts per bucket."""
-    return f"""SELECT {key}, ('0x' || left(md5(token), 8))::UBIGINT % {dim} AS at,
+    return f"""SELECT {key}, ('0x' || left(md5(token), 8))::UBIGINT % {dim} AS bucket,
        sum(CASE WHEN substr(md5(token), 9, 1) < '8' THEN 1 ELSE -1 END) AS x
   FROM (SELECT {key}, unnest({token_list(column)}) AS token FROM {source}) GROUP BY ALL"""
 
@@ -392,18 +392,18 @@ q AS ({buckets('text', 384, 'item_id', 'benchmark')}),
 dn AS (SELECT source, sqrt(sum(x::DOUBLE * x)) AS n FROM d GROUP BY 1),
 qn AS (SELECT item_id, sqrt(sum(x::DOUBLE * x)) AS n FROM q GROUP BY 1),
 s AS (SELECT item_id AS query_id, source AS nama, round(sum(d.x::DOUBLE * q.x / dn.n / qn.n), 9) AS score
-      FROM q JOIN d USING (at) JOIN dn USING (source) JOIN qn USING (item_id) GROUP BY 1, 2),
+      FROM q JOIN d USING (bucket) JOIN dn USING (source) JOIN qn USING (item_id) GROUP BY 1, 2),
 ranked AS (SELECT query_id, nama, round(score, 6) AS similarity_score,
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, nama) AS posisi FROM s)
 SELECT * FROM ranked WHERE posisi <= 10""",
     "q15c_encode": f"""WITH b AS ({buckets('text', 16, 'conv_id, turn', 'conversations')}),
-grid AS (SELECT conv_id, turn, at FROM conversations, range(16) r(at))
-SELECT conv_id, turn, string_agg(coalesce(x, 0)::INTEGER::VARCHAR, ' ' ORDER BY at) AS v
-FROM grid LEFT JOIN b USING (conv_id, turn, at) GROUP BY 1, 2""",
+grid AS (SELECT conv_id, turn, bucket FROM conversations, range(16) r(bucket))
+SELECT conv_id, turn, string_agg(coalesce(x, 0)::INTEGER::VARCHAR, ' ' ORDER BY bucket) AS v
+FROM grid LEFT JOIN b USING (conv_id, turn, bucket) GROUP BY 1, 2""",
     "q16_unit_vectors": """WITH long AS (
-  SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS at FROM embeddings),
+  SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
 lengths AS (SELECT id, sqrt(sum(x * x)) AS n FROM long GROUP BY 1)
-SELECT id, round(n, 6) AS length, at::INTEGER AS at,
+SELECT id, round(n, 6) AS length, dim::INTEGER AS dim,
        round((CASE WHEN n > 0 THEN x / n ELSE 0 END)::FLOAT::DOUBLE, 5) AS x FROM long JOIN lengths USING (id)""",
     "q16b_label_cosine": f"""WITH {LABEL_QUERIES} SELECT vec_id AS id,
   round(list_cosine_similarity(mean, embedding::DOUBLE[]), 6) AS similarity FROM embeddings JOIN means USING (label)""",
@@ -471,11 +471,11 @@ SELECT page_id, error, CASE WHEN error IS NOT NULL THEN NULL WHEN contains(u, 'h
     + TITLE.format(name="""trim(c_mktsegment || '''s bumi-' || lower(c_name) || 'x ÉLAN ')""")
     + " AS name FROM customer",
     "q28_ingest_reviews": f"""WITH lines AS (
-  SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at
+  SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr
   FROM documents),
 kept AS (SELECT *, {strip('line')} AS t FROM lines),
 cards AS (SELECT doc_id, any_value(lang) AS lang, any_value(source) AS source,
-  string_agg(translate(t, chr(13), ' '), ' ' ORDER BY at) AS t FROM kept WHERE t <> '' AND NOT {owner('t')} GROUP BY 1)
+  string_agg(translate(t, chr(13), ' '), ' ' ORDER BY nr) AS t FROM kept WHERE t <> '' AND NOT {owner('t')} GROUP BY 1)
 SELECT DISTINCT CASE lang WHEN 'en' THEN '5' WHEN 'de' THEN '4' ELSE '0' END AS "Rating",
   length(source) || ' bulan lalu' AS "Waktu", t AS "Teks_Mentah" FROM cards WHERE t <> ''""",
     "q29_search_history": """SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS waktu, props AS query_user, event_type AS intent,

@@ -208,9 +208,9 @@ def q15c_encode(spark, folder):
 @query
 def q16_unit_vectors(spark, folder):
     vectors = R.vectors(spark, folder)
-    unit = build_vectors(vectors).select("id", F.posexplode("embedding").alias("at", "x"))
+    unit = build_vectors(vectors).select("id", F.posexplode("embedding").alias("dim", "x"))
     lengths = vectors.select("id", F.round(norm(F.col("embedding")), 6).alias("length"))
-    return unit.join(lengths, "id").select("id", "length", "at", F.round(F.col("x").cast("double"), 5).alias("x"))
+    return unit.join(lengths, "id").select("id", "length", "dim", F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
 @query

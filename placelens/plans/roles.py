@@ -234,7 +234,7 @@ def event_cards(events: DataFrame) -> DataFrame:
         F.array(F.concat("event_type", F.lit(" "), "props"), reply).alias("fragments"),
         F.concat((F.col("user_id") % 5 + 1).cast("string"), F.lit(" stars")).alias("rating_label"),
         F.concat((F.col("user_id") % 4 + 1).cast("string"), F.lit(" minggu lalu")).alias("time_label"),
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
     )
 
 

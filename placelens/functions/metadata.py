@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from placelens.functions import fixed_values as fixed
-from placelens.functions.text import trim_all
+from placelens.functions.text import let, trim_all
 
 PRICE_ITEMS = "array<struct<item:string,harga:double,kategori:string>>"
 
@@ -21,16 +21,18 @@ def minimum_price(text: Column) -> Column:
 
     Null for no list, an empty list or broken JSON; 0 where no item is required.
     """
-    items = price_items(text)
-    required = F.filter(items, lambda x: x["kategori"].isin(*fixed.REQUIRED_CATEGORIES))
-    total = F.aggregate(required, F.lit(0.0), lambda a, x: a + F.coalesce(x["harga"], F.lit(0.0)))
-    return F.when(F.size(items) > 0, total)
+    required = lambda x: x["kategori"].isin(*fixed.REQUIRED_CATEGORIES)
+    add = lambda total, x: total + F.coalesce(x["harga"], F.lit(0.0))
+    total = lambda items: F.when(
+        F.size(items) > 0, F.aggregate(F.filter(items, required), F.lit(0.0), add)
+    )
+    return let(price_items(text), total)
 
 
 def facility_list(text: Column) -> Column:
     """Trimmed, non-blank parts of a pipe-separated text; null if there are none."""
     parts = F.filter(F.transform(F.split(text, r"\|"), trim_all), lambda x: x != "")
-    return F.when(F.size(parts) > 0, parts)
+    return let(parts, lambda p: F.when(F.size(p) > 0, p))
 
 
 def facility_count(text: Column) -> Column:

@@ -6,14 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from placelens.functions import fixed_values as fixed
-from placelens.functions.text import contains_any, trim_all
+from placelens.functions.text import contains_any, let, trim_all
 
 
 def likely_owner(text: Column) -> Column:
     """True for answers by the owner: owner words without a visitor's pronoun, or a vowel-less stub."""
-    lowered = F.lower(text)
-    stub = (F.length(text) < 5) & ~lowered.rlike("[aeiou]")
-    owner = contains_any(lowered, fixed.OWNER_WORDS) & ~contains_any(lowered, fixed.VISITOR_PRONOUNS)
+    stub = (F.length(text) < 5) & ~F.lower(text).rlike("[aeiou]")
+    owner = let(
+        F.lower(text),
+        lambda t: contains_any(t, fixed.OWNER_WORDS) & ~contains_any(t, fixed.VISITOR_PRONOUNS),
+    )
     return F.coalesce(stub | owner, F.lit(False))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,29 +14,43 @@ WORD = r"\p{L}\p{N}_"
 BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trim_all(text: Column) -> Column:
     """Strip blanks of every kind, not only spaces."""
     return F.regexp_replace(text, f"^[{BLANK}]+|[{BLANK}]+$", "")
 
 
+def replace_where(sign: str, pattern: str, new: str) -> Callable[[Column], Column]:
+    """Regex replacement that is skipped for texts without the sign every match holds."""
+    return lambda text: F.when(
+        F.contains(text, F.lit(sign)), F.regexp_replace(text, pattern, new)
+    ).otherwise(text)
+
+
 def clean_text(text: Column) -> Column:
     """Review text without links, mentions, tags, odd signs and repeated marks; '' for null."""
-    steps = [
-        (rf"https?://[^{BLANK}]+", ""),
-        (rf"@[{WORD}]+", ""),
-        (rf"#[{WORD}]+", ""),
-        (rf"[^{WORD}{BLANK}.,!?'\"-]", " "),
-        (r"!+", "!"),
-        (r"\?+", "?"),
-        (r"\.+", "."),
+    guarded = [
+        replace_where("http", rf"https?://[^{BLANK}]+", ""),
+        replace_where("@", rf"@[{WORD}]+", ""),
+        replace_where("#", rf"#[{WORD}]+", ""),
+        # Blanks of every kind become spaces here too; runs of them are one space in the end.
+        lambda c: F.regexp_replace(c, rf"[^a-zA-Z0-9 .,!?'\"\-{WORD}]", " "),
+        replace_where("!!", r"!!+", "!"),
+        replace_where("??", r"\?\?+", "?"),
+        replace_where("..", r"\.\.+", "."),
     ]
-    cleaned = reduce(lambda c, step: F.regexp_replace(c, *step), steps, F.coalesce(text, F.lit("")))
-    return F.trim(F.regexp_replace(F.lower(cleaned), f"[{BLANK}]+", " "))
+    cleaned = reduce(let, guarded, F.coalesce(text, F.lit("")))
+    return F.trim(let(F.lower(cleaned), replace_where("  ", "  +", " ")))
 
 
 def clean_keywords(text: Column) -> Column:
     """Lower-case ASCII letters, digits and blanks only; everything else is deleted."""
-    return F.regexp_replace(F.lower(text), rf"[^a-z0-9{BLANK}]", "")
+    kept = F.regexp_extract_all(F.lower(text), F.lit(rf"([a-z0-9{BLANK}]+)"), 1)
+    return F.array_join(kept, "")
 
 
 def tokens(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from placelens.functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -18,12 +20,13 @@ def norm(a: Column) -> Column:
 
 def normalise(a: Column) -> Column:
     """Unit vector as float32; a zero vector stays zero."""
-    length = norm(a)
-    unit = lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0)).cast("float")
-    return F.transform(a, unit)
+    unit = lambda length: F.transform(
+        a, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0)).cast("float")
+    )
+    return let(norm(a), unit)
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0 if either vector is zero."""
-    lengths = norm(a) * norm(b)
-    return F.when(lengths > 0, dot(a, b) / lengths).otherwise(F.lit(0.0))
+    scaled = lambda lengths: F.when(lengths > 0, dot(a, b) / lengths).otherwise(F.lit(0.0))
+    return let(norm(a) * norm(b), scaled)

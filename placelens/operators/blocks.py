@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Scores are compared and returned at this precision, so that equal ones tie.
+# Scores are compared at this precision, so that equal ones tie.
 SCORE_DECIMALS = 9
 BLOCK_QUERIES = 1024
 BLOCK_BYTES = 64 << 20
@@ -36,16 +36,20 @@ class BestScores:
         """Scores as (queries, items); -inf marks an item that does not qualify."""
         if scores.size == 0:
             return
-        scores = np.round(scores, SCORE_DECIMALS)
-        k = min(self.k, scores.shape[1])
-        kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+        level = np.round(scores, SCORE_DECIMALS)
+        k = min(self.k, level.shape[1])
+        kth = np.partition(level, level.shape[1] - k, axis=1)[:, -k]
         floor = np.maximum(kth, self.floor)[:, None]
-        query, item = np.nonzero((scores >= floor) & (scores > -np.inf))
-        fresh = pd.DataFrame({"query": query, "score": scores[query, item], "id": ids[item]})
+        query, item = np.nonzero((level >= floor) & (level > -np.inf))
+        if len(query) == 0:
+            return
+        fresh = pd.DataFrame(
+            {"query": query, "level": level[query, item], "score": scores[query, item], "id": ids[item]}
+        )
         both = fresh if self.kept is None else pd.concat([self.kept, fresh])
-        both = both.sort_values(["query", "score", "id"], ascending=[True, False, True])
+        both = both.sort_values(["query", "level", "id"], ascending=[True, False, True])
         self.kept = both.groupby("query", sort=False).head(self.k)
-        full = self.kept.groupby("query")["score"].agg(["size", "min"])
+        full = self.kept.groupby("query")["level"].agg(["size", "min"])
         full = full[full["size"] == self.k]
         self.floor[full.index.to_numpy()] = full["min"].to_numpy()
 
@@ -118,7 +122,12 @@ def score_blocks(
             return best(query_table, [item_table])
 
         partial = left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInArrow(cell, schema)
-    return best_rows(partial, query_id, k, F.desc("score"), F.asc(item_id))
+    return best_rows(partial, query_id, k, *by_score(item_id))
+
+
+def by_score(item_id: str) -> tuple[Column, Column]:
+    """Best score first; equal ones by id."""
+    return F.desc(F.round("score", SCORE_DECIMALS)), F.asc(item_id)
 
 
 def best_rows(df: DataFrame, query_id: str, k: int, *order: Column) -> DataFrame:

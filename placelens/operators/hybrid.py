@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -25,7 +28,8 @@ MODEL_BYTES = 256 << 20
 def train_word_vectors(
     reviews: DataFrame, text: str = "teks_mentah", size: int = 100, min_count: int = 5, seed: int = 7, **options
 ) -> DataFrame:
-    """(word, vector) from Spark ML's Word2Vec; its vocabulary is bounded by min_count."""
+    """(word, vector) from Spark ML's Word2Vec; raise min_count to bound its vocabulary."""
+    options.setdefault("numPartitions", reviews.sparkSession.sparkContext.defaultParallelism)
     sentences = usable_reviews(reviews, text).select(words(clean_keywords(F.col(text))).alias("words"))
     model = Word2Vec(
         vectorSize=size, minCount=min_count, seed=seed, inputCol="words", outputCol="v", **options
@@ -33,33 +37,46 @@ def train_word_vectors(
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
-def mean_vectors(
-    texts: DataFrame, key: str, text: str, word_vectors: DataFrame, model_bytes: int = MODEL_BYTES
-) -> DataFrame:
-    """Adds `vector`: the mean of the vectors of a text's known words; zeros if it has none."""
+@dataclass
+class WordModel:
+    """Word vectors ready for use: shared with all workers if small enough, else as a table."""
+
+    dim: int
+    table: DataFrame
+    shared: Broadcast | None
+
+
+def load_words(word_vectors: DataFrame, model_bytes: int = MODEL_BYTES) -> WordModel | None:
+    """A model from (word, vector); None for an empty one."""
     rows, dim, chars = word_vectors.agg(
         F.count(F.lit(1)), F.max(F.size("vector")), F.sum(F.octet_length("word"))
     ).first()
     if not rows:
-        return texts.withColumn("vector", F.array(F.lit(0.0)))
-    if rows * dim * 8 + chars <= model_bytes:
-        return _mean_by_lookup(texts, text, word_vectors, dim)
+        return None
+    small = rows * dim * 8 + chars <= model_bytes
+    context = word_vectors.sparkSession.sparkContext
+    return WordModel(dim, word_vectors, context.broadcast(word_vectors.toArrow()) if small else None)
+
+
+def mean_vectors(texts: DataFrame, key: str, text: str, model: WordModel) -> DataFrame:
+    """Adds `vector`: the mean of the vectors of a text's known words; zeros if it has none."""
+    if model.shared is not None:
+        return _mean_by_lookup(texts, text, model.shared, model.dim)
     # Repeats of a word in a text are counted first, so each word meets its vector once.
     found = texts.select(key, F.explode(words(F.col(text))).alias("word")).groupBy(key, "word").count()
-    joined = skew_safe_join(found, word_vectors, "word", F.col(key))
-    spread = joined.select(key, "count", F.posexplode("vector").alias("at", "x"))
+    joined = skew_safe_join(found, model.table, "word", F.col(key))
+    spread = joined.select(key, "count", F.posexplode("vector").alias("dim", "x"))
     mean = F.sum(F.col("x") * F.col("count")) / F.sum("count")
-    per_dim = spread.groupBy(key, "at").agg(mean.alias("x"))
-    # A group is one text with `dim` numbers.
-    ordered = F.array_sort(F.collect_list(F.struct("at", "x")))
+    per_dim = spread.groupBy(key, "dim").agg(mean.alias("x"))
+    # A group is one text, with one number per dimension.
+    ordered = F.array_sort(F.collect_list(F.struct("dim", "x")))
     means = per_dim.groupBy(key).agg(F.transform(ordered, lambda p: p["x"]).alias("vector"))
-    zeros = F.array_repeat(F.lit(0.0), dim)
+    zeros = F.array_repeat(F.lit(0.0), model.dim)
     return texts.join(means, key, "left").withColumn("vector", F.coalesce("vector", zeros))
 
 
-def _mean_by_lookup(texts: DataFrame, text: str, word_vectors: DataFrame, dim: int) -> DataFrame:
-    """The whole model, of checked size, goes to every worker; the texts are not shuffled."""
-    shared = texts.sparkSession.sparkContext.broadcast(word_vectors.toArrow())
+def _mean_by_lookup(texts: DataFrame, text: str, shared: Broadcast, dim: int) -> DataFrame:
+    """The whole model, of checked size, is on every worker; the texts are not shuffled."""
     schema = T.StructType([*texts.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))])
 
     def average(batches):
@@ -68,13 +85,12 @@ def _mean_by_lookup(texts: DataFrame, text: str, word_vectors: DataFrame, dim: i
         vectors = np.vstack([matrix(table.column("vector")), np.zeros(dim)])
         for batch in batches:
             parts = [(t or "").split() for t in batch.column(text).to_pylist()]
-            row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            index = known.get_indexer([w for p in parts for w in p]) if len(row) else np.zeros(0, int)
-            row, index = row[index >= 0], index[index >= 0]
-            total = np.zeros((len(parts), dim))
-            np.add.at(total, row, vectors[index])
-            found = np.bincount(row, minlength=len(parts))[:, None]
-            means = np.divide(total, found, out=np.zeros_like(total), where=found > 0)
+            means = np.zeros((len(parts), dim))
+            for row, part in enumerate(parts):
+                index = known.get_indexer(part) if part else np.zeros(0, int)
+                index = index[index >= 0]
+                if len(index):
+                    means[row] = vectors[index].mean(axis=0)
             offsets = np.arange(0, dim * len(parts) + 1, dim, dtype=np.int32)
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(means.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "vector"])
@@ -113,11 +129,12 @@ def hybrid_search(
         "id", clean_keywords(F.col("teks_mentah")).alias("clean"), F.lower("nama").alias("name")
     )
     size = F.octet_length("clean") + 16
-    if word_vectors is not None:
-        asked = mean_vectors(asked, "query_id", "clean", word_vectors)
-        known = mean_vectors(known, "id", "clean", word_vectors)
+    model = load_words(word_vectors) if word_vectors is not None else None
+    if model is not None:
+        asked = mean_vectors(asked, "query_id", "clean", model)
+        known = mean_vectors(known, "id", "clean", model)
         size = size + 8 * F.size("vector")
-    scorer = hybrid_scorer(word_vectors is not None)
+    scorer = hybrid_scorer(model is not None)
     found = score_blocks(asked, known, scorer, 2 * k, "query_id", "id", size, **blocks)
     return place_results(found, reviews, k, 1)
 

@@ -44,13 +44,11 @@ def place_stats(reviews: DataFrame, rating: str = "Rating") -> DataFrame:
 
 def place_profiles(reviews: DataFrame, whole_chars: int = 4 << 20, docs_per_segment: int = 256) -> DataFrame:
     """All cleaned, non-empty reviews of a place joined by a space in Doc_ID order: (place, Segmen, Profil_Teks)."""
-    cleaned = reviews.filter(F.col(PLACE).isNotNull()).select(
-        PLACE, "Doc_ID", clean_text(F.col("Teks_Mentah")).alias("_text")
-    )
-    text = F.nullif(F.col("_text"), F.lit(""))
-    lists = assemble_lists(
-        cleaned, PLACE, "Doc_ID", text, F.length("_text"), whole_chars, docs_per_segment
-    )
+    rows = reviews.filter(F.col(PLACE).isNotNull()).select(PLACE, "Doc_ID", "Teks_Mentah")
+    text = F.nullif(clean_text(F.col("Teks_Mentah")), F.lit(""))
+    # Cleaning never makes a text longer to speak of, so the raw length bounds the size.
+    size = F.coalesce(F.length("Teks_Mentah"), F.lit(0))
+    lists = assemble_lists(rows, PLACE, "Doc_ID", text, size, whole_chars, docs_per_segment)
     return lists.select(PLACE, "Segmen", F.array_join("values", " ").alias("Profil_Teks"))
 
 

@@ -6,6 +6,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placelens.session import materialise
+
 # A side with at most this many rows may be broadcast.
 BROADCAST_ROWS = 10_000
 
@@ -79,7 +81,9 @@ def assemble_lists(
     the whole list in Segmen order, so no task ever holds all rows of a large key.
     """
     valued = df.select(key, F.col(order).alias("_order"), value.alias("_value"), size.alias("_size"))
-    totals = valued.groupBy(key).agg(F.sum("_size").alias("_total"), F.count(F.lit(1)).alias("_rows"))
+    totals = materialise(
+        valued.groupBy(key).agg(F.sum("_size").alias("_total"), F.count(F.lit(1)).alias("_rows"))
+    )
     place_in_order = F.coalesce("_order", F.pmod(F.xxhash64("_value"), F.lit(1 << 31)))
     tagged = skew_safe_join(
         valued, totals.drop("_rows"), key, place_in_order, "left", counts=totals.drop("_total")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placelens.functions.text import tokens
-from placelens.operators.blocks import best_rows, score_blocks
+from placelens.operators.blocks import best_rows, by_score, score_blocks
 from placelens.operators.skew import skew_safe_join
 from placelens.session import materialise
 
@@ -123,7 +123,7 @@ def place_results(found: DataFrame, reviews: DataFrame, k: int, decimals: int) -
     shown = reviews.select("id", "nama", "lokasi", "teks_mentah")
     # The windows see at most a few times k reviews per query.
     named = found.drop("posisi").join(shown, "id")
-    order = (F.desc("score"), F.asc("id"))
+    order = by_score("id")
     named = named.withColumn("_place", F.struct("query_id", "nama"))
     best = best_rows(named, "_place", 1, *order).drop("posisi", "_place")
     ranked = best_rows(best, "query_id", k, *order)

@@ -196,7 +196,7 @@ qtf AS (SELECT query_id, term, count(*) AS tf FROM
 qw AS (SELECT query_id, term, tf * idf AS w FROM qtf JOIN idf USING (term)),
 qlength AS (SELECT query_id, sqrt(sum(w * w)) AS n FROM qw GROUP BY 1),
 found AS (
-  SELECT query_id, id, round(sum((qw.w / ql.n) * (w.w / l.n)), 9) AS score
+  SELECT query_id, id, sum((qw.w / ql.n) * (w.w / l.n)) AS score
   FROM qw JOIN qlength ql USING (query_id) JOIN w USING (term) JOIN length l USING (id)
   GROUP BY 1, 2 HAVING sum((qw.w / ql.n) * (w.w / l.n)) >= 0.01),
 """
@@ -204,13 +204,13 @@ found AS (
 
 def ranked_places(cut: int, k: int, decimals: int) -> str:
     return f"""cut AS (
-  SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {cut}),
+  SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= {cut}),
 best AS (
   SELECT c.query_id, c.id, c.score, d.source AS nama, d.lang AS lokasi, d.text AS teks_mentah
   FROM cut c JOIN documents d ON d.doc_id = c.id
-  QUALIFY row_number() OVER (PARTITION BY c.query_id, d.source ORDER BY c.score DESC, c.id) = 1),
+  QUALIFY row_number() OVER (PARTITION BY c.query_id, d.source ORDER BY round(c.score, 9) DESC, c.id) = 1),
 results AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, nama, lokasi,
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank, id, nama, lokasi,
          teks_mentah, round(score * 100, {decimals}) AS skor_relevansi FROM best
   QUALIFY rank <= {k})"""
 
@@ -225,7 +225,7 @@ PHRASES = f"""WITH {MIXED}, scored AS (
   SELECT query_id, id, 0.3::DOUBLE * contains(k.clean, a.clean)::INT
          + 0.3::DOUBLE * contains(lower(k.source), a.clean)::INT AS raw
   FROM asked a, known k),
-found AS (SELECT query_id, id, round(raw, 9) AS score FROM scored WHERE raw > 0.01),
+found AS (SELECT query_id, id, raw AS score FROM scored WHERE raw > 0.01),
 {ranked_places(40, 20, 1)}"""
 
 LANGS = ("de", "en", "es", "fr")
@@ -244,7 +244,7 @@ scored AS (
            / (sqrt({' + '.join(f'kv.{x} * kv.{x}' for x in LANGS)})
               * sqrt({' + '.join(f'av.{x} * av.{x}' for x in LANGS)})), 0.0) AS raw
   FROM asked a CROSS JOIN known k LEFT JOIN kv ON kv.id = k.id LEFT JOIN av ON av.query_id = a.query_id),
-found AS (SELECT query_id, id, round(raw, 9) AS score FROM scored WHERE raw > 0.01),
+found AS (SELECT query_id, id, raw AS score FROM scored WHERE raw > 0.01),
 {ranked_places(40, 20, 1)}"""
 
 SUMMARY = f"""{PHRASES}
@@ -266,8 +266,8 @@ asked AS (
 
 def nearest(k: int) -> str:
     return f"""{LABEL_QUERIES}, nearest AS (
-  SELECT query_id, id, similarity_score, row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC, id) AS posisi
-  FROM (SELECT query_id, vec_id AS id, round(list_cosine_similarity(mean, embedding::DOUBLE[]), 9) AS similarity_score
+  SELECT query_id, id, similarity_score, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity_score, 9) DESC, id) AS posisi
+  FROM (SELECT query_id, vec_id AS id, list_cosine_similarity(mean, embedding::DOUBLE[]) AS similarity_score
         FROM asked, embeddings) QUALIFY posisi <= {k})"""
 
 
@@ -391,10 +391,10 @@ SELECT query_id, id, round(similarity_score, 6) AS similarity_score, posisi FROM
 q AS ({buckets('text', 384, 'item_id', 'benchmark')}),
 dn AS (SELECT source, sqrt(sum(x::DOUBLE * x)) AS n FROM d GROUP BY 1),
 qn AS (SELECT item_id, sqrt(sum(x::DOUBLE * x)) AS n FROM q GROUP BY 1),
-s AS (SELECT item_id AS query_id, source AS nama, round(sum(d.x::DOUBLE * q.x / dn.n / qn.n), 9) AS score
+s AS (SELECT item_id AS query_id, source AS nama, sum(d.x::DOUBLE * q.x / dn.n / qn.n) AS score
       FROM q JOIN d USING (bucket) JOIN dn USING (source) JOIN qn USING (item_id) GROUP BY 1, 2),
 ranked AS (SELECT query_id, nama, round(score, 6) AS similarity_score,
-  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, nama) AS posisi FROM s)
+  row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, nama) AS posisi FROM s)
 SELECT * FROM ranked WHERE posisi <= 10""",
     "q15c_encode": f"""WITH b AS ({buckets('text', 16, 'conv_id, turn', 'conversations')}),
 grid AS (SELECT conv_id, turn, bucket FROM conversations, range(16) r(bucket))

@@ -31,7 +31,7 @@ from placelens.operators.tfidf import tfidf_search
 from placelens.operators.vector_search import attach_metadata, build_vectors, vector_topk
 from placelens.plans import roles as R
 from placelens.plans.recommend import recommend, run_evaluation
-from placelens.session import run_folder
+from placelens.session import materialise, run_folder
 from placelens.sources import schemas
 from placelens.streaming.ingest import start_ingest
 from placelens.streaming.merge import read_corpus, start_merge
@@ -47,7 +47,7 @@ def query(function: Query) -> Query:
 
 @query
 def q01_clean_text(spark, folder):
-    return R.table(spark, folder, "documents").select("doc_id", clean_text(F.col("text")).alias("clean"))
+    return R.documents(spark, folder).select("doc_id", clean_text(F.col("text")).alias("clean"))
 
 
 @query
@@ -161,9 +161,8 @@ def q13_tfidf_search(spark, folder):
 
 @query
 def q14_hybrid_search(spark, folder):
-    return hybrid_search(
-        R.mixed_queries(spark, folder), R.search_reviews(spark, folder), R.language_vectors(spark, folder)
-    )
+    model = materialise(R.language_vectors(spark, folder))
+    return hybrid_search(R.mixed_queries(spark, folder), R.search_reviews(spark, folder), model)
 
 
 @query

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placelens.functions.text import clean_keywords, words
 from placelens.operators.encode import pool_vectors
+from placelens.sources.readers import spread_rows
 
 # Word lists over the invented languages of the given texts.
 ASPECTS = {
@@ -30,10 +32,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread_rows(table(spark, folder, "documents"), "doc_id")
+
+
 def reviews(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
+    texts = documents(spark, folder)
     labels = table(spark, folder, "labels").select("doc_id", "quality")
-    return documents.join(labels, "doc_id", "left").select(
+    return texts.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("Doc_ID"),
         F.col("source").alias("Nama_Tempat"),
         F.col("lang").alias("Lokasi"),
@@ -44,8 +50,8 @@ def reviews(spark: SparkSession, folder: str) -> DataFrame:
 
 def staging(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents once more, with padded place names, and all conversation turns."""
-    documents = table(spark, folder, "documents")
-    again = documents.join(table(spark, folder, "labels"), "doc_id").select(
+    texts = documents(spark, folder)
+    again = texts.join(table(spark, folder, "labels"), "doc_id").select(
         F.col("doc_id").alias("Doc_ID"),
         F.concat(F.lit("  "), "source", F.lit("\t")).alias("Nama_Tempat"),
         F.col("lang").alias("Lokasi"),
@@ -115,7 +121,7 @@ def event_facilities(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def search_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("nama"),
         F.col("lang").alias("lokasi"),
@@ -138,9 +144,7 @@ def mixed_queries(spark: SparkSession, folder: str) -> DataFrame:
 
 def language_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """(word, vector): the share of a word's documents in each language."""
-    from placelens.functions.text import clean_keywords, words
-
-    found = table(spark, folder, "documents").select(
+    found = documents(spark, folder).select(
         "lang", F.explode(F.array_distinct(words(clean_keywords(F.col("text"))))).alias("word")
     )
     counts = found.groupBy("word").agg(
@@ -220,7 +224,7 @@ def user_turns(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_cards(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as scraped cards: one fragment per line."""
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         F.split("text", "\n").alias("fragments"),
         F.when(F.col("lang") == "en", F.lit("5 bintang")).when(F.col("lang") == "de", F.lit(" 4/5 ")).otherwise(F.lit("baik")).alias("rating_label"),
         F.concat(F.length("source"), F.lit(" bulan lalu ")).alias("time_label"),

@@ -35,7 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
         return current.rsplit("/", 1)[0]
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="placelens-")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="placelens-"))
+    return spark.sparkContext.getCheckpointDir().rsplit("/", 1)[0]
 
 
 def run_folder(spark: SparkSession) -> str:
@@ -44,8 +45,10 @@ def run_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage with a reliable checkpoint."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    """Compute once into a table of the shared folder.
+
+    This cuts the lineage, survives lost executors, and tells the optimizer the real size.
+    """
+    path = run_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -22,6 +22,15 @@ def read_table(spark: SparkSession, path: str, schema: str, kind: str | None = N
     return read_csv(spark, path, schema) if kind == "csv" else spark.read.schema(schema).parquet(path)
 
 
+def spread_rows(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table read in fewer parts than there are cores; larger tables stay as they are.
+
+    The key is unique, so the parts are even, and later groupings by it need no further shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_input_order(df: DataFrame, out: str = "seq") -> DataFrame:
     """Adds a number that grows in file order; apply right after reading."""
     return df.withColumn(out, F.monotonically_increasing_id())

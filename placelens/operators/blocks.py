@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from placelens.session import materialise
+
 # Scores are compared at this precision, so that equal ones tie.
 SCORE_DECIMALS = 9
 BLOCK_QUERIES = 1024
@@ -78,6 +80,8 @@ def score_blocks(
     """The k best items per query as (query_id, item_id, score, posisi).
 
     `scorer(queries)` returns a function from an item table to a score matrix.
+    The result is computed here and kept as a table, so that a join to it knows
+    how few rows it has, and need not shuffle the table it looks up.
     """
     schema = T.StructType(
         [queries.schema[query_id], items.schema[item_id], T.StructField("score", T.DoubleType())]
@@ -99,6 +103,7 @@ def score_blocks(
                 kept.offer(score(part), part.column(item_id).to_numpy())
         return kept.table(query_table.column(query_id), out)
 
+    queries = materialise(queries)
     rows, size = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(query_bytes), F.lit(0))).first()
     if rows <= max_queries and size <= max_bytes:
         shared = items.sparkSession.sparkContext.broadcast(queries.toArrow())
@@ -122,7 +127,7 @@ def score_blocks(
             return best(query_table, [item_table])
 
         partial = left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInArrow(cell, schema)
-    return best_rows(partial, query_id, k, *by_score(item_id))
+    return materialise(best_rows(partial, query_id, k, *by_score(item_id)))
 
 
 def by_score(item_id: str) -> tuple[Column, Column]:

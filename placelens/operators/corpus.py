@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from placelens.functions import fixed_values as fixed
 from placelens.functions.scraped import likely_owner, rating_label, time_label
 from placelens.functions.text import flatten_lines, trim_all
-from placelens.operators.skew import dense_index, unique_rows
+from placelens.operators.skew import dense_index, first_rows
+from placelens.session import materialise
 
 SIGNATURE = ["Rating", "Waktu", "Teks_Mentah"]
 
@@ -47,21 +48,20 @@ def ingest_reviews(raw: DataFrame) -> DataFrame:
     return rows.select(*SIGNATURE).distinct()
 
 
-def combine(master: DataFrame | None, staging: DataFrame) -> DataFrame:
-    """Both tables under one another with `_order`: master rows first, each side by Doc_ID."""
+def combine(master: DataFrame | None, staging: DataFrame) -> tuple[DataFrame, int]:
+    """Both tables under one another with `_order`, and the last order number of the master.
+
+    Master rows come first, and each side is in the order of its Doc_ID.
+    """
     if master is None:
         master = staging.limit(0)
-    last = master.agg(F.max("Doc_ID")).first()[0]
-    first = staging.agg(F.min("Doc_ID")).first()[0]
-    shift = 0 if last is None or first is None else last + 1 - first
-    tagged = lambda df, by: df.withColumns(
-        {
-            "Nama_Tempat": trim_all(F.col("Nama_Tempat")),
-            "_new": F.lit(by is not None),
-            "_order": F.col("Doc_ID") + (by or 0),
-        }
+    last = master.agg(F.coalesce(F.max("Doc_ID"), F.lit(0))).first()[0]
+    first = staging.agg(F.coalesce(F.min("Doc_ID"), F.lit(0))).first()[0]
+    ordered = lambda df, shift: df.withColumns(
+        {"Nama_Tempat": trim_all(F.col("Nama_Tempat")), "_order": F.col("Doc_ID") + shift}
     )
-    return tagged(master, None).unionByName(tagged(staging, shift), allowMissingColumns=True)
+    both = ordered(master, 0).unionByName(ordered(staging, last + 1 - first), allowMissingColumns=True)
+    return both, last
 
 
 def merge_corpus(master: DataFrame | None, staging: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,16 +71,20 @@ def merge_corpus(master: DataFrame | None, staging: DataFrame) -> tuple[DataFram
     master before staging, then by Doc_ID (unique within each side). The counts
     are rows_before, rows_after, new_rows (their difference, which may be below
     zero if the master held copies) and inserted_rows (staging rows that stayed).
+
+    The rows that stay are found and numbered by hashes and numbers alone; the
+    texts move once, in the last join.
     """
-    rows = combine(master, staging)
-    kept = unique_rows(rows, [F.col("Nama_Tempat"), F.col("Teks_Mentah")], "_order")
+    rows, last = combine(master, staging)
+    kept = materialise(first_rows(rows, ["Nama_Tempat", "Teks_Mentah"], "_order"))
+    numbered = dense_index(kept, ["_order"], "Doc_ID")
     columns = [c for c in fixed.CORPUS_COLUMNS if c in rows.columns]
-    merged = dense_index(kept, ["_order"], "Doc_ID").select(*columns)
+    merged = rows.drop("Doc_ID").join(numbered, "_order").select(*columns)
     before = F.lit(0 if master is None else master.count()).cast("bigint")
     counts = kept.agg(
         before.alias("rows_before"),
         F.count(F.lit(1)).alias("rows_after"),
         (F.count(F.lit(1)) - before).alias("new_rows"),
-        F.count_if("_new").alias("inserted_rows"),
+        F.count_if(F.col("_order") > last).alias("inserted_rows"),
     )
     return merged, counts

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from placelens.functions import fixed_values as fixed
 from placelens.functions.metadata import facility_list, minimum_price
 from placelens.functions.text import clean_text, trim_all
-from placelens.operators.skew import assemble_lists
+from placelens.operators.skew import assemble_lists, skew_safe_join, with_segments
 
 PLACE = "Nama_Tempat"
 
@@ -80,7 +80,7 @@ def build_place_info(static: DataFrame, prices: DataFrame, facilities: DataFrame
     lists = price_lists(keyed(prices), order).join(
         facility_texts(keyed(facilities), order), [PLACE, "Segmen"], "full"
     )
-    joined = keyed(static).join(lists, PLACE, "left")
+    joined = with_segments(keyed(static), lists, PLACE)
     columns = [PLACE, "Segmen", "Photo_URL", "Gmaps_Link", "Waktu_Buka", "Price_Items", "Facilities"]
     return joined.select(*columns).fillna(
         {
@@ -120,16 +120,15 @@ def prepare_places(reviews: DataFrame, info: DataFrame, key: Column | None = Non
     )
     stats = place_stats(reviews).withColumn("_key", match())
     places = stats.join(single, "_key", "left")
-    lists = (
-        stats.select(PLACE, "_key")
-        .join(info.select("_key", "Segmen", "Price_Items", "Facilities"), "_key")
-        .withColumn("Facilities_List", facility_list(F.col("Facilities")))
-        .drop("_key")
+    listed = info.select("_key", "Segmen", "Price_Items", "Facilities")
+    lists = skew_safe_join(listed, stats.select(PLACE, "_key"), "_key", F.col("Segmen")).withColumn(
+        "Facilities_List", facility_list(F.col("Facilities"))
     )
-    # A place is a handful of segment rows, so these keys are not hot.
-    segments = place_profiles(reviews).join(lists, [PLACE, "Segmen"], "full")
+    segments = place_profiles(reviews).join(lists.drop("_key"), [PLACE, "Segmen"], "full")
     columns = [PLACE, "Segmen", *fixed.PLACE_COLUMNS[1:]]
-    return output_columns(segments.join(places.drop("_key"), PLACE), columns)
+    return output_columns(
+        skew_safe_join(segments, places.drop("_key"), PLACE, F.col("Segmen")), columns
+    )
 
 
 def place_metadata(places: DataFrame) -> DataFrame:

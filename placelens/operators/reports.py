@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from placelens.functions.metadata import PRICE_ITEMS, price_items
 from placelens.functions.text import trim_all
 from placelens.operators.hybrid import search_summary
-from placelens.operators.skew import assemble_lists, latest_value, skew_safe_join
+from placelens.operators.skew import assemble_lists, latest_value, skew_safe_join, with_segments
 
 LOG_COLUMNS = ["waktu", "query_user", "intent", "region", "jumlah_hasil", "hasil_teratas"]
 
@@ -70,7 +70,7 @@ def place_details(places: DataFrame, prices: DataFrame, facilities: DataFrame, o
         F.max(F.col("_named").isNotNull()).alias("_has_named"),
     )
     rename = lambda df: df.withColumnRenamed(key, "id")
-    joined = places.join(rename(held), "id", "left").join(rename(both), "id", "left")
+    joined = with_segments(places.join(rename(held), "id", "left"), rename(both), "id")
     no_prices = F.array().cast(PRICE_ITEMS)
     no_names = F.array().cast("array<string>")
     own_prices = F.coalesce(price_items(F.col("harga_json")), no_prices)

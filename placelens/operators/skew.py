@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from placelens.session import materialise
 
-# A side with at most this many rows may be broadcast.
+# A side with at most this many rows and bytes may be broadcast.
 BROADCAST_ROWS = 10_000
+BROADCAST_BYTES = 64 << 20
 
 
 def hot_keys(counts: DataFrame, key: str, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -17,6 +18,13 @@ def hot_keys(counts: DataFrame, key: str, rows: int, limit: int = BROADCAST_ROWS
     return counts.filter(F.col("_rows") * limit > rows).select(key)
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Counts rows and bytes, but never reads on beyond the row bound."""
+    width = F.octet_length(F.to_json(F.struct(*df.columns)))
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return n <= rows and total <= size
+
+
 def skew_safe_join(
     fact: DataFrame,
     dim: DataFrame,
@@ -26,14 +34,14 @@ def skew_safe_join(
     counts: DataFrame | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Join a fact table to a table with unique keys, whatever the share of the largest key.
+    """Join a fact table to a table with few rows per key, whatever the share of the largest key.
 
     A dim of checked size is broadcast. Beyond that, the hot keys (fewer than
     `broadcast_rows`, as their shares add up to 1) take their values from a
     broadcast, and their rows pass the shuffle spread over many partitions.
     `counts` is (key, _rows) if the caller has it already; `how` is inner or left.
     """
-    if dim.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if is_small(dim, broadcast_rows):
         return fact.join(F.broadcast(dim), key, how)
     if counts is None:
         counts = fact.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
@@ -142,12 +150,22 @@ def latest_value(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return per_value.groupBy(key).agg(F.max(F.struct("_order", value))[value].alias(value))
 
 
-def unique_rows(df: DataFrame, key: list[Column], order: str) -> DataFrame:
-    """One row per key: the one with the lowest order, which is unique in the table.
+def first_rows(df: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The lowest `order` (unique in the table) per key, as a table of one column.
 
-    Copies collapse before the shuffle, as only fixed-size hashes and numbers
-    are aggregated; the full rows then move once, spread by their unique order.
+    Copies collapse before the shuffle, and only fixed-size hashes and numbers move.
     """
-    digest = F.unhex(F.sha2(F.to_json(F.struct(*key), {"ignoreNullFields": "false"}), 256))
-    first = df.select(digest.alias("_digest"), order).groupBy("_digest").agg(F.min(order).alias(order))
-    return df.join(first.select(order), order, "left_semi")
+    keyed = df.select(row_digest(key).alias("_digest"), order)
+    return keyed.groupBy("_digest").agg(F.min(order).alias(order)).select(order)
+
+
+def row_digest(columns: list[str]) -> Column:
+    """Fixed-size key of some columns; nulls count as equal."""
+    return F.unhex(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
+
+
+def with_segments(dim: DataFrame, segments: DataFrame, key: str) -> DataFrame:
+    """Left join of a table to segment rows (key, Segmen, ...), of which one key may hold very many."""
+    found = skew_safe_join(segments, dim, key, F.col("Segmen"))
+    missing = dim.join(segments.select(key).distinct(), key, "left_anti")
+    return found.unionByName(missing, allowMissingColumns=True)

@@ -2,33 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from placelens.functions import fixed_values as fixed
 from placelens.functions.text import trim_all
-from placelens.operators.skew import dense_index, unique_rows
+from placelens.operators.skew import dense_index, row_digest
 from placelens.session import materialise
 
 KEY = ["Nama_Tempat", "Teks_Mentah"]
 ADDED = "batch BIGINT"
 
 
-def review_digest() -> Column:
-    """Fixed-size key of place and text; nulls count as equal."""
-    return F.sha2(F.to_json(F.struct(*KEY), {"ignoreNullFields": "false"}), 256)
-
-
 def merge_batch(known: DataFrame, batch: DataFrame) -> DataFrame:
     """The rows of a batch that are not in the corpus yet, numbered after its last Doc_ID.
 
     Rows already in the corpus keep their numbers.
     """
     trimmed = batch.withColumn("Nama_Tempat", trim_all(F.col("Nama_Tempat")))
-    fresh = unique_rows(trimmed, [F.col(c) for c in KEY], "Doc_ID").withColumn("_digest", review_digest())
-    seen = known.select(review_digest().alias("_digest")).distinct()
-    added = materialise(fresh.join(seen, "_digest", "left_anti").drop("_digest"))
+    digest = row_digest(KEY).alias("_digest")
+    first = trimmed.select(digest, "Doc_ID").groupBy("_digest").agg(F.min("Doc_ID").alias("Doc_ID"))
+    fresh = first.join(known.select(digest).distinct(), "_digest", "left_anti").select("Doc_ID")
+    added = materialise(trimmed.join(fresh, "Doc_ID", "left_semi"))
     last = known.agg(F.coalesce(F.max("Doc_ID"), F.lit(0))).first()[0]
     return dense_index(added, ["Doc_ID"], "Doc_ID", last + 1).select(*known.columns)
 

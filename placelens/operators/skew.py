@@ -11,18 +11,15 @@ from placelens.session import materialise
 # A side with at most this many rows and bytes may be broadcast.
 BROADCAST_ROWS = 10_000
 BROADCAST_BYTES = 64 << 20
+# A key with more than 1/HOT_SHARE of the rows is hot; fewer than HOT_SHARE keys can be.
+HOT_SHARE = 10_000
 
 
-def hot_keys(counts: DataFrame, key: str, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Keys holding more than 1/limit of the rows, from (key, _rows); fewer than `limit` can exist."""
-    return counts.filter(F.col("_rows") * limit > rows).select(key)
-
-
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+def is_small(df: DataFrame) -> bool:
     """Counts rows and bytes, but never reads on beyond the row bound."""
     width = F.octet_length(F.to_json(F.struct(*df.columns)))
-    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    return n <= rows and total <= size
+    n, size = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
 def skew_safe_join(
@@ -32,38 +29,39 @@ def skew_safe_join(
     spread: Column,
     how: str = "inner",
     counts: DataFrame | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Join a fact table to a table with few rows per key, whatever the share of the largest key.
 
     A dim of checked size is broadcast. Beyond that, the hot keys (fewer than
-    `broadcast_rows`, as their shares add up to 1) take their values from a
-    broadcast, and their rows pass the shuffle spread over many partitions.
+    HOT_SHARE, as their shares add up to 1) take their values from a broadcast,
+    and their rows pass the shuffle spread over many partitions.
     `counts` is (key, _rows) if the caller has it already; `how` is inner or left.
     """
-    if is_small(dim, broadcast_rows):
+    if is_small(dim):
         return fact.join(F.broadcast(dim), key, how)
     if counts is None:
         counts = fact.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
         rows = fact.count()
     else:
         rows = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
-    # With a small broadcast bound the number of hot keys stays small too.
-    hot = hot_keys(counts, key, rows, max(broadcast_rows, 1000))
+    hot = counts.filter(F.col("_rows") * HOT_SHARE > rows).select(key)
     values = [c for c in dim.columns if c != key]
     hot_dim = dim.join(F.broadcast(hot), key, "left_semi").select(
         key, F.struct(F.lit(1).alias("_hit"), *values).alias("_hot")
     )
+    # A hash of key and salt is the second join key: the optimizer would fold a bare constant salt away.
     cold_dim = dim.select(
-        key, F.lit(0).alias("_salt"), F.struct(F.lit(1).alias("_hit"), *values).alias("_cold")
+        key,
+        F.xxhash64(key, F.lit(0)).alias("_part"),
+        F.struct(F.lit(1).alias("_hit"), *values).alias("_cold"),
     )
     salt = F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(
         1 + F.pmod(F.xxhash64(spread), F.lit(4096)).cast("int")
     )
     joined = (
         fact.join(F.broadcast(hot_dim), key, "left")
-        .withColumn("_salt", salt)
-        .join(cold_dim, [key, "_salt"], "left")
+        .withColumn("_part", F.xxhash64(key, salt))
+        .join(cold_dim, [key, "_part"], "left")
         .withColumn("_found", F.coalesce("_hot", "_cold"))
     )
     if how == "inner":

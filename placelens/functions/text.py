@@ -69,7 +69,7 @@ def contains_any(text: Column, phrases: list[str]) -> Column:
 
 
 def flatten_lines(text: Column) -> Column:
-    return F.translate(text, "\n\r", "  ")
+    return F.replace(F.replace(text, F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" "))
 
 
 def title_name(name: Column) -> Column:
@@ -78,3 +78,21 @@ def title_name(name: Column) -> Column:
     runs = F.regexp_extract_all(safe, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
     capital = lambda run: F.concat(F.upper(F.substring(run, 1, 1)), F.lower(F.substr(run, F.lit(2))))
     return F.array_join(F.transform(runs, capital), "")
+
+
+# Days per unit of a time label.
+UNIT_DAYS = {
+    "detik|second|menit|minute|jam|hour": 0,
+    "hari|day": 1,
+    "minggu|week": 7,
+    "bulan|month": 30,
+    "tahun|year": 365,
+}
+
+
+def relative_date(label: Column, reference: Column) -> Column:
+    """Estimated date of a label such as '2 minggu lalu' or 'a week ago'; null if it names no unit."""
+    lowered = F.lower(label)
+    number = F.nullif(F.regexp_extract(lowered, r"(\d+)", 1), F.lit("")).cast("int")
+    days = F.coalesce(*[F.when(lowered.rlike(unit), F.lit(n)) for unit, n in UNIT_DAYS.items()])
+    return F.date_sub(reference, F.coalesce(number, F.lit(1)) * days)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placelens.functions import fixed_values as fixed
-from placelens.functions.scraped import likely_owner, rating_label, time_label
+from placelens.functions.scraped import hours_label, likely_owner, rating_label, time_label
 from placelens.functions.text import flatten_lines, trim_all
 from placelens.operators.skew import dense_index, first_rows
 from placelens.session import materialise
@@ -30,13 +30,26 @@ def review_rows(raw: DataFrame) -> DataFrame:
     visitor = F.filter(
         F.transform(F.col("fragments"), trim_all), lambda t: (t != "") & ~likely_owner(t)
     )
-    return raw.withColumns(
-        {
-            "Rating": rating_label(F.col("rating_label")),
-            "Waktu": time_label(F.col("time_label")),
-            "Teks_Mentah": flatten_lines(F.array_join(visitor, " ")),
-        }
-    ).filter(F.col("Teks_Mentah") != "").drop("fragments", "rating_label", "time_label")
+    joined = flatten_lines(F.array_join(visitor, " "))
+    # Exploding the text if it is not empty computes it once; a filter would compute it again.
+    kept = F.explode(F.filter(F.array(joined), lambda t: t != ""))
+    others = [c for c in raw.columns if c not in ("fragments", "rating_label", "time_label")]
+    return raw.select(
+        *others,
+        rating_label(F.col("rating_label")).alias("Rating"),
+        time_label(F.col("time_label")).alias("Waktu"),
+        kept.alias("Teks_Mentah"),
+    )
+
+
+def place_rows(raw: DataFrame) -> DataFrame:
+    """Static info rows from scraped (name, photo, url, hours), with defaults where a field is missing."""
+    return raw.select(
+        F.coalesce("name", F.lit(fixed.NO_NAME)).alias("Nama_Tempat"),
+        F.coalesce("photo", F.lit("")).alias("Photo_URL"),
+        F.col("url").alias("Gmaps_Link"),
+        hours_label(F.col("hours")).alias("Waktu_Buka"),
+    )
 
 
 def ingest_reviews(raw: DataFrame) -> DataFrame:

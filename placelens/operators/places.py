@@ -14,6 +14,7 @@ from placelens.functions import fixed_values as fixed
 from placelens.functions.metadata import facility_list, minimum_price
 from placelens.functions.text import clean_text, trim_all
 from placelens.operators.skew import assemble_lists, skew_safe_join, with_segments
+from placelens.session import materialise
 
 PLACE = "Nama_Tempat"
 
@@ -118,7 +119,7 @@ def prepare_places(reviews: DataFrame, info: DataFrame, key: Column | None = Non
         *[F.min(c).alias(c) for c in ("Photo_URL", "Gmaps_Link", "Waktu_Buka")],
         F.sum("_price").alias("Harga_Minimum"),
     )
-    stats = place_stats(reviews).withColumn("_key", match())
+    stats = materialise(place_stats(reviews).withColumn("_key", match()))
     places = stats.join(single, "_key", "left")
     listed = info.select("_key", "Segmen", "Price_Items", "Facilities")
     lists = skew_safe_join(listed, stats.select(PLACE, "_key"), "_key", F.col("Segmen")).withColumn(

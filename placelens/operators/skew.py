@@ -87,19 +87,19 @@ def assemble_lists(
     the whole list in Segmen order, so no task ever holds all rows of a large key.
     """
     valued = df.select(key, F.col(order).alias("_order"), value.alias("_value"), size.alias("_size"))
-    totals = materialise(
-        valued.groupBy(key).agg(F.sum("_size").alias("_total"), F.count(F.lit(1)).alias("_rows"))
-    )
+    totals = valued.groupBy(key).agg(F.sum("_size").alias("_total"), F.count(F.lit(1)).alias("_rows"))
+    # Few keys are large, mostly none, so marking their rows needs no shuffle as a rule.
+    large = materialise(totals.filter(F.col("_total") > whole_size))
     place_in_order = F.coalesce("_order", F.pmod(F.xxhash64("_value"), F.lit(1 << 31)))
-    tagged = skew_safe_join(
-        valued, totals.drop("_rows"), key, place_in_order, "left", counts=totals.drop("_total")
+    marked = skew_safe_join(
+        valued.drop("_size"), large.drop("_rows"), key, place_in_order, "left", counts=large.drop("_total")
     )
-    segment = F.when(F.col("_total") <= whole_size, F.lit(0).cast("bigint")).otherwise(
+    segment = F.when(F.col("_total").isNull(), F.lit(0).cast("bigint")).otherwise(
         F.floor(place_in_order / ids_per_segment)
     )
     collected = F.array_sort(F.collect_list(F.struct("_order", "_value")))
     return (
-        tagged.withColumn("Segmen", segment)
+        marked.withColumn("Segmen", segment)
         .groupBy(key, "Segmen")
         .agg(F.transform(collected, lambda x: x["_value"]).alias("values"))
     )

@@ -467,6 +467,14 @@ SELECT page_id, error, CASE WHEN error IS NOT NULL THEN NULL WHEN contains(u, 'h
   CASE event_id % 5 WHEN 2 THEN user_id || ' minggu lalu' ELSE '' END AS waktu,
   CASE event_id % 5 WHEN 0 THEN user_id || ' bintang' WHEN 1 THEN user_id || '/5' WHEN 2 THEN user_id || ' minggu lalu'
     WHEN 3 THEN 'Open ' || event_type ELSE 'Cek Gmaps' END AS buka FROM events""",
+    "q26c_place_rows": f"""SELECT coalesce(nullif(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), ''), {text(fixed.NO_NAME)})
+    AS "Nama_Tempat", CASE WHEN page_id % 3 > 0 THEN url || '/foto' ELSE '' END AS "Photo_URL", url AS "Gmaps_Link",
+  CASE WHEN page_id % 2 = 0 THEN 'Open 9 am' ELSE 'Cek Gmaps' END AS "Waktu_Buka" FROM pages""",
+    "q26d_relative_date": """SELECT event_id, CASE WHEN event_id % 6 < 5 THEN
+  (ts::DATE - (user_id * [0, 1, 7, 30, 365][event_id % 6 + 1])::INTEGER)::VARCHAR END AS tanggal FROM events""",
+    "q02d_weighted_rating": """WITH rated AS (SELECT o_orderpriority AS place, o_orderkey % 5 + 1.0::DOUBLE AS r,
+  exp(-0.001::DOUBLE * (DATE '2000-01-01' - o_orderdate::DATE)) AS w FROM orders)
+SELECT place AS "Nama_Tempat", round(sum(r * w) / sum(w), 6) AS "Rating_Berbobot" FROM rated GROUP BY 1""",
     "q27_title_name": "SELECT c_custkey, "
     + TITLE.format(name="""trim(c_mktsegment || '''s bumi-' || lower(c_name) || 'x ÉLAN ')""")
     + " AS name FROM customer",

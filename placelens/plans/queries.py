@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from placelens.functions import metadata as M
 from placelens.functions.scraped import hours_label, likely_owner, rating_label, repair_url, time_label
-from placelens.functions.text import clean_text, title_name
+from placelens.functions.text import clean_text, relative_date, title_name
 from placelens.functions.vectors import cosine, norm
 from placelens.operators import aspects as A
 from placelens.operators import places as P
 from placelens.operators import reports
-from placelens.operators.corpus import ingest_reviews, merge_corpus
+from placelens.operators.corpus import ingest_reviews, merge_corpus, place_rows
 from placelens.operators.encode import HashingEncoder, encode, encode_places
 from placelens.operators.evaluate import evaluate, mean_metrics
 from placelens.operators.hybrid import hybrid_search, search_summary, train_word_vectors
@@ -72,7 +72,7 @@ def _info(spark, folder):
 
 
 def _places(spark, folder):
-    return P.prepare_places(R.reviews(spark, folder), _info(spark, folder))
+    return P.prepare_places(R.reviews(spark, folder), materialise(_info(spark, folder)))
 
 
 @query
@@ -381,6 +381,36 @@ def q26b_labels(spark, folder):
     )
 
 
+@query
+def q26c_place_rows(spark, folder):
+    raw = R.table(spark, folder, "pages").select(
+        F.nullif(F.regexp_extract("html", r"<h1[^>]*>([^<]*)</h1>", 1), F.lit("")).alias("name"),
+        F.when(F.col("page_id") % 3 > 0, F.concat(F.col("url"), F.lit("/foto"))).alias("photo"),
+        "url",
+        F.when(F.col("page_id") % 2 == 0, F.lit("Open\u202f9\u202fam ")).alias("hours"),
+    )
+    return place_rows(raw)
+
+
+@query
+def q26d_relative_date(spark, folder):
+    units = F.array(*[F.lit(u) for u in ("menit lalu", "hari lalu", "minggu lalu", "months ago", "tahun lalu", "kemarin")])
+    label = F.concat(F.col("user_id"), F.lit(" "), F.get(units, (F.col("event_id") % 6).cast("int")))
+    date = relative_date(label, F.to_date("ts"))
+    return R.table(spark, folder, "events").select("event_id", date.cast("string").alias("tanggal"))
+
+
+@query
+def q02d_weighted_rating(spark, folder):
+    orders = R.table(spark, folder, "orders").select(
+        F.col("o_orderpriority").alias("Nama_Tempat"),
+        (F.col("o_orderkey") % 5 + 1.0).alias("Rating"),
+        F.to_date("o_orderdate").alias("Waktu"),
+    )
+    rated = P.weighted_rating(orders, F.lit("2000-01-01").cast("date"), 0.001)
+    return rated.withColumn("Rating_Berbobot", F.round("Rating_Berbobot", 6))
+
+
 @query
 def q27_title_name(spark, folder):
     customers = R.table(spark, folder, "customer")

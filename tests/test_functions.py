@@ -152,3 +152,9 @@ def test_intent(spark):
         "": "none",
     }
     assert run(spark, detect_intent, list(cases)) == list(cases.values())
+
+
+def test_relative_date(spark):
+    labels = ["2 minggu lalu", "seminggu lalu", "a month ago", "5 hours ago", "3 tahun lalu", "kemarin", None]
+    days = run(spark, lambda c: F.datediff(F.lit("2024-01-01").cast("date"), X.relative_date(c, F.lit("2024-01-01").cast("date"))), labels)
+    assert days == [14, 7, 30, 0, 1095, None, None]

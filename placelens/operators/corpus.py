@@ -61,6 +61,14 @@ def ingest_reviews(raw: DataFrame) -> DataFrame:
     return rows.select(*SIGNATURE).distinct()
 
 
+def with_unique_ids(df: DataFrame) -> DataFrame:
+    """The table itself if its Doc_IDs are unique; else one with ids in the order of the input rows."""
+    repeated = df.groupBy("Doc_ID").agg(F.count(F.lit(1)).alias("n"))
+    if repeated.filter(F.col("Doc_ID").isNull() | (F.col("n") > 1)).isEmpty():
+        return df
+    return materialise(df.withColumn("Doc_ID", F.monotonically_increasing_id()))
+
+
 def combine(master: DataFrame | None, staging: DataFrame) -> tuple[DataFrame, int]:
     """Both tables under one another with `_order`, and the last order number of the master.
 
@@ -68,6 +76,7 @@ def combine(master: DataFrame | None, staging: DataFrame) -> tuple[DataFrame, in
     """
     if master is None:
         master = staging.limit(0)
+    master, staging = with_unique_ids(master), with_unique_ids(staging)
     last = master.agg(F.coalesce(F.max("Doc_ID"), F.lit(0))).first()[0]
     first = staging.agg(F.coalesce(F.min("Doc_ID"), F.lit(0))).first()[0]
     ordered = lambda df, shift: df.withColumns(
@@ -81,9 +90,9 @@ def merge_corpus(master: DataFrame | None, staging: DataFrame) -> tuple[DataFram
     """The merged corpus numbered 1..n, and one row of counts.
 
     Rows with the same place and text count once, and the first one stays:
-    master before staging, then by Doc_ID (unique within each side). The counts
-    are rows_before, rows_after, new_rows (their difference, which may be below
-    zero if the master held copies) and inserted_rows (staging rows that stayed).
+    master before staging, then by Doc_ID. The counts are rows_before, rows_after,
+    new_rows (their difference, below zero if the master held many copies) and
+    inserted_rows (staging rows that stayed).
 
     The rows that stay are found and numbered by hashes and numbers alone; the
     texts move once, in the last join.

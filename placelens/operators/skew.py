@@ -117,13 +117,19 @@ def dense_index(
     *groups, last = order
     rows = df.count()
     buckets = rows // rows_per_bucket + 1
-    bucketed = df.withColumn("_bucket", F.lit(0.0))
+    if buckets == 1 and not groups:
+        number = F.row_number().over(Window.orderBy(last)) + (start - 1)
+        return df.withColumn("_n", number.cast("bigint")).select(
+            *[c for c in df.columns if c != out], F.col("_n").alias(out)
+        )
+    bucketed = df.withColumn("_bucket", F.lit(0))
     if buckets > 1:
         shares = [i / buckets for i in range(1, buckets)]
         cuts = df.agg(F.percentile_approx(last, shares, max(10_000, 20 * buckets))).first()[0]
         splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
         cutter = Bucketizer(splits=splits, inputCol="_last", outputCol="_bucket")
-        bucketed = cutter.transform(df.withColumn("_last", F.col(last).cast("double"))).drop("_last")
+        cut = cutter.transform(df.withColumn("_last", F.col(last).cast("double"))).drop("_last")
+        bucketed = cut.withColumn("_bucket", F.coalesce(F.col("_bucket").cast("int"), F.lit(-1)))
     parts = [*groups, "_bucket"]
     # One row per bucket, so this window stays small.
     before = Window.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
@@ -134,9 +140,10 @@ def dense_index(
         .drop("_rows")
     )
     inside = F.row_number().over(Window.partitionBy(*parts).orderBy(last))
+    # The rows already lie by bucket, so the join to the offsets does not move them again.
     return (
         bucketed.withColumn("_inside", inside)
-        .join(F.broadcast(offsets), parts)
+        .join(offsets, parts)
         .withColumn(out, F.col("_offset") + F.col("_inside") + (start - 1))
         .select(*[c for c in df.columns if c != out], out)
     )

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from placelens.functions import fixed_values as fixed
 from placelens.functions.text import trim_all
+from placelens.operators.corpus import with_unique_ids
 from placelens.operators.skew import dense_index, row_digest
 from placelens.session import materialise
 
@@ -20,7 +21,7 @@ def merge_batch(known: DataFrame, batch: DataFrame) -> DataFrame:
 
     Rows already in the corpus keep their numbers.
     """
-    trimmed = batch.withColumn("Nama_Tempat", trim_all(F.col("Nama_Tempat")))
+    trimmed = with_unique_ids(batch).withColumn("Nama_Tempat", trim_all(F.col("Nama_Tempat")))
     digest = row_digest(KEY).alias("_digest")
     first = trimmed.select(digest, "Doc_ID").groupBy("_digest").agg(F.min("Doc_ID").alias("Doc_ID"))
     fresh = first.join(known.select(digest).distinct(), "_digest", "left_anti").select("Doc_ID")

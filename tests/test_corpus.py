@@ -49,6 +49,14 @@ def test_merge_into_nothing(staging):
     assert counts.first()["rows_before"] == 0
 
 
+def test_merge_without_unique_ids(spark, master, staging):
+    for bad in (F.lit(7), F.lit(None).cast("long"), F.when(F.col("Doc_ID") < 4, F.col("Doc_ID"))):
+        merged, counts = merge_corpus(master, staging.coalesce(1).withColumn("Doc_ID", bad))
+        rows = merged.orderBy("Doc_ID").collect()
+        assert [(r["Doc_ID"], r["Waktu"]) for r in rows] == [(1, "a"), (2, "c"), (3, "d"), (4, "g"), (5, "i")]
+        assert counts.first()["inserted_rows"] == 2
+
+
 def test_merge_without_column(spark, master, staging):
     merged, _ = merge_corpus(master.drop("Lokasi"), staging.drop("Lokasi", "Waktu"))
     assert merged.columns == ["Doc_ID", "Nama_Tempat", "Rating", "Teks_Mentah", "Waktu"]

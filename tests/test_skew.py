@@ -70,6 +70,11 @@ def test_dense_index(spark, bucket):
     assert sorted(map(tuple, rows)) == expected
 
 
+def test_dense_index_keeps_a_missing_order(spark):
+    df = spark.createDataFrame([(None,), (4,), (2,), (9,)], "id long")
+    assert sorted(r["n"] for r in skew.dense_index(df, ["id"], "n", 1, 1).collect()) == [1, 2, 3, 4]
+
+
 def test_dense_index_of_nothing(spark):
     assert skew.dense_index(spark.range(0), ["id"], "n").count() == 0
 

@@ -8,9 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "12g") -> SparkSession:
+def local_session(
+    cpus: int | str = "*", partitions: int = 8, memory: str = "12g", settings: dict[str, str] | None = None
+) -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("placelens")
         .config("spark.ui.enabled", "false")
@@ -18,8 +20,8 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "12g
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
     )
+    return builder.config(map=settings or {}).getOrCreate()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,8 +42,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def run_folder(spark: SparkSession) -> str:
-    """A folder of this run alone inside the shared folder."""
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    """A new folder inside the shared one; all those of an application lie together, for later removal."""
+    return f"{shared_folder(spark)}/placelens-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:

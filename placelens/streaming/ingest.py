@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from placelens.operators.corpus import SIGNATURE, review_rows
+from placelens.operators.skew import row_digest
 
 
 def distinct_reviews(raw: DataFrame, event_time: str, delay: str) -> DataFrame:
     """Review rows whose (rating, time, text) was not seen within `delay`.
 
-    The watermark bounds the state; copies further apart pass and are caught by the merge.
+    The watermark bounds the state, which holds a hash per review and not its text.
+    Copies further apart pass and are caught by the merge.
     """
-    rows = review_rows(raw).withWatermark(event_time, delay)
-    return rows.dropDuplicatesWithinWatermark(SIGNATURE)
+    rows = review_rows(raw).withWatermark(event_time, delay).withColumn("_digest", row_digest(SIGNATURE))
+    return rows.dropDuplicatesWithinWatermark(["_digest"]).drop("_digest")
 
 
 def start_ingest(

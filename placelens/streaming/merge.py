@@ -13,31 +13,32 @@ from placelens.operators.skew import dense_index, row_digest
 from placelens.session import materialise
 
 KEY = ["Nama_Tempat", "Teks_Mentah"]
-ADDED = "batch BIGINT"
 
 
-def merge_batch(known: DataFrame, batch: DataFrame) -> DataFrame:
-    """The rows of a batch that are not in the corpus yet, numbered after its last Doc_ID.
+def digests(rows: DataFrame) -> DataFrame:
+    """One fixed-size hash per place and text; nulls count as equal."""
+    return rows.select(row_digest(KEY).alias("_digest")).distinct()
 
-    Rows already in the corpus keep their numbers.
+
+def merge_batch(seen: DataFrame, last: int, batch: DataFrame) -> DataFrame:
+    """The rows of a batch whose place and text are not among the seen digests, numbered after `last`.
+
+    Hashes find the new rows; only their texts are read again.
     """
     trimmed = with_unique_ids(batch).withColumn("Nama_Tempat", trim_all(F.col("Nama_Tempat")))
-    digest = row_digest(KEY).alias("_digest")
-    first = trimmed.select(digest, "Doc_ID").groupBy("_digest").agg(F.min("Doc_ID").alias("Doc_ID"))
-    fresh = first.join(known.select(digest).distinct(), "_digest", "left_anti").select("Doc_ID")
-    added = materialise(trimmed.join(fresh, "Doc_ID", "left_semi"))
-    last = known.agg(F.coalesce(F.max("Doc_ID"), F.lit(0))).first()[0]
-    return dense_index(added, ["Doc_ID"], "Doc_ID", last + 1).select(*known.columns)
+    keyed = trimmed.select(row_digest(KEY).alias("_digest"), "Doc_ID")
+    first = keyed.groupBy("_digest").agg(F.min("Doc_ID").alias("Doc_ID"))
+    fresh = materialise(first.join(seen, "_digest", "left_anti").select("Doc_ID"))
+    numbered = dense_index(fresh.withColumn("_order", F.col("Doc_ID")), ["_order"], "_number", last + 1)
+    rows = trimmed.join(numbered.drop("_order"), "Doc_ID").drop("Doc_ID")
+    return rows.withColumnRenamed("_number", "Doc_ID").select(*fixed.CORPUS_COLUMNS)
 
 
 def read_corpus(spark: SparkSession, master: str, added: str, before: int | None = None) -> DataFrame:
     """The master table and the rows added by batches, optionally only those before a batch."""
     base = spark.read.parquet(master).select(*fixed.CORPUS_COLUMNS)
-    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in base.schema)}, {ADDED}"
-    extra = spark.read.schema(schema).parquet(added)
-    if before is not None:
-        extra = extra.filter(F.col("batch") < before)
-    return base.unionByName(extra.drop("batch"))
+    extra = _batches(spark, added, base, before)
+    return base.unionByName(extra)
 
 
 def start_merge(
@@ -45,19 +46,25 @@ def start_merge(
 ) -> StreamingQuery:
     """Merge every batch of a staging stream.
 
-    A batch writes its own folder of the `added` table and reads only earlier
-    ones, so a batch that runs again after a failure gives the same rows once.
+    A batch writes its own folder of the `added` table, and of a table of
+    digests beside it, and reads only earlier ones; so a batch that runs again
+    after a failure gives the same rows once. The master is hashed when the
+    stream starts, not in every batch.
     """
     spark = staging.sparkSession
-    # An empty partition, so that the table can be read before the first batch.
-    spark.read.parquet(master).select(*fixed.CORPUS_COLUMNS).limit(0).write.mode("overwrite").parquet(
-        f"{added}/batch=-1"
-    )
+    keys = f"{added}_digests"
+    base = spark.read.parquet(master).select(*fixed.CORPUS_COLUMNS)
+    base.limit(0).write.mode("overwrite").parquet(f"{added}/batch=-1")
+    digests(base).write.mode("overwrite").parquet(f"{keys}/batch=-1")
 
     def merge(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        rows = merge_batch(read_corpus(session, master, added, number), batch)
-        rows.write.mode("overwrite").parquet(f"{added}/batch={number}")
+        corpus = read_corpus(session, master, added, number)
+        seen = _batches(session, keys, session.read.parquet(f"{keys}/batch=-1"), number)
+        last = corpus.agg(F.coalesce(F.max("Doc_ID"), F.lit(0))).first()[0]
+        merge_batch(seen, last, batch).write.mode("overwrite").parquet(f"{added}/batch={number}")
+        new = session.read.parquet(f"{added}/batch={number}")
+        digests(new).write.mode("overwrite").parquet(f"{keys}/batch={number}")
 
     return (
         staging.writeStream.foreachBatch(merge)
@@ -65,3 +72,10 @@ def start_merge(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def _batches(spark: SparkSession, path: str, like: DataFrame, before: int | None) -> DataFrame:
+    """A table written batch by batch, optionally only the batches before one."""
+    columns = [f"{f.name} {f.dataType.simpleString()}" for f in like.schema]
+    table = spark.read.schema(", ".join([*columns, "batch BIGINT"])).parquet(path)
+    return (table if before is None else table.filter(F.col("batch") < before)).drop("batch")

@@ -1,13 +1,16 @@
 from datetime import date, datetime
+from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from placelens import session
 from placelens.functions import fixed_values as fixed
 from placelens.operators.corpus import ingest_reviews, merge_corpus, split_owner_replies
 from placelens.sources import readers, schemas, sinks
 from placelens.streaming.ingest import start_ingest
-from placelens.streaming.merge import merge_batch, read_corpus, start_merge
+from placelens.streaming.merge import digests, merge_batch, read_corpus, start_merge
 
 MASTER = [
     (2, "Kali", "Sleman", 4.0, "sejuk", "a"),
@@ -98,7 +101,7 @@ def test_ingest_stream_equals_batch(spark, tmp_path):
 
 
 def test_merge_batch(master, staging):
-    rows = merge_batch(master, staging.drop("ekstra")).orderBy("Doc_ID").collect()
+    rows = merge_batch(digests(master), 9, staging.drop("ekstra")).orderBy("Doc_ID").collect()
     # The master's padded name does not match a trimmed one, as its rows stay untouched.
     assert [(r["Doc_ID"], r["Nama_Tempat"], r["Waktu"]) for r in rows] == [(10, "Kali", "g"), (11, None, "i")]
 
@@ -167,3 +170,17 @@ def test_sql_and_spread(spark):
     assert readers.spread_rows(df, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(0, 10, 1, 20)
     assert readers.spread_rows(many, "id") is many
+
+
+def test_shared_folder_is_the_configured_one(spark):
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.rglob("*.parquet"))
+    assert session.materialise(spark.range(3)).count() == 3
+    assert set(folder.rglob("*.parquet")) > before
+
+
+def test_a_cluster_needs_a_shared_folder():
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(bare)

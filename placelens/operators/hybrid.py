@@ -5,8 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
@@ -86,24 +86,26 @@ def mean_vectors(texts: DataFrame, key: str, text: str, model: WordModel) -> Dat
 def _mean_by_lookup(texts: DataFrame, text: str, shared: Broadcast, dim: int) -> DataFrame:
     """The whole model, of checked size, is on every worker; the texts are not shuffled."""
     schema = T.StructType([*texts.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))])
+    names = [f.name for f in schema.fields]
 
     def average(batches):
-        table = shared.value
-        known = pd.Index(table.column("word").to_pylist())
-        vectors = np.vstack([matrix(table.column("vector")), np.zeros(dim)])
+        known = shared.value.column("word").combine_chunks()
+        vectors = matrix(shared.value.column("vector"))
         for batch in batches:
-            parts = [(t or "").split() for t in batch.column(text).to_pylist()]
-            means = np.zeros((len(parts), dim))
-            for row, part in enumerate(parts):
-                index = known.get_indexer(part) if part else np.zeros(0, int)
-                index = index[index >= 0]
-                if len(index):
-                    means[row] = vectors[index].mean(axis=0)
-            offsets = np.arange(0, dim * len(parts) + 1, dim, dtype=np.int32)
+            split = batch.column("_words")
+            index = pc.index_in(split.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(split.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            means = np.zeros((len(ends), dim))
+            for row, part in enumerate(np.split(index, ends[:-1])):
+                part = part[part >= 0]
+                if len(part):
+                    means[row] = vectors[part].mean(axis=0)
+            offsets = np.arange(0, dim * len(means) + 1, dim, dtype=np.int32)
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(means.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "vector"])
+            kept = [batch.column(name) for name in names[:-1]]
+            yield pa.RecordBatch.from_arrays([*kept, column], names=names)
 
-    return texts.mapInArrow(average, schema)
+    return texts.withColumn("_words", words(F.col(text))).mapInArrow(average, schema)
 
 
 def hybrid_scorer(semantic: bool):

@@ -5,8 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,38 +71,35 @@ def build_tfidf(reviews: DataFrame, key: str = "id", text: str = "teks_mentah")
 
 def sparse_scorer(queries: pa.Table):
     """Scores of sparse unit vectors, as products over the terms of the queries."""
-    term, weight, row = _flat(queries)
-    known = pd.Index(pd.unique(term))
+    known = pc.unique(queries.column("terms").combine_chunks().flatten())
+
+    def entries(table: pa.Table) -> tuple[np.ndarray, ...]:
+        """Row, known term and weight of the entries of sparse vectors, without unknown terms."""
+        terms = table.column("terms").combine_chunks()
+        weights = table.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(terms)), terms.value_lengths().to_numpy(zero_copy_only=False))
+        term = pc.index_in(terms.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+        return row[term >= 0], term[term >= 0], weights[term >= 0]
+
+    row, term, weight = entries(queries)
     left = np.zeros((queries.num_rows, len(known)))
-    left[row, known.get_indexer(term)] = weight
+    left[row, term] = weight
+    # Enough texts at a time to keep their dense block within some 32 MB.
+    step = max(1, (4 << 20) // max(1, len(known)))
 
     def score(items: pa.Table) -> np.ndarray:
-        term, weight, row = _flat(items)
-        column = known.get_indexer(term)
-        seen = column >= 0
-        scores = np.full((len(left), items.num_rows), -np.inf)
-        # Enough texts at a time to keep their dense block within some 32 MB.
-        step = max(1, (4 << 20) // max(1, len(known)))
+        row, term, weight = entries(items)
+        scores = np.zeros((len(left), items.num_rows))
         for at in range(0, items.num_rows, step):
-            here = seen & (row >= at) & (row < at + step)
+            here = slice(*np.searchsorted(row, [at, at + step]))
             dense = np.zeros((min(step, items.num_rows - at), len(known)))
-            dense[row[here] - at, column[here]] = weight[here]
+            dense[row[here] - at, term[here]] = weight[here]
             scores[:, at : at + step] = left @ dense.T
         return np.where(scores >= MIN_SCORE, scores, -np.inf)
 
     return score
 
 
-def _flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Terms, weights and row numbers of all entries of a table of sparse vectors."""
-    terms = table.column("terms").combine_chunks()
-    weights = table.column("weights").combine_chunks()
-    lengths = terms.value_lengths().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(terms)), lengths)
-    flat_terms = terms.flatten().to_numpy(zero_copy_only=False)
-    return flat_terms, weights.flatten().to_numpy(zero_copy_only=False), row
-
-
 def tfidf_search(
     queries: DataFrame, reviews: DataFrame, k: int = 5, index: TfidfIndex | None = None, **blocks
 ) -> DataFrame:

@@ -264,11 +264,11 @@ asked AS (
   FROM means)"""
 
 
-def nearest(k: int) -> str:
+def nearest(k: int, vectors: str = "embeddings") -> str:
     return f"""{LABEL_QUERIES}, nearest AS (
   SELECT query_id, id, similarity_score, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity_score, 9) DESC, id) AS posisi
   FROM (SELECT query_id, vec_id AS id, list_cosine_similarity(mean, embedding::DOUBLE[]) AS similarity_score
-        FROM asked, embeddings) QUALIFY posisi <= {k})"""
+        FROM asked, {vectors}) QUALIFY posisi <= {k})"""
 
 
 META = """meta AS (
@@ -287,8 +287,8 @@ META = """meta AS (
                        FROM lineitem GROUP BY 1) ON l_partkey = p_partkey)"""
 
 
-def recommended(fetch: int, k: int) -> str:
-    return f"""{nearest(fetch)}, {META}, signals AS (
+def recommended(fetch: int, k: int, vectors: str = "embeddings") -> str:
+    return f"""{nearest(fetch, vectors)}, {META}, signals AS (
   SELECT n.*, m.* EXCLUDE (id), intent, lokasi_filter,
          (CASE p_size % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END)::DOUBLE AS items
   FROM nearest n JOIN meta m USING (id) JOIN asked USING (query_id)),
@@ -440,6 +440,8 @@ FROM asked a LEFT JOIN first f ON f.name = lower(a.asked) LEFT JOIN part p ON p.
 SELECT lookup, min(c_custkey) AS c_custkey FROM asked JOIN customer ON c_name ILIKE '%' || lookup || '%' GROUP BY 1""",
     "q21_location_filter": f"""WITH {recommended(30, 10)} SELECT query_id, rank, id, lokasi FROM results
 WHERE lokasi_filter = 'Semua Lokasi' OR contains(lower(lokasi), lower(lokasi_filter))""",
+    "q21b_recommend_in_location": f"""WITH {recommended(15, 5, "(SELECT e.* FROM embeddings e JOIN part ON p_partkey = vec_id WHERE lower(p_brand) LIKE '%brand#1%')")}
+SELECT query_id, rank, id, lokasi, final_score FROM results""",
     "q22_result_cards": f"""WITH {recommended(30, 10)} SELECT query_id, rank,
   CASE WHEN coalesce(harga_minimum, 0) = 0 THEN {text(fixed.NO_PRICE)}
        ELSE 'Rp ' || replace(format('{{:,}}', trunc(harga_minimum)::BIGINT), ',', '.') END AS harga_teks,

@@ -297,6 +297,14 @@ def q21_location_filter(spark, folder):
     return filter_location(results, F.col("lokasi_filter")).select("query_id", "rank", "id", "lokasi")
 
 
+@query
+def q21b_recommend_in_location(spark, folder):
+    results = recommend(
+        R.label_queries(spark, folder), R.vectors(spark, folder), R.place_metadata(spark, folder), 5, location="brand#1"
+    )
+    return results.select("query_id", "rank", "id", "lokasi", "final_score")
+
+
 @query
 def q22_result_cards(spark, folder):
     cards = result_cards(format_results(_recommended(spark, folder)))

@@ -58,6 +58,25 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"([{WORD}]{{2,}})"), 1)
 
 
+def term_counts(text: Column) -> Column:
+    """Distinct tokens of a text with their counts, as an array of (term, tf).
+
+    Equal tokens lie together once sorted, so counts are distances between the
+    starts of runs; all of it happens inside the row.
+    """
+
+    def counts(sorted_tokens: Column) -> Column:
+        at_start = lambda token, i: F.when((i == 0) | (token != F.get(sorted_tokens, i - 1)), i)
+        starts = F.array_compact(F.transform(sorted_tokens, at_start))
+        ends = lambda s: F.concat(F.slice(s, 2, F.size(s)), F.array(F.size(sorted_tokens)))
+        run = lambda start, end: F.struct(
+            F.get(sorted_tokens, start).alias("term"), (end - start).cast("bigint").alias("tf")
+        )
+        return let(starts, lambda s: F.when(F.size(s) > 0, F.zip_with(s, ends(s), run)))
+
+    return let(F.sort_array(tokens(text)), counts)
+
+
 def words(text: Column) -> Column:
     """Parts between blanks."""
     return F.filter(F.split(text, f"[{BLANK}]+"), lambda w: w != "")

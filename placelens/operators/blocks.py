@@ -138,7 +138,8 @@ def by_score(item_id: str) -> tuple[Column, Column]:
 def best_rows(df: DataFrame, query_id: str, k: int, *order: Column) -> DataFrame:
     """The first k rows per query, numbered in `posisi`."""
     position = F.row_number().over(Window.partitionBy(query_id).orderBy(*order))
-    return df.withColumn("posisi", position).filter(F.col("posisi") <= k)
+    best = df.withColumn("posisi", position).filter(F.col("posisi") <= k)
+    return best.withColumn("posisi", F.col("posisi").cast("bigint"))
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:

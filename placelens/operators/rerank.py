@@ -88,6 +88,7 @@ def rerank(
         .withColumn("final_score", F.round(final, 4))
         .withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)
+        .withColumn("rank", F.col("rank").cast("bigint"))
         .select(*candidates.columns, "intent", "price_score", "final_score", "rank")
     )
 

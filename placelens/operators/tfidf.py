@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelens.functions.text import tokens
+from placelens.functions.text import term_counts, tokens
 from placelens.operators.blocks import best_rows, by_score, score_blocks
 from placelens.operators.skew import skew_safe_join
 from placelens.session import materialise
@@ -39,8 +39,7 @@ def document_frequency(texts: DataFrame, text: str) -> DataFrame:
 
 def tfidf_vectors(texts: DataFrame, vocabulary: DataFrame, key: str, text: str) -> DataFrame:
     """(key, terms, weights): tf * idf of the known terms of a text, at length one."""
-    terms = texts.select(key, F.explode(tokens(F.col(text))).alias("term"))
-    counted = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = texts.select(key, F.inline(term_counts(F.col(text))))
     weighted = skew_safe_join(
         counted,
         vocabulary.select("term", "idf"),

@@ -158,3 +158,9 @@ def test_relative_date(spark):
     labels = ["2 minggu lalu", "seminggu lalu", "a month ago", "5 hours ago", "3 tahun lalu", "kemarin", None]
     days = run(spark, lambda c: F.datediff(F.lit("2024-01-01").cast("date"), X.relative_date(c, F.lit("2024-01-01").cast("date"))), labels)
     assert days == [14, 7, 30, 0, 1095, None, None]
+
+
+def test_term_counts(spark):
+    texts = ["danau pantai danau", "", "a b", None, "satu", "É é éé éé zz aa éé"]
+    got = run(spark, lambda c: F.map_from_entries(X.term_counts(c)), texts)
+    assert got == [{"danau": 2, "pantai": 1}, None, None, None, {"satu": 1}, {"aa": 1, "zz": 1, "éé": 3}]

@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from placelens.operators.blocks import score_blocks
 from placelens.operators.phrases import PhraseFinder
+from placelens.operators.skew import skew_safe_join
 
 
 def find_places(lookups: DataFrame, places: DataFrame, asked: str, name: str, key: str) -> DataFrame:
     """The first place (lowest key) per asked name, equal without regard to case, and a found flag."""
+    named = lookups.withColumn("_name", F.lower(asked))
     first = places.groupBy(F.lower(name).alias("_name")).agg(F.min(key).alias(key))
-    hit = lookups.withColumn("_name", F.lower(asked)).join(first, "_name", "left").drop("_name")
-    full = hit.join(places, key, "left")
+    # Each asked name is resolved once, however often it is asked for.
+    found = named.select("_name").distinct().join(first, "_name").join(places, key)
+    full = skew_safe_join(named, found, "_name", F.monotonically_increasing_id(), "left").drop("_name")
     return full.withColumn("found", F.col(key).isNotNull())
 
 

@@ -71,6 +71,22 @@ def skew_safe_join(
     )
 
 
+def look_up(found: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join of stored results to a table that may be far larger and has unique keys.
+
+    Results of checked size are broadcast, and the table is scanned where it
+    lies. Beyond that, the hot keys among the results (fewer than HOT_SHARE) are
+    broadcast with their values, and the optimizer is free in joining the rest.
+    """
+    if is_small(found):
+        return F.broadcast(found).join(table, key)
+    counts = found.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = F.broadcast(counts.filter(F.col("_rows") * HOT_SHARE > found.count()).select(key))
+    hot_table = F.broadcast(table.join(hot, key, "left_semi"))
+    rest = found.join(hot, key, "left_anti").join(table, key)
+    return found.join(hot, key, "left_semi").join(hot_table, key).unionByName(rest)
+
+
 def assemble_lists(
     df: DataFrame,
     key: str,
@@ -82,6 +98,8 @@ def assemble_lists(
 ) -> DataFrame:
     """Ordered list of values per key as (key, Segmen, values), in rows of bounded size.
 
+    `order` is a number that is unique within a key.
+
     A key whose sizes add up to at most `whole_size` gets one row, Segmen 0.
     A larger key gets one row per range of `order` values, which together hold
     the whole list in Segmen order, so no task ever holds all rows of a large key.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from placelens.functions.text import term_counts, tokens
 from placelens.operators.blocks import best_rows, by_score, score_blocks
-from placelens.operators.skew import skew_safe_join
+from placelens.operators.skew import look_up, skew_safe_join
 from placelens.session import materialise
 
 MIN_SCORE = 0.01
@@ -118,7 +118,7 @@ def place_results(found: DataFrame, reviews: DataFrame, k: int, decimals: int) -
     """Best review per query and place, then the k best places, with the whole review."""
     shown = reviews.select("id", "nama", "lokasi", "teks_mentah")
     # The windows see at most a few times k reviews per query.
-    named = found.drop("posisi").join(shown, "id")
+    named = look_up(found.drop("posisi"), shown, "id")
     order = by_score("id")
     named = named.withColumn("_place", F.struct("query_id", "nama"))
     best = best_rows(named, "_place", 1, *order).drop("posisi", "_place")

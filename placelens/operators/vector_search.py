@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from placelens.functions.vectors import normalise
 from placelens.operators.blocks import matrix, score_blocks, unit_rows
+from placelens.operators.skew import look_up
 
 
 def build_vectors(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
@@ -47,7 +48,7 @@ def vector_topk(
 def attach_metadata(candidates: DataFrame, places: DataFrame, item_id: str = "id") -> DataFrame:
     """Result rows with the place's metadata; rating and review count default to 0, the price stays null."""
     shown = {"rating_rata": F.lit(0.0), "jumlah_review": F.lit(0).cast("bigint")}
-    joined = candidates.join(places, item_id)
+    joined = look_up(candidates, places, item_id)
     filled = [
         F.coalesce(F.nanvl(F.col(c), F.lit(None)) if c == "rating_rata" else F.col(c), shown[c]).alias(c)
         if c in shown

@@ -78,7 +78,10 @@ def test_like(spark, blocks):
     assert {asked[r["q"]]: r["id"] for r in rows} == {"CAMP": 1, "kit": 3, "100%": 1, "1_0%5": 2, "": 1, "100": 1}
 
 
-def test_find_places(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_find_places(spark, small, request):
+    if not small:
+        request.getfixturevalue("no_broadcast")
     places = spark.createDataFrame([(3, "Bukit"), (1, "bukit"), (2, "Kali")], "id long, nama string")
     lookups = spark.createDataFrame([("BUKIT",), ("kali",), ("x",), (None,)], "asked string")
     rows = {r["asked"]: (r["id"], r["nama"], r["found"]) for r in find_places(lookups, places, "asked", "nama", "id").collect()}

@@ -25,6 +25,17 @@ def test_join_equals_plain_join(tables, no_broadcast, how, given):
     assert sorted(joined.collect(), key=key) == sorted(plain.collect(), key=key)
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_look_up_equals_plain_join(tables, small, request):
+    if not small:
+        request.getfixturevalue("no_broadcast")
+    fact, dim = tables
+    got, plain = skew.look_up(fact, dim, "k"), fact.join(dim, "k")
+    key = lambda r: r["id"]
+    assert got.columns == plain.columns
+    assert sorted(got.collect(), key=key) == sorted(plain.collect(), key=key)
+
+
 def test_hot_rows_spread(tables, no_broadcast, spark):
     fact, dim = tables
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -1,4 +1,91 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences: five stages, each written and read again.
 
-PIPELINE_QUERIES: dict = {}
-PIPELINE_ORACLE: dict = {}
+Every stage but the last returns the columns it was given. The last returns one
+row per piece of a document, with its place in a sequence.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from placelens.llm import mixing, near_dups, packing, quality, secrets, tokens
+from placelens.llm.common import materialise, read_table
+from placelens.llm.queries import fit_quality
+from placelens.session import run_folder
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality rules: documents that fail the base rules or the log-likelihood ratio go."""
+    judged = quality.judge_quality(docs, "doc_id", "text", fit_quality(spark, docs, sf_dir), carry=True)
+    return judged.filter("kept").select("_row.*")
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near-duplicates: of each group of linked documents (five words, 0.8) the one with the least id stays.
+
+    Documents are dropped by id. A document given twice (same id, same text) stays once.
+    """
+    found = near_dups.near_duplicates(docs, "doc_id", "text", words=5, percent=80)
+    kept = materialise(found.filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct())
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.struct("*").alias("_row"))
+    rows = rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    return rows.groupBy("_id", F.md5(F.coalesce("_text", F.lit("")))).agg(F.first("_row").alias("_row")).select("_row.*")
+
+
+def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scan: every document stays, each run of found characters becomes a mark; n_chars follows."""
+    ledger = secrets.Ledger(spark, f"{run_folder(spark)}/ledger")
+    secrets.update_ledger(docs, "text", ledger)
+    found = ledger.read(secrets.rules_version(secrets.RULES)).filter(F.size("spans") > 0)
+    found = found.groupBy("blob").agg(F.first("spans").alias("spans"))
+    blob = secrets.blob_id(secrets.text_of(F.col("text")))
+    rows = docs.select(blob.alias("blob"), F.col("text").alias("_text"), F.struct("*").alias("_row"))
+    clean = F.when(F.col("spans").isNull(), F.col("_text")).otherwise(secrets.redacted(F.col("_text"), F.col("spans")))
+    joined = rows.join(found, "blob", "left").withColumn("_clean", clean)
+
+    def column(name: str, kind: str) -> Column:
+        if name == "text":
+            return F.col("_clean").alias(name)
+        if name == "n_chars":
+            changed = F.col("spans").isNotNull()
+            return F.when(changed, F.length("_clean")).otherwise(F.col("_row")[name]).cast(kind).alias(name)
+        return F.col("_row")[name].alias(name)
+
+    return joined.select(*[column(name, kind) for name, kind in docs.dtypes])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: documents as often as their source's target takes them, in the order of training."""
+    return mixing.training_order(mixing.assign_positions(docs, "doc_id", "text", "source", carry=True))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing into sequences of at most 1024 tokens."""
+    return packing.pack_documents(docs, "doc_id", "text", tokens.tokenizer_path(tokens.BYTE_BPE))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", keep_good),
+    ("MinHash near-dedup", keep_one_of_each),
+    ("secret scans", blank_secrets),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, over the whole table of documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+# Tokenizing and hashing with xxHash have no SQL form; the tests compare with plain Python.
+ORACLE_SQL = None
+
+PIPELINE_QUERIES = {"pipeline": run}
+PIPELINE_ORACLE = {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}

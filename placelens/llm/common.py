@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from placelens.session import materialise
 
-__all__ = ["materialise", "ranked", "numbered", "read_table", "text_of", "words_of"]
+__all__ = ["hash_key", "materialise", "md5_key", "numbered", "ranked", "read_table", "text_of", "words_of"]
 
 # Rows that one window task sorts, about.
 ROWS_PER_BUCKET = 250_000
@@ -38,20 +38,39 @@ def words_of(text: Column) -> Column:
     return F.when(text.rlike(r"[\x09\x0B-\x0D]"), split(text, "\n\t\x0b\x0c\r")).otherwise(split(text, "\n"))
 
 
-def buckets_for(rows: int) -> int:
-    return max(LEAST_BUCKETS, rows // ROWS_PER_BUCKET + 1)
+def hash_key(*columns: Column) -> Column:
+    """A number of 63 bits, spread evenly."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 1)
 
 
-def ranked(df: DataFrame, group: str, key: str, buckets: int, size: str | None = None) -> DataFrame:
+def md5_key(text: Column) -> Column:
+    """As hash_key, from the first 15 hex digits of an MD5, which SQL engines share."""
+    return F.conv(F.left(F.md5(text), F.lit(15)), 16, 10).cast("bigint") * 8
+
+
+def bucket_bits(rows: int) -> int:
+    return max(LEAST_BUCKETS, rows // ROWS_PER_BUCKET + 1).bit_length()
+
+
+def ranked(
+    df: DataFrame,
+    group: str,
+    key: str,
+    rows: int,
+    size: str | None = None,
+    ties: list[str] | None = None,
+    per_group: DataFrame | None = None,
+) -> DataFrame:
     """Add `_rank`, the place of a row in its group from 0, and with `size` also `_before`, the sizes ahead of it.
 
-    Rows of a group are ordered by their `key`, a 64-bit hash, bucket by bucket:
-    a window never holds more than one bucket of a group, however large the
-    group is, and running sums over the bucket counts give the offsets. `df` is
-    read twice, so it should be stored; `group` holds no nulls.
+    Rows of a group are ordered by `key`, a number of 63 evenly spread bits, then
+    by `ties`. A window never holds more than one bucket of a group (the rows of
+    one range of keys), however large the group is, and running sums over the
+    bucket counts give the offsets. `df` is read twice, so it should be stored;
+    `group` holds no nulls. The columns of `per_group`, one row per group, come
+    along with the offsets, so its join does not gather a group either.
     """
-    bucket = F.shiftrightunsigned(F.col(key), 1) % buckets
-    dealt = df.withColumn("_bucket", bucket)
+    dealt = df.withColumn("_bucket", F.shiftright(key, 63 - bucket_bits(rows)))
     sized = F.sum(size) if size else F.lit(0).cast("bigint")
     sums = dealt.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"), sized.alias("_s"))
     ahead = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -61,24 +80,19 @@ def ranked(df: DataFrame, group: str, key: str, buckets: int, size: str | None =
         F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_n_ahead"),
         F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_s_ahead"),
     )
-    inside = Window.partitionBy(group, "_bucket").orderBy(*[c for c in dealt.columns if c == key], *_ties(dealt, key))
-    numbered_inside = dealt.withColumn("_inside", F.row_number().over(inside) - 1)
+    if per_group is not None:
+        offsets = offsets.join(per_group, group)
+    inside = Window.partitionBy(group, "_bucket").orderBy(key, *(ties or []))
+    out = dealt.withColumn("_inside", F.row_number().over(inside) - 1)
     if size:
         before = inside.rowsBetween(Window.unboundedPreceding, -1)
-        numbered_inside = numbered_inside.withColumn("_sum", F.coalesce(F.sum(size).over(before), F.lit(0)))
-    joined = numbered_inside.join(offsets, [group, "_bucket"])
-    out = joined.withColumn("_rank", F.col("_n_ahead") + F.col("_inside"))
+        out = out.withColumn("_sum", F.coalesce(F.sum(size).over(before), F.lit(0)))
+    out = out.join(offsets, [group, "_bucket"]).withColumn("_rank", F.col("_n_ahead") + F.col("_inside"))
     if size:
         out = out.withColumn("_before", F.col("_s_ahead") + F.col("_sum"))
     return out.drop("_bucket", "_n_ahead", "_s_ahead", "_inside", "_sum")
 
 
-def _ties(df: DataFrame, key: str) -> list[Column]:
-    """Rows of one hash are ordered by all their other simple columns."""
-    simple = {"bigint", "int", "string", "double", "boolean", "binary"}
-    return [F.col(c) for c, kind in df.dtypes if kind in simple and c not in (key, "_bucket")]
-
-
 def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """Number all rows 0, 1, ... by `order`: range partitions numbered each for itself, plus their offsets.
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placelens.llm import quality, tokens, urls
+from placelens.llm import fingerprints, languages, mixing, near_dups, packing, quality, secrets, sharding, tokens, urls
 from placelens.llm.common import read_table
+from placelens.session import run_folder
 
 URL_RULES = (
     urls.parse_rule("allow", "org/"),
@@ -21,6 +22,76 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(read_table(spark, folder, "pages"), "page_id", "url", URL_RULES)
 
 
+def op2_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    mixed = mixing.assign_positions(docs, "doc_id", "text", "source", mixing.CURRICULUM, 3)
+    return mixed.select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        "taken",
+        F.size("positions").alias("n_uses"),
+        F.round(F.get("positions", F.lit(0)), 9).alias("first_position"),
+    ).orderBy("first_position", "doc_id")
+
+
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return packing.pack_documents(docs, "doc_id", "text", tokens.tokenizer_path(tokens.BYTE_BPE), 1024, 2)
+
+
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = languages.fit_languages(docs, "doc_id", "text", "lang", ~held_out)
+    return languages.identify_languages(docs, "doc_id", "text", model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    ledger = secrets.Ledger(spark, f"{run_folder(spark)}/ledger")
+    found = secrets.find_secrets(read_table(spark, folder, "documents"), ["doc_id"], "text", ledger)
+    base = F.filter("spans", lambda s: s["rule"] < len(secrets.BASE_RULES))
+    counts = [
+        F.size(F.filter("spans", lambda s, i=i: s["rule"] == i)).cast("bigint").alias(f"n_{rule.kind}")
+        for i, rule in enumerate(secrets.BASE_RULES)
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secrets.spans_text(base), 256).alias("base_sha256"),
+        secrets.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
+def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return near_dups.near_duplicates(docs, "doc_id", "text", words=3, percent=85)
+
+
+def op7_uniform_shards(spark: SparkSession, folder: str) -> DataFrame:
+    shuffled = sharding.shuffle_to_shards(read_table(spark, folder, "documents"), "doc_id", "text", 16)
+    return shuffled.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    found = fingerprints.fingerprint_edits(read_table(spark, folder, "documents"), "doc_id", "text")
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprints.fingerprint(F.col("sketch")).alias("fingerprint"),
+        fingerprints.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        fingerprints.distinct_count(F.col("sketch")).alias("n_shingles"),
+    )
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     return tokens.count_tokens(docs, "doc_id", "text", tokens.tokenizer_path(tokens.BYTE_BPE), 1024)
@@ -39,5 +110,16 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 LLM_QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op9_token_counts, op10_quality_rules)
+    for f in (
+        op1_url_filter,
+        op2_source_mix,
+        op3_best_fit_packing,
+        op4_language_id,
+        op5_secret_scan,
+        op6_near_duplicates,
+        op7_uniform_shards,
+        op8_fingerprints,
+        op9_token_counts,
+        op10_quality_rules,
+    )
 }

@@ -20,7 +20,7 @@ from placelens.session import run_folder
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that fail the base rules or the log-likelihood ratio go."""
     judged = quality.judge_quality(docs, "doc_id", "text", fit_quality(spark, docs, sf_dir), carry=True)
-    return judged.filter("kept").select("_row.*")
+    return quality.keep_rows(judged)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

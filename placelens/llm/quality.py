@@ -10,8 +10,8 @@ from placelens.llm.common import materialise, text_of, words_of
 # Words in an n-gram, and hash buckets of the n-grams.
 NGRAM = 1
 BUCKETS = 65_536
-# Added to the count of each bucket in both multinomials.
-SMOOTHING = 1.0
+# Added to the count of each bucket in both multinomials, once the raw one is scaled to the trusted one's size.
+SMOOTHING = 5.0
 # A document is kept if its mean log ratio per n-gram, in nats, is at least this.
 THRESHOLD = -0.25
 # At most about this many trusted documents fit the target multinomial.
@@ -116,15 +116,25 @@ def fit_ratio(
     full = every.join(counts, "b", "left").select("b", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("r", F.lit(0)).alias("r"))
     # One row of bounded width: an entry per bucket.
     row = full.agg(F.array_sort(F.collect_list(F.struct("b", "t", "r"))).alias("all"), F.sum("t").alias("ts"), F.sum("r").alias("rs"))
-    extra = SMOOTHING * buckets
 
     def ratio(x: Column) -> Column:
-        trusted_share = (x["t"] + SMOOTHING) / (F.col("ts") + extra)
-        return F.log(trusted_share / ((x["r"] + SMOOTHING) / (F.col("rs") + extra)))
+        expected = F.coalesce(x["r"] * F.col("ts") / F.nullif(F.col("rs"), F.lit(0)), F.lit(0.0))
+        return F.log((x["t"] + SMOOTHING) / (expected + SMOOTHING))
 
     return materialise(row.select(F.transform("all", ratio).alias("ratios")))
 
 
+def keep_rows(judged: DataFrame) -> DataFrame:
+    """The carried rows that are kept.
+
+    The optimizer would push the filter through every step of the counts, and
+    copy their expressions each time; it leaves a projection with a
+    non-deterministic column in place, which the partition's number is to it.
+    """
+    held = judged.withColumn("_part", F.spark_partition_id())
+    return held.filter((F.col("_part") >= 0) & F.col("kept")).select("_row.*")
+
+
 def judge_quality(
     docs: DataFrame,
     id_column: str,

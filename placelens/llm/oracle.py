@@ -1,3 +1,144 @@
 """SQL for the registered queries of this subpackage, where SQL can express them."""
 
-LLM_ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+from placelens.llm.mixing import CURRICULUM, Schedule, integral
+from placelens.llm.queries import URL_RULES
+from placelens.llm.secrets import BASE_RULES, RULES, SecretRule
+from placelens.llm.urls import SOFT_LIMIT, SOFT_TERMS, STRICT_TERMS
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def url_sql() -> str:
+    rules = sorted(URL_RULES, key=lambda r: -len(r.text))
+    fits = {
+        r.text: f"((host = {quoted(r.host)} OR ends_with(host, {quoted('.' + r.host)})) AND starts_with(path, {quoted(r.path)}))"
+        for r in rules
+    }
+    rule = " ".join(f"WHEN {fits[r.text]} THEN {quoted(r.text)}" for r in rules)
+    verdict = " ".join(f"WHEN rule = {quoted(r.text)} THEN {quoted(r.verdict)}" for r in rules)
+
+    def found(term: str) -> str:
+        return f"regexp_matches(low, '(^|[^a-z0-9]){term}([^a-z0-9]|$)')"
+
+    strict = " + ".join(f"{found(t)}::INT" for t in STRICT_TERMS)
+    soft = " + ".join(f"{found(t)}::INT" for t in SOFT_TERMS)
+    weight = " + ".join(f"{found(t)}::INT * {w!r}::DOUBLE" for t, w in SOFT_TERMS.items())
+    return f"""
+    WITH split AS (
+        SELECT page_id,
+            coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
+            coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
+            coalesce(translate(url, '{UPPER}', '{LOWER}'), '') AS low
+        FROM pages
+    ), judged AS (
+        SELECT *, CASE {rule} END AS rule, ({strict}) AS strict_hits, ({soft}) AS soft_hits, ({weight}) AS soft_weight
+        FROM split
+    )
+    SELECT page_id, host, path, rule, strict_hits, soft_hits, soft_weight,
+        CASE {verdict} WHEN strict_hits > 0 OR soft_weight >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict
+    FROM judged
+    """
+
+
+def time_sql(schedule: Schedule, share: str) -> str:
+    whole, ahead, parts = integral(schedule), 0.0, []
+    for (a, v), (b, w) in zip(schedule, schedule[1:], strict=False):
+        slope = (w - v) / (b - a)
+        rest = f"greatest({share} * {whole!r}::DOUBLE - {ahead!r}::DOUBLE, 0)"
+        below = f"({v!r}::DOUBLE + sqrt(greatest({v * v!r}::DOUBLE + {2 * slope!r}::DOUBLE * {rest}, 0)))"
+        inside = f"least(CASE WHEN {below} > 0 THEN 2 * {rest} / {below} ELSE 0 END, {b - a!r}::DOUBLE)"
+        ahead += (b - a) * (v + w) / 2
+        parts.append(f"WHEN {share} * {whole!r}::DOUBLE < {ahead!r}::DOUBLE THEN {a!r}::DOUBLE + {inside}")
+    return f"CASE {' '.join(parts)} ELSE 1.0::DOUBLE END"
+
+
+def mix_sql() -> str:
+    n = len(CURRICULUM)
+    weight = " ".join(f"WHEN {i} THEN {integral(s)!r}::DOUBLE" for i, s in enumerate(CURRICULUM))
+    position = " ".join(f"WHEN {i} THEN {time_sql(s, 'share')}" for i, s in enumerate(CURRICULUM))
+    return f"""
+    WITH docs AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+            ('0x' || left(md5(coalesce(doc_id::VARCHAR, '')), 15))::BIGINT AS key
+        FROM documents
+    ), sums AS (
+        SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {n} AS turn
+        FROM docs GROUP BY source
+    ), sources AS (
+        SELECT *, CASE turn {weight} END AS weight FROM sums
+    ), filled AS (
+        SELECT 3 * source_size / weight AS room,
+            sum(3 * source_size) OVER upward AS held, sum(weight) OVER () - sum(weight) OVER upward AS weights,
+            row_number() OVER upward AS k, sum(source_size) OVER () AS total
+        FROM sources WINDOW upward AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)
+    ), levels AS (
+        SELECT 0 AS k, any_value(total)::DOUBLE / (SELECT sum(weight) FROM sources) AS level, min(room) AS room FROM filled
+        UNION ALL
+        SELECT k, (total - held)::DOUBLE / weights, lead(room) OVER (ORDER BY k) FROM filled WHERE weights > 0
+    ), chosen AS (
+        SELECT level FROM levels WHERE level <= room OR room IS NULL ORDER BY k LIMIT 1
+    ), targets AS (
+        SELECT source, source_size, turn, least(weight * level, 3.0::DOUBLE * source_size) AS target FROM sources, chosen
+    ), placed AS (
+        SELECT doc_id, size, source_size, target, turn, coalesce(sum(size) OVER (
+            PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+        FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+    ), passed AS (
+        SELECT *, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS passes FROM placed
+    ), used AS (
+        SELECT *, greatest(least(floor(target)::BIGINT - passes * source_size - before, size), 0) AS final,
+            before / target AS share
+        FROM passed
+    )
+    SELECT doc_id, size, source_size, target, passes * size + final AS taken,
+        (passes + (final > 0)::INT)::INT AS n_uses,
+        CASE WHEN passes > 0 OR final > 0 THEN round(CASE turn {position} END, 9) END AS first_position
+    FROM used
+    """
+
+
+def sql_pattern(rule: SecretRule) -> str:
+    """The rule's pattern with both cases of each keyword letter spelled out."""
+    head, mark, tail = rule.pattern.partition("(?i:")
+    if not mark:
+        return rule.pattern
+    inner, _, rest = tail.partition(")")
+    both = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in inner)
+    return f"{head}(?:{both}){rest}"
+
+
+def secret_sql() -> str:
+    columns, lists = [], []
+    for i, rule in enumerate(RULES):
+        pattern = quoted(sql_pattern(rule))
+        columns.append(f"regexp_extract_all(body, {pattern}) AS m{i}, string_split_regex(body, {pattern}) AS s{i}")
+        value = f"regexp_extract(m{i}[i], {pattern}, {rule.group})"
+        start = f"list_sum(list_transform(s{i}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m{i}[1:i - 1], lambda x: length(x))), 0)"
+        lists.append(
+            f"list_filter(list_transform(range(1, len(m{i}) + 1), lambda i: {{'start': {start}, 'rule': {i}, "
+            f"'kind': {quoted(rule.kind)}, 'size': length(m{i}[i]), 'valid': length({value}) >= {rule.least}}}), lambda x: x.valid)"
+        )
+    joined = "array_to_string(list_transform({0}, lambda x: x.kind || ':' || x.start::BIGINT || ':' || (x.start + x.size)::BIGINT), ',')"
+    base = f"list_filter(spans, lambda x: x.rule < {len(BASE_RULES)})"
+    counts = ", ".join(f"len(list_filter(spans, lambda x: x.rule = {i}))::BIGINT AS n_{r.kind}" for i, r in enumerate(BASE_RULES))
+    return f"""
+    WITH texts AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+    matched AS (SELECT doc_id, {", ".join(columns)} FROM texts),
+    found AS (SELECT doc_id, list_sort(flatten([{", ".join(lists)}])) AS spans FROM matched)
+    SELECT doc_id, {counts}, sha256(coalesce({joined.format(base)}, '')) AS base_sha256,
+        coalesce({joined.format("spans")}, '') AS spans
+    FROM found
+    """
+
+
+LLM_ORACLE: dict[str, str] = {
+    "op1_url_filter": url_sql(),
+    "op2_source_mix": mix_sql(),
+    "op5_secret_scan": secret_sql(),
+}

@@ -54,10 +54,7 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     ledger = secrets.Ledger(spark, f"{run_folder(spark)}/ledger")
     found = secrets.find_secrets(read_table(spark, folder, "documents"), ["doc_id"], "text", ledger)
     base = F.filter("spans", lambda s: s["rule"] < len(secrets.BASE_RULES))
-    counts = [
-        F.size(F.filter("spans", lambda s, i=i: s["rule"] == i)).cast("bigint").alias(f"n_{rule.kind}")
-        for i, rule in enumerate(secrets.BASE_RULES)
-    ]
+    counts = [secrets.count_of(F.col("spans"), i).alias(f"n_{r.kind}") for i, r in enumerate(secrets.BASE_RULES)]
     return found.select(
         "doc_id",
         *counts,

@@ -183,6 +183,10 @@ def find_secrets(
     return joined.select(*keys, F.col("_blob").alias("blob"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
+def count_of(spans: Column, rule: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["rule"] == rule)).cast("bigint")
+
+
 def spans_text(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from placelens.functions import fixed_values as fixed
 from placelens.functions.scraped import hours_label, likely_owner, rating_label, time_label
 from placelens.functions.text import flatten_lines, trim_all
-from placelens.operators.skew import dense_index, first_rows
+from placelens.operators.skew import dense_index, first_copies, with_places
 from placelens.session import materialise
 
 SIGNATURE = ["Rating", "Waktu", "Teks_Mentah"]
@@ -61,52 +61,46 @@ def ingest_reviews(raw: DataFrame) -> DataFrame:
     return rows.select(*SIGNATURE).distinct()
 
 
-def with_unique_ids(df: DataFrame) -> DataFrame:
-    """The table itself if its Doc_IDs are unique; else one with ids in the order of the input rows."""
-    repeated = df.groupBy("Doc_ID").agg(F.count(F.lit(1)).alias("n"))
-    if repeated.filter(F.col("Doc_ID").isNull() | (F.col("n") > 1)).isEmpty():
-        return df
-    return materialise(df.withColumn("Doc_ID", F.monotonically_increasing_id()))
+PLACES = ["_side", "_none", "_order", "_tie"]
+COPY = ["Nama_Tempat", "Teks_Mentah"]
 
 
-def combine(master: DataFrame | None, staging: DataFrame) -> tuple[DataFrame, int]:
-    """Both tables under one another with `_order`, and the last order number of the master.
-
-    Master rows come first, and each side is in the order of its Doc_ID.
-    """
+def combine(master: DataFrame | None, staging: DataFrame, order: str = "Doc_ID") -> DataFrame:
+    """Both tables under one another, names trimmed, with the digest and the place of each row."""
     if master is None:
         master = staging.limit(0)
-    master, staging = with_unique_ids(master), with_unique_ids(staging)
-    last = master.agg(F.coalesce(F.max("Doc_ID"), F.lit(0))).first()[0]
-    first = staging.agg(F.coalesce(F.min("Doc_ID"), F.lit(0))).first()[0]
-    ordered = lambda df, shift: df.withColumns(
-        {"Nama_Tempat": trim_all(F.col("Nama_Tempat")), "_order": F.col("Doc_ID") + shift}
+    sided = master.withColumn("_side", F.lit(0)).unionByName(
+        staging.withColumn("_side", F.lit(1)), allowMissingColumns=True
     )
-    both = ordered(master, 0).unionByName(ordered(staging, last + 1 - first), allowMissingColumns=True)
-    return both, last
+    return with_places(sided.withColumn("Nama_Tempat", trim_all(F.col("Nama_Tempat"))), COPY, order)
 
 
-def merge_corpus(master: DataFrame | None, staging: DataFrame) -> tuple[DataFrame, DataFrame]:
+def merge_corpus(master: DataFrame | None, staging: DataFrame, order: str = "Doc_ID") -> tuple[DataFrame, DataFrame]:
     """The merged corpus numbered 1..n, and one row of counts.
 
     Rows with the same place and text count once, and the first one stays:
-    master before staging, then by Doc_ID. The counts are rows_before, rows_after,
-    new_rows (their difference, below zero if the master held many copies) and
-    inserted_rows (staging rows that stayed).
+    master before staging, then by the column `order` (missing last), then by a
+    digest of the row. So which copy stays depends on the copies alone. Tables
+    whose ids say nothing take an order from readers.with_input_order. The counts
+    are rows_before, rows_after, new_rows (their difference, below zero if the
+    master held many copies) and inserted_rows (staging rows that stayed).
 
     The rows that stay are found and numbered by hashes and numbers alone; the
     texts move once, in the last join.
     """
-    rows, last = combine(master, staging)
-    kept = materialise(first_rows(rows, ["Nama_Tempat", "Teks_Mentah"], "_order"))
-    numbered = dense_index(kept, ["_order"], "Doc_ID")
+    rows = combine(master, staging, order)
+    kept = materialise(first_copies(rows, PLACES))
+    numbered = dense_index(kept, ["_side", "_none", "_order"], "_number", ties=("_tie",))
     columns = [c for c in fixed.CORPUS_COLUMNS if c in rows.columns]
-    merged = rows.drop("Doc_ID").join(numbered, "_order").select(*columns)
+    which = ["_digest", "_side", "_tie"]
+    # Rows that are alike in everything remain; the join has them side by side.
+    found = rows.join(numbered.select(*which, "_number"), which).dropDuplicates(which)
+    merged = found.drop("Doc_ID").withColumnRenamed("_number", "Doc_ID").select(*columns)
     before = F.lit(0 if master is None else master.count()).cast("bigint")
     counts = kept.agg(
         before.alias("rows_before"),
         F.count(F.lit(1)).alias("rows_after"),
         (F.count(F.lit(1)) - before).alias("new_rows"),
-        F.count_if(F.col("_order") > last).alias("inserted_rows"),
+        F.count_if(F.col("_side") == 1).alias("inserted_rows"),
     )
     return merged, counts

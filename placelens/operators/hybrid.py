@@ -8,8 +8,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,26 +23,6 @@ MIN_SCORE = 0.01
 MODEL_BYTES = 256 << 20
 
 
-def train_word_vectors(
-    reviews: DataFrame, text: str = "teks_mentah", size: int = 100, min_count: int = 5, seed: int = 7, **options
-) -> DataFrame:
-    """(word, vector) from Spark ML's Word2Vec, for words that occur min_count times.
-
-    The model lives on the driver, so a vocabulary beyond MODEL_BYTES is refused
-    before the training; a higher min_count makes it smaller.
-    """
-    options.setdefault("numPartitions", reviews.sparkSession.sparkContext.defaultParallelism)
-    sentences = usable_reviews(reviews, text).select(words(clean_keywords(F.col(text))).alias("words"))
-    counts = sentences.select(F.explode("words").alias("word")).groupBy("word").count()
-    known = counts.filter(F.col("count") >= min_count).count()
-    if known * size * 8 > MODEL_BYTES:
-        raise ValueError(f"{known} words of {size} numbers are too many for one model; raise min_count")
-    model = Word2Vec(
-        vectorSize=size, minCount=min_count, seed=seed, inputCol="words", outputCol="v", **options
-    ).fit(sentences)
-    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
-
-
 @dataclass
 class WordModel:
     """Word vectors ready for use: shared with all workers if small enough, else as a table."""

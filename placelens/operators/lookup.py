@@ -25,15 +25,21 @@ def find_places(lookups: DataFrame, places: DataFrame, asked: str, name: str, ke
 
 
 def like_scorer(pattern: str, name: str):
-    """1 where a name holds a pattern anywhere; % and _ in a pattern are wildcards, case does not count."""
+    """1 where a name holds a pattern anywhere; % and _ in a pattern are wildcards, the case of A-Z does not count.
+
+    A missing pattern is found nowhere.
+    """
+
+    def lower(text: str | None) -> str:
+        return "\0" if text is None else text.encode().lower().decode()
 
     def prepare(queries: pa.Table):
-        patterns = [p.lower() for p in queries.column(pattern).to_pylist()]
+        patterns = [lower(p) for p in queries.column(pattern).to_pylist()]
         plain = PhraseFinder([p if not _WILD.search(p) else "\0" for p in patterns])
         wild = {i: _regex(p) for i, p in enumerate(patterns) if _WILD.search(p)}
 
         def score(items: pa.Table) -> np.ndarray:
-            names = [None if n is None else n.lower() for n in items.column(name).to_pylist()]
+            names = [None if n is None else lower(n) for n in items.column(name).to_pylist()]
             found = plain.hits(names)
             for i, regex in wild.items():
                 found[i] = [n is not None and regex.search(n) is not None for n in names]

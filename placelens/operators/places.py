@@ -13,25 +13,28 @@ from pyspark.sql import functions as F
 from placelens.functions import fixed_values as fixed
 from placelens.functions.metadata import facility_list, minimum_price
 from placelens.functions.text import clean_text, trim_all
-from placelens.operators.skew import assemble_lists, skew_safe_join, with_segments
+from placelens.operators.skew import assemble_lists, row_digest, skew_safe_join, with_segments
 from placelens.session import materialise
 
 PLACE = "Nama_Tempat"
+# What an info row holds once, however many segments its lists have.
+ONCE = ["Photo_URL", "Gmaps_Link", "Waktu_Buka"]
 
 
 def place_stats(reviews: DataFrame, rating: str = "Rating") -> DataFrame:
-    """Mean rating, review count and first known location per place.
+    """Mean rating (missing and NaN ratings left out), review count and first known location per place.
 
     The first step groups by place and location, so that only numbers are
     aggregated and the rows of a large place combine before the shuffle.
     """
     known = F.when(F.col("Lokasi").isNotNull(), F.col("Doc_ID"))
+    rated = F.nanvl(F.col(rating).cast("double"), F.lit(None).cast("double"))
     per_location = (
         reviews.filter(F.col(PLACE).isNotNull())
         .groupBy(PLACE, "Lokasi")
         .agg(
-            F.sum(rating).alias("_sum"),
-            F.count(rating).alias("_rated"),
+            F.sum(rated).alias("_sum"),
+            F.count(rated).alias("_rated"),
             F.count("Doc_ID").alias("_reviews"),
             F.min(known).alias("_first"),
         )
@@ -107,7 +110,8 @@ def prepare_places(reviews: DataFrame, info: DataFrame, key: Column | None = Non
     """The place table with Segmen added to its twelve columns.
 
     Places come from the reviews; info joins on the exact name, or on `key`
-    (an expression over Nama_Tempat, such as lower case) where one is given.
+    (an expression over Nama_Tempat, such as lower case) where one is given. A
+    place with several info rows is listed with each of them, whole.
     """
     match = (lambda: F.col(PLACE)) if key is None else (lambda: key)
     if "Segmen" not in info.columns:
@@ -115,21 +119,23 @@ def prepare_places(reviews: DataFrame, info: DataFrame, key: Column | None = Non
     info = output_columns(
         info, [PLACE, "Segmen", "Photo_URL", "Gmaps_Link", "Waktu_Buka", "Price_Items", "Facilities"]
     ).withColumn("_key", match()).drop(PLACE)
-    single = info.withColumn("_price", minimum_price(F.col("Price_Items"))).groupBy("_key").agg(
-        *[F.min(c).alias(c) for c in ("Photo_URL", "Gmaps_Link", "Waktu_Buka")],
+    # The segments of one info row share its photo, link and hours; rows of a repeated name stay apart.
+    info = info.withColumn("_row", row_digest(ONCE))
+    single = info.withColumn("_price", minimum_price(F.col("Price_Items"))).groupBy("_key", "_row", *ONCE).agg(
         F.sum("_price").alias("Harga_Minimum"),
     )
+    ident = F.struct(PLACE, "_row").alias("_id")
     stats = materialise(place_stats(reviews).withColumn("_key", match()))
-    places = stats.join(single, "_key", "left")
-    listed = info.select("_key", "Segmen", "Price_Items", "Facilities")
-    lists = skew_safe_join(listed, stats.select(PLACE, "_key"), "_key", F.col("Segmen")).withColumn(
-        "Facilities_List", facility_list(F.col("Facilities"))
+    places = stats.join(single, "_key", "left").withColumn("_row", F.coalesce("_row", F.lit(b"")))
+    places = materialise(places.drop("_key").withColumn("_id", ident))
+    listed = info.select("_key", "_row", "Segmen", "Price_Items", "Facilities")
+    lists = skew_safe_join(listed, stats.select(PLACE, "_key"), "_key", F.col("Segmen")).select(
+        ident, "Segmen", "Price_Items", "Facilities", facility_list(F.col("Facilities")).alias("Facilities_List")
     )
-    segments = place_profiles(reviews).join(lists.drop("_key"), [PLACE, "Segmen"], "full")
+    profiles = skew_safe_join(place_profiles(reviews), places.select(PLACE, "_id"), PLACE, F.col("Segmen"))
+    segments = profiles.drop(PLACE).join(lists, ["_id", "Segmen"], "full")
     columns = [PLACE, "Segmen", *fixed.PLACE_COLUMNS[1:]]
-    return output_columns(
-        skew_safe_join(segments, places.drop("_key"), PLACE, F.col("Segmen")), columns
-    )
+    return output_columns(skew_safe_join(segments, places.drop("_row"), "_id", F.col("Segmen")), columns)
 
 
 def place_metadata(places: DataFrame) -> DataFrame:
@@ -138,13 +144,21 @@ def place_metadata(places: DataFrame) -> DataFrame:
 
 
 def check_places(places: DataFrame) -> DataFrame:
-    """Number of rows that break each rule of the place table: (rule, bad_rows)."""
+    """Number of places that break each rule of the place table: (rule, bad_rows); segments of a place count once."""
+    fine = F.coalesce(F.col("Rating_Rata").between(1.0, 5.0), F.lit(False))
+    per_segment = places.groupBy(PLACE, "Segmen").agg(F.count(F.lit(1)).alias("rows"))
+    per_place = places.groupBy(PLACE).agg(
+        F.max(F.coalesce(F.length("Profil_Teks"), F.lit(0))).alias("chars"),
+        F.min(fine).alias("rated"),
+        F.min(F.coalesce("Jumlah_Review", F.lit(0))).alias("reviews"),
+    )
     bad = lambda rule: F.coalesce(F.sum(F.when(rule, 1).otherwise(0)), F.lit(0)).cast("bigint")
-    checks = {
-        "distinct_places": F.count(F.lit(1)) - F.countDistinct(PLACE, "Segmen"),
-        "profile_not_empty": bad(F.col("Profil_Teks").isNull() | (F.col("Profil_Teks") == "")),
-        "rating_in_range": bad(~F.coalesce(F.col("Rating_Rata").between(1.0, 5.0), F.lit(False))),
-        "at_least_one_review": bad(F.coalesce("Jumlah_Review", F.lit(0)) < 1),
+    rules = {
+        "profile_not_empty": bad(F.col("chars") == 0),
+        "rating_in_range": bad(~F.col("rated")),
+        "at_least_one_review": bad(F.col("reviews") < 1),
     }
-    row = places.agg(*[value.alias(rule) for rule, value in checks.items()])
-    return row.unpivot([], list(checks), "rule", "bad_rows")
+    row = per_place.agg(*[value.alias(rule) for rule, value in rules.items()])
+    repeated = per_segment.agg(F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).cast("bigint").alias("bad_rows"))
+    first = repeated.select(F.lit("distinct_places").alias("rule"), "bad_rows")
+    return first.unionByName(row.unpivot([], list(rules), "rule", "bad_rows"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,11 +127,17 @@ def assemble_lists(
 
 
 def dense_index(
-    df: DataFrame, order: list[str], out: str, start: int = 1, rows_per_bucket: int = 1_000_000
+    df: DataFrame,
+    order: list[str],
+    out: str,
+    start: int = 1,
+    rows_per_bucket: int = 1_000_000,
+    ties: tuple[str, ...] = (),
 ) -> DataFrame:
     """Number all rows start, start+1, ... by `order`, without a window over the whole table.
 
-    The last order column is a number, unique within the ones before it. Rows
+    The last order column is a number, unique within the ones before it unless
+    `ties` orders the rest. Rows whose group is null are numbered first. Rows
     are numbered inside buckets cut at percentiles of that column; a running sum
     over the bucket counts gives each bucket its offset.
     """
@@ -136,7 +145,7 @@ def dense_index(
     rows = df.count()
     buckets = rows // rows_per_bucket + 1
     if buckets == 1 and not groups:
-        number = F.row_number().over(Window.orderBy(last)) + (start - 1)
+        number = F.row_number().over(Window.orderBy(last, *ties)) + (start - 1)
         return df.withColumn("_n", number.cast("bigint")).select(
             *[c for c in df.columns if c != out], F.col("_n").alias(out)
         )
@@ -157,13 +166,13 @@ def dense_index(
         .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
         .drop("_rows")
     )
-    inside = F.row_number().over(Window.partitionBy(*parts).orderBy(last))
+    inside = F.row_number().over(Window.partitionBy(*parts).orderBy(last, *ties))
+    numbered = bucketed.withColumn("_inside", inside)
+    same = reduce(and_, [numbered[c].eqNullSafe(offsets[c]) for c in parts])
     # The rows already lie by bucket, so the join to the offsets does not move them again.
-    return (
-        bucketed.withColumn("_inside", inside)
-        .join(offsets, parts)
-        .withColumn(out, F.col("_offset") + F.col("_inside") + (start - 1))
-        .select(*[c for c in df.columns if c != out], out)
+    return numbered.join(offsets, same).select(
+        *[numbered[c] for c in df.columns if c != out],
+        (F.col("_offset") + F.col("_inside") + (start - 1)).alias(out),
     )
 
 
@@ -173,13 +182,20 @@ def latest_value(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return per_value.groupBy(key).agg(F.max(F.struct("_order", value))[value].alias(value))
 
 
-def first_rows(df: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The lowest `order` (unique in the table) per key, as a table of one column.
+def with_places(df: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Add a digest of the key, and what places a row: a missing order comes last, ties go by a digest of the row."""
+    return df.withColumns(
+        {"_digest": row_digest(key), "_none": F.col(order).isNull(), "_order": F.col(order), "_tie": row_digest(df.columns)}
+    )
+
+
+def first_copies(df: DataFrame, places: list[str]) -> DataFrame:
+    """(digest, places) of the first row per digest.
 
     Copies collapse before the shuffle, and only fixed-size hashes and numbers move.
     """
-    keyed = df.select(row_digest(key).alias("_digest"), order)
-    return keyed.groupBy("_digest").agg(F.min(order).alias(order)).select(order)
+    first = df.groupBy("_digest").agg(F.min(F.struct(*places)).alias("_first"))
+    return first.select("_digest", "_first.*")
 
 
 def row_digest(columns: list[str]) -> Column:

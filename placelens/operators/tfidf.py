@@ -27,6 +27,17 @@ class TfidfIndex:
     vectors: DataFrame
 
 
+def search_table(reviews: DataFrame, places: DataFrame) -> DataFrame:
+    """Reviews (tempat_id, teks_mentah) with the columns of their place (id, nama, lokasi, ...), as the searches take them.
+
+    Reviews of an unknown place are left out, as are places without reviews;
+    places with very many reviews do not gather in one task.
+    """
+    named = places.withColumnRenamed("id", "tempat_id")
+    spread = F.xxhash64("teks_mentah")
+    return skew_safe_join(reviews, named, "tempat_id", spread)
+
+
 def usable_reviews(reviews: DataFrame, text: str) -> DataFrame:
     return reviews.filter(F.col(text).isNotNull() & (F.col(text) != ""))
 

@@ -171,13 +171,17 @@ def badges() -> str:
   FROM (SELECT "Nama_Tempat", count(*) AS n, {columns} FROM flags GROUP BY 1))"""
 
 
+ASPECT_SCORES = ", ".join(
+    f"""(SELECT score FROM aspects a WHERE a."Nama_Tempat" = b."Nama_Tempat" AND aspect = '{a}') AS {a}_score"""
+    for a in R.ASPECTS
+)
 SCORECARDS = f"""WITH {aspect_rows()}, {badges()}, extremes AS (
   SELECT "Nama_Tempat",
          first(lower(label) ORDER BY score DESC, ord) AS best,
          first(lower(label) ORDER BY score, ord) FILTER (WHERE score > 0) AS worst
   FROM aspects WHERE mentions > 2 GROUP BY 1)
 SELECT b."Nama_Tempat", b.total_reviews, len(b.badges)::INTEGER AS n_badges,
-       (SELECT score FROM aspects a WHERE a."Nama_Tempat" = b."Nama_Tempat" AND aspect = 'akses') AS akses_score,
+       {ASPECT_SCORES},
        best, worst,
        CASE WHEN best IS NULL THEN {text(fixed.INSIGHT_NONE)}
             WHEN worst IS NOT NULL AND best <> worst
@@ -232,7 +236,7 @@ LANGS = ("de", "en", "es", "fr")
 HYBRID = f"""WITH {MIXED},
 vocabulary AS (
   SELECT word, {', '.join(f"count(*) FILTER (WHERE lang = '{x}') / count(*)::DOUBLE AS {x}" for x in LANGS)}
-  FROM (SELECT lang, unnest(list_distinct({word_list('clean')})) AS word FROM known) GROUP BY 1 HAVING count(*) >= 3),
+  FROM (SELECT lang, unnest(list_distinct({word_list('clean')})) AS word FROM known) GROUP BY 1),
 kv AS (SELECT id, {', '.join(f'avg({x}) AS {x}' for x in LANGS)}
        FROM (SELECT id, unnest({word_list('clean')}) AS word FROM known) JOIN vocabulary USING (word) GROUP BY 1),
 av AS (SELECT query_id, {', '.join(f'avg({x}) AS {x}' for x in LANGS)}
@@ -381,11 +385,16 @@ SELECT "Nama_Tempat", "Segmen", "Price_Items" FROM lists""",
   count(*) AS rows_after, count(*) - (SELECT count(*) FROM reviews) AS new_rows,
   count(*) FILTER (WHERE src = 1) AS inserted_rows FROM kept""",
     "q09_dense_index": "SELECT event_type, event_id, row_number() OVER (ORDER BY event_type, event_id) AS n FROM events",
+    "q09b_dense_index_missing": """SELECT kind, event_id, row_number() OVER (ORDER BY kind NULLS FIRST, event_id) AS n
+FROM (SELECT CASE WHEN event_type <> 'view' THEN event_type END AS kind, event_id FROM events)""",
     "q10_aspect_table": f"WITH {aspect_rows()} SELECT * FROM aspects",
     "q11_badges": f"""WITH {flags()}, {badges()}
 SELECT "Nama_Tempat", total_reviews, array_to_string(badges, ',') AS badges FROM badges""",
     "q12_scorecards": SCORECARDS,
     "q13_tfidf_search": f"{TFIDF} {ranked_places(25, 5, 2)} SELECT * FROM results",
+    "q13b_search_table": """SELECT l_partkey AS tempat_id, l_returnflag || ' ' || l_linestatus || ' ' || l_orderkey || ' '
+  || l_linenumber AS teks_mentah, p_name AS nama, p_brand AS lokasi
+FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 5""",
     "q14_hybrid_search": f"{HYBRID} SELECT * FROM results",
     "q14b_phrase_search": f"{PHRASES} SELECT * FROM results",
     "q14d_search_summary": f"{SUMMARY} FROM asked a LEFT JOIN results r USING (query_id) GROUP BY 1",
@@ -457,6 +466,8 @@ SELECT count(*) AS n_queries, round(avg(recall_at_5), 6) AS recall_at_5, round(a
        round(avg(mrr), 6) AS mrr, round(avg(ndcg_at_10), 6) AS ndcg_at_10 FROM metrics""",
     "q24b_run_evaluation": f"WITH {recommended(20, 10)}, {metrics('results')} {SHOWN_METRICS}",
     "q25_owner_replies": f"SELECT conv_id, turn, {owner('text')} AS owner FROM conversations",
+    "q25b_owner_audit": f"""SELECT conv_id, turn, CASE WHEN {owner('text')} THEN 'owner' ELSE 'visitor' END AS side
+FROM conversations""",
     "q26_repair_url": f"""WITH bare AS (SELECT page_id, url, regexp_replace(url, '^https?://', '') AS b FROM pages),
 raw AS (SELECT page_id, trim(CASE page_id % 6 WHEN 0 THEN 'httpsmaps.' || b WHEN 1 THEN 'httpmaps.' || b
     WHEN 2 THEN b WHEN 3 THEN url || '&hl=en' WHEN 4 THEN 'https://lh3.googleusercontent.com/' || b

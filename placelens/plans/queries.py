@@ -14,10 +14,10 @@ from placelens.functions.vectors import cosine, norm
 from placelens.operators import aspects as A
 from placelens.operators import places as P
 from placelens.operators import reports
-from placelens.operators.corpus import ingest_reviews, merge_corpus, place_rows
+from placelens.operators.corpus import ingest_reviews, merge_corpus, place_rows, split_owner_replies
 from placelens.operators.encode import HashingEncoder, encode, encode_places
 from placelens.operators.evaluate import evaluate, mean_metrics
-from placelens.operators.hybrid import hybrid_search, search_summary, train_word_vectors
+from placelens.operators.hybrid import hybrid_search, search_summary
 from placelens.operators.lookup import find_places, find_places_like
 from placelens.operators.rerank import (
     detect_intent,
@@ -27,13 +27,13 @@ from placelens.operators.rerank import (
     split_queries,
 )
 from placelens.operators.skew import dense_index
-from placelens.operators.tfidf import tfidf_search
+from placelens.operators.tfidf import search_table, tfidf_search
 from placelens.operators.vector_search import attach_metadata, build_vectors, vector_topk
 from placelens.plans import roles as R
 from placelens.plans.recommend import recommend, run_evaluation
 from placelens.session import materialise, run_folder
 from placelens.sources import schemas
-from placelens.streaming.ingest import start_ingest
+from placelens.streaming.ingest import read_reviews, start_ingest
 from placelens.streaming.merge import read_corpus, start_merge
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,6 +129,15 @@ def q09_dense_index(spark, folder):
     return dense_index(events, ["event_type", "event_id"], "n")
 
 
+@query
+def q09b_dense_index_missing(spark, folder):
+    """Numbering with a missing group."""
+    events = R.table(spark, folder, "events").select(
+        F.when(F.col("event_type") != "view", F.col("event_type")).alias("kind"), "event_id"
+    )
+    return dense_index(events, ["kind", "event_id"], "n")
+
+
 @query
 def q10_aspect_table(spark, folder):
     return A.aspect_table(R.reviews(spark, folder), R.ASPECTS, R.SENTIMENT)
@@ -147,7 +156,7 @@ def q12_scorecards(spark, folder):
         "Nama_Tempat",
         "total_reviews",
         F.size("badges").alias("n_badges"),
-        F.col("aspects")["akses"]["score"].alias("akses_score"),
+        *[F.col("aspects")[a]["score"].alias(f"{a}_score") for a in R.ASPECTS],
         "best",
         "worst",
         "insight",
@@ -159,6 +168,19 @@ def q13_tfidf_search(spark, folder):
     return tfidf_search(R.text_queries(spark, folder), R.search_reviews(spark, folder), 5)
 
 
+@query
+def q13b_search_table(spark, folder):
+    """Order lines as reviews of their part."""
+    lines = R.table(spark, folder, "lineitem").select(
+        F.col("l_partkey").alias("tempat_id"),
+        F.concat_ws(" ", "l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber").alias("teks_mentah"),
+    )
+    parts = R.table(spark, folder, "part").filter("p_size > 5").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("nama"), F.col("p_brand").alias("lokasi")
+    )
+    return search_table(lines, parts)
+
+
 @query
 def q14_hybrid_search(spark, folder):
     model = materialise(R.language_vectors(spark, folder))
@@ -170,12 +192,6 @@ def q14b_phrase_search(spark, folder):
     return hybrid_search(R.mixed_queries(spark, folder), R.search_reviews(spark, folder))
 
 
-@query
-def q14c_word2vec_search(spark, folder):
-    reviews = R.search_reviews(spark, folder)
-    return hybrid_search(R.mixed_queries(spark, folder), reviews, train_word_vectors(reviews, maxIter=1))
-
-
 @query
 def q14d_search_summary(spark, folder):
     return search_summary(R.mixed_queries(spark, folder), q14b_phrase_search(spark, folder))
@@ -356,6 +372,14 @@ def q25_owner_replies(spark, folder):
     return turns.select("conv_id", "turn", likely_owner(F.col("text")).alias("owner"))
 
 
+@query
+def q25b_owner_audit(spark, folder):
+    turns = R.table(spark, folder, "conversations")
+    kept, owner = split_owner_replies(turns, "text")
+    sides = kept.withColumn("side", F.lit("visitor")).unionByName(owner.withColumn("side", F.lit("owner")))
+    return sides.select("conv_id", "turn", "side")
+
+
 @query
 def q26_repair_url(spark, folder):
     kind = F.col("page_id") % 6
@@ -494,8 +518,8 @@ def _file_stream(spark, folder, name):
 def st1_ingest_stream(spark, folder):
     run = run_folder(spark)
     cards = R.event_cards(_file_stream(spark, folder, "events"))
-    start_ingest(cards, "ts", "60 days", f"{run}/reviews", f"{run}/state").awaitTermination()
-    return spark.read.schema("Rating STRING, Waktu STRING, Teks_Mentah STRING").parquet(f"{run}/reviews")
+    start_ingest(cards, f"{run}/reviews", f"{run}/state").awaitTermination()
+    return read_reviews(spark, f"{run}/reviews", "Rating STRING, Waktu STRING, Teks_Mentah STRING")
 
 
 @query

@@ -152,7 +152,7 @@ def language_vectors(spark: SparkSession, folder: str) -> DataFrame:
         *[F.count_if(F.col("lang") == lang).alias(lang) for lang in ("de", "en", "es", "fr")],
     )
     shares = F.array(*[F.col(lang) / F.col("n") for lang in ("de", "en", "es", "fr")])
-    return counts.filter(F.col("n") >= 3).select("word", shares.alias("vector"))
+    return counts.select("word", shares.alias("vector"))
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,33 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from placelens.operators.corpus import SIGNATURE, review_rows
 from placelens.operators.skew import row_digest
 
 
-def distinct_reviews(raw: DataFrame, event_time: str, delay: str) -> DataFrame:
-    """Review rows whose (rating, time, text) was not seen within `delay`.
+def new_reviews(batch: DataFrame, seen: DataFrame) -> DataFrame:
+    """Distinct review rows of a batch whose (rating, time, text) is not among the seen digests."""
+    rows = review_rows(batch).withColumn("_digest", row_digest(SIGNATURE))
+    return rows.dropDuplicates(["_digest"]).join(seen, "_digest", "left_anti")
 
-    The watermark bounds the state, which holds a hash per review and not its text.
-    Copies further apart pass and are caught by the merge.
+
+def start_ingest(raw: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append distinct reviews to a Parquet table; by default takes what is there and stops.
+
+    A review is new if no earlier batch wrote its digest, however late it comes;
+    there is no watermark, so none is lost. A batch writes its own folder and
+    reads the digests of earlier ones only, so it can run again after a failure.
     """
-    rows = review_rows(raw).withWatermark(event_time, delay).withColumn("_digest", row_digest(SIGNATURE))
-    return rows.dropDuplicatesWithinWatermark(["_digest"]).drop("_digest")
 
+    def take(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        if number == 0:
+            seen = session.createDataFrame([], "_digest binary")
+        else:
+            seen = _stored(session, path, "_digest BINARY").filter(F.col("batch") < number).select("_digest")
+        new_reviews(batch, seen).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-def start_ingest(
-    raw: DataFrame, event_time: str, delay: str, path: str, checkpoint: str, trigger: dict | None = None
-) -> StreamingQuery:
-    """Append distinct reviews to a Parquet table; by default takes what is there and stops."""
     return (
-        distinct_reviews(raw, event_time, delay)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
+        raw.writeStream.foreachBatch(take)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def read_reviews(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The reviews that all batches wrote, with the columns of the schema."""
+    return _stored(spark, path, schema).drop("batch")
+
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(f"{schema}, batch BIGINT").parquet(path)

@@ -7,17 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from placelens.functions import fixed_values as fixed
-from placelens.functions.text import trim_all
-from placelens.operators.corpus import with_unique_ids
-from placelens.operators.skew import dense_index, row_digest
+from placelens.operators.corpus import COPY, PLACES, combine
+from placelens.operators.places import output_columns
+from placelens.operators.skew import dense_index, first_copies, row_digest
 from placelens.session import materialise
 
-KEY = ["Nama_Tempat", "Teks_Mentah"]
-
-
 def digests(rows: DataFrame) -> DataFrame:
     """One fixed-size hash per place and text; nulls count as equal."""
-    return rows.select(row_digest(KEY).alias("_digest")).distinct()
+    return rows.select(row_digest(COPY).alias("_digest")).distinct()
 
 
 def merge_batch(seen: DataFrame, last: int, batch: DataFrame) -> DataFrame:
@@ -25,13 +22,13 @@ def merge_batch(seen: DataFrame, last: int, batch: DataFrame) -> DataFrame:
 
     Hashes find the new rows; only their texts are read again.
     """
-    trimmed = with_unique_ids(batch).withColumn("Nama_Tempat", trim_all(F.col("Nama_Tempat")))
-    keyed = trimmed.select(row_digest(KEY).alias("_digest"), "Doc_ID")
-    first = keyed.groupBy("_digest").agg(F.min("Doc_ID").alias("Doc_ID"))
-    fresh = materialise(first.join(seen, "_digest", "left_anti").select("Doc_ID"))
-    numbered = dense_index(fresh.withColumn("_order", F.col("Doc_ID")), ["_order"], "_number", last + 1)
-    rows = trimmed.join(numbered.drop("_order"), "Doc_ID").drop("Doc_ID")
-    return rows.withColumnRenamed("_number", "Doc_ID").select(*fixed.CORPUS_COLUMNS)
+    rows = combine(None, batch)
+    fresh = materialise(first_copies(rows, PLACES).join(seen, "_digest", "left_anti"))
+    numbered = dense_index(fresh, ["_none", "_order"], "_number", last + 1, ties=("_tie",))
+    which = ["_digest", "_tie"]
+    found = rows.join(numbered.select(*which, "_number"), which).dropDuplicates(which)
+    found = found.drop("Doc_ID").withColumnRenamed("_number", "Doc_ID")
+    return output_columns(found, fixed.CORPUS_COLUMNS, {"Rating": "double"})
 
 
 def read_corpus(spark: SparkSession, master: str, added: str, before: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from placelens import session
 from placelens.functions import fixed_values as fixed
 from placelens.operators.corpus import ingest_reviews, merge_corpus, split_owner_replies
 from placelens.sources import readers, schemas, sinks
-from placelens.streaming.ingest import start_ingest
+from placelens.streaming.ingest import read_reviews, start_ingest
 from placelens.streaming.merge import digests, merge_batch, read_corpus, start_merge
 
 MASTER = [
@@ -56,10 +56,20 @@ def test_merge_without_unique_ids(spark, master, staging):
     for bad in (F.lit(7), F.lit(None).cast("long"), F.when(F.col("Doc_ID") < 4, F.col("Doc_ID"))):
         merged, counts = merge_corpus(master, staging.coalesce(1).withColumn("Doc_ID", bad))
         rows = merged.orderBy("Doc_ID").collect()
-        assert [(r["Doc_ID"], r["Waktu"]) for r in rows] == [(1, "a"), (2, "c"), (3, "d"), (4, "g"), (5, "i")]
+        assert [(r["Doc_ID"], r["Waktu"]) for r in rows[:3]] == [(1, "a"), (2, "c"), (3, "d")]
+        assert sorted(r["Teks_Mentah"] for r in rows[3:]) == ["baru", "baru"] and rows[4]["Doc_ID"] == 5
         assert counts.first()["inserted_rows"] == 2
 
 
+def test_a_repeated_id_elsewhere_changes_nothing(spark, master, staging):
+    other = spark.createDataFrame([(3, "Lain", None, None, "x", "z"), (3, "Lain", None, None, "y", "z")], schemas.REVIEWS)
+    for extra in (staging, staging.unionByName(other, allowMissingColumns=True)):
+        rows = merge_corpus(master, extra)[0].filter("Teks_Mentah = 'baru'").collect()
+        assert sorted(r["Waktu"] for r in rows) == ["g", "i"]
+    twice = merge_corpus(master, staging.unionByName(staging))[0]
+    assert twice.count() == 5
+
+
 def test_merge_without_column(spark, master, staging):
     merged, _ = merge_corpus(master.drop("Lokasi"), staging.drop("Lokasi", "Waktu"))
     assert merged.columns == ["Doc_ID", "Nama_Tempat", "Rating", "Teks_Mentah", "Waktu"]
@@ -94,12 +104,24 @@ def test_ingest_stream_equals_batch(spark, tmp_path):
     for part in range(2):
         cards.write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(cards.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-        start_ingest(stream, "ts", "2 days", f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+        start_ingest(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     columns = ["Rating", "Waktu", "Teks_Mentah"]
     got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select(*columns).collect()))
     assert got == sorted(map(tuple, ingest_reviews(cards).select(*columns).collect()))
 
 
+def test_late_reviews_arrive(spark, tmp_path):
+    """Three files in three runs; the last review is far older than the others."""
+    schema = "fragments array<string>, rating_label string, time_label string, ts timestamp"
+    for n, ts in enumerate((datetime(2024, 5, 1), datetime(2024, 8, 1), datetime(2022, 12, 1))):
+        card = spark.createDataFrame([([f"ulasan {n}"], "4/5", "lama", ts), (["sama"], "4/5", "lama", ts)], schema)
+        card.write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        start_ingest(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    got = read_reviews(spark, f"{tmp_path}/out", "Teks_Mentah string").collect()
+    assert sorted(r["Teks_Mentah"] for r in got) == ["sama", "ulasan 0", "ulasan 1", "ulasan 2"]
+
+
 def test_merge_batch(master, staging):
     rows = merge_batch(digests(master), 9, staging.drop("ekstra")).orderBy("Doc_ID").collect()
     # The master's padded name does not match a trimmed one, as its rows stay untouched.

@@ -128,17 +128,6 @@ def test_summary(queries, reviews):
     assert (rows[1]["jumlah_hasil"], rows[4]["jumlah_hasil"]) == (min(2, rows[1]["jumlah_hasil"]), 2)
 
 
-def test_word2vec(reviews):
-    vectors = H.train_word_vectors(reviews[1], size=4, min_count=2).collect()
-    assert vectors and all(len(r["vector"]) == 4 for r in vectors)
-
-
-def test_word2vec_refuses_a_model_too_large(monkeypatch, reviews):
-    monkeypatch.setattr(H, "MODEL_BYTES", 100)
-    with pytest.raises(ValueError, match="min_count"):
-        H.train_word_vectors(reviews[1], size=4, min_count=1)
-
-
 def test_encoder_is_additive(spark, reviews):
     encoder = HashingEncoder(32)
     parts = encoder(["danau sejuk", "Danau hutan", ""])

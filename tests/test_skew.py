@@ -90,10 +90,18 @@ def test_dense_index_of_nothing(spark):
     assert skew.dense_index(spark.range(0), ["id"], "n").count() == 0
 
 
-def test_first_rows(spark):
-    rows = [("a", "t", 5), ("a", "t", 2), ("a", None, 7), ("a", None, 3), (None, "t", 9), ("a", "u", 1)]
+def test_first_copies(spark):
+    rows = [("a", "t", 5), ("a", "t", 2), ("a", None, 7), ("a", None, 3), (None, "t", 9), ("a", "u", 1), ("a", "u", None)]
     df = spark.createDataFrame(rows, "p string, t string, o long")
-    assert sorted(r["o"] for r in skew.first_rows(df, ["p", "t"], "o").collect()) == [1, 2, 3, 9]
+    places = ["_none", "_order", "_tie"]
+    got = skew.first_copies(skew.with_places(df, ["p", "t"], "o"), places).collect()
+    assert sorted(r["_order"] for r in got) == [1, 2, 3, 9]
+
+
+def test_dense_index_keeps_missing_groups(spark):
+    df = spark.createDataFrame([("b", 1), (None, 5), (None, 2), ("a", 9)], "g string, id long")
+    rows = skew.dense_index(df, ["g", "id"], "n").collect()
+    assert sorted((r["n"], r["g"], r["id"]) for r in rows) == [(1, None, 2), (2, None, 5), (3, "a", 9), (4, "b", 1)]
 
 
 def test_latest_value(spark):

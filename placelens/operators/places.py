@@ -1,8 +1,9 @@
 """Build the place table from reviews, prices, facilities and static info.
 
-A place of any size is held in rows of bounded size: long texts and lists are
-cut into numbered segments (column Segmen), and nearly every place has just
-Segmen 0. Single values per place are the same in all its segments.
+A place of any size is held in rows of bounded size: long texts and lists come
+in numbered segments (column Segmen), each a range of the order column, by the
+same rule for every place. Single values per place are the same in all its
+segments.
 """
 
 from __future__ import annotations
@@ -46,13 +47,11 @@ def place_stats(reviews: DataFrame, rating: str = "Rating") -> DataFrame:
     )
 
 
-def place_profiles(reviews: DataFrame, whole_chars: int = 4 << 20, docs_per_segment: int = 256) -> DataFrame:
+def place_profiles(reviews: DataFrame, docs_per_segment: int = 256) -> DataFrame:
     """All cleaned, non-empty reviews of a place joined by a space in Doc_ID order: (place, Segmen, Profil_Teks)."""
     rows = reviews.filter(F.col(PLACE).isNotNull()).select(PLACE, "Doc_ID", "Teks_Mentah")
     text = F.nullif(clean_text(F.col("Teks_Mentah")), F.lit(""))
-    # Cleaning never makes a text longer to speak of, so the raw length bounds the size.
-    size = F.coalesce(F.length("Teks_Mentah"), F.lit(0))
-    lists = assemble_lists(rows, PLACE, "Doc_ID", text, size, whole_chars, docs_per_segment)
+    lists = assemble_lists(rows, PLACE, "Doc_ID", text, docs_per_segment)
     return lists.select(PLACE, "Segmen", F.array_join("values", " ").alias("Profil_Teks"))
 
 
@@ -63,18 +62,16 @@ def weighted_rating(reviews: DataFrame, reference: Column, decay: float, rating:
     return rated.groupBy(PLACE).agg((F.sum(F.col(rating) * F.col("_w")) / F.sum("_w")).alias("Rating_Berbobot"))
 
 
-def price_lists(prices: DataFrame, order: str = "seq", whole_items: int = 20_000, ids_per_segment: int = 4096) -> DataFrame:
+def price_lists(prices: DataFrame, order: str = "seq", ids_per_segment: int = 4096) -> DataFrame:
     """JSON price list per place in input order; a missing price is 0."""
     item = F.struct("item", F.coalesce("harga", F.lit(0.0)).alias("harga"), "kategori")
-    lists = assemble_lists(prices, PLACE, order, item, F.lit(1), whole_items, ids_per_segment)
+    lists = assemble_lists(prices, PLACE, order, item, ids_per_segment)
     return lists.select(PLACE, "Segmen", F.to_json("values", {"ignoreNullFields": "false"}).alias("Price_Items"))
 
 
-def facility_texts(facilities: DataFrame, order: str = "seq", whole_items: int = 20_000, ids_per_segment: int = 4096) -> DataFrame:
+def facility_texts(facilities: DataFrame, order: str = "seq", ids_per_segment: int = 4096) -> DataFrame:
     """Facilities per place joined by ' | ' in input order; missing ones are left out."""
-    lists = assemble_lists(
-        facilities, PLACE, order, trim_all(F.col("Fasilitas")), F.lit(1), whole_items, ids_per_segment
-    )
+    lists = assemble_lists(facilities, PLACE, order, trim_all(F.col("Fasilitas")), ids_per_segment)
     return lists.select(PLACE, "Segmen", F.array_join("values", " | ").alias("Facilities"))
 
 

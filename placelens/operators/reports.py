@@ -59,10 +59,8 @@ def place_details(places: DataFrame, prices: DataFrame, facilities: DataFrame, o
     """
     key = "tempat_id"
     items = F.struct("item", "harga", "kategori")
-    listed = assemble_lists(prices, key, order, items, F.lit(1), 20_000, 4096).withColumnRenamed(
-        "values", "_prices"
-    )
-    named = assemble_lists(facilities, key, order, F.col("nama_fasilitas"), F.lit(1), 20_000, 4096)
+    listed = assemble_lists(prices, key, order, items, 4096).withColumnRenamed("values", "_prices")
+    named = assemble_lists(facilities, key, order, F.col("nama_fasilitas"), 4096)
     both = listed.join(named.withColumnRenamed("values", "_named"), [key, "Segmen"], "full")
     held = both.groupBy(key).agg(
         F.min("Segmen").alias("_first"),

@@ -90,37 +90,19 @@ def look_up(found: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return found.join(hot, key, "left_semi").join(hot_table, key).unionByName(rest)
 
 
-def assemble_lists(
-    df: DataFrame,
-    key: str,
-    order: str,
-    value: Column,
-    size: Column,
-    whole_size: int = 4 << 20,
-    ids_per_segment: int = 256,
-) -> DataFrame:
+def assemble_lists(df: DataFrame, key: str, order: str, value: Column, ids_per_segment: int = 256) -> DataFrame:
     """Ordered list of values per key as (key, Segmen, values), in rows of bounded size.
 
-    `order` is a number that is unique within a key.
-
-    A key whose sizes add up to at most `whole_size` gets one row, Segmen 0.
-    A larger key gets one row per range of `order` values, which together hold
-    the whole list in Segmen order, so no task ever holds all rows of a large key.
+    `order` is a number that is unique within a key. Every range of
+    `ids_per_segment` order numbers is a row, whatever the size of the key;
+    together, in Segmen order, they hold the whole list, and no task ever holds
+    all rows of a large key. Rows without an order go by a hash of their value.
     """
-    valued = df.select(key, F.col(order).alias("_order"), value.alias("_value"), size.alias("_size"))
-    totals = valued.groupBy(key).agg(F.sum("_size").alias("_total"), F.count(F.lit(1)).alias("_rows"))
-    # Few keys are large, mostly none, so marking their rows needs no shuffle as a rule.
-    large = materialise(totals.filter(F.col("_total") > whole_size))
+    placed = df.select(key, F.col(order).alias("_order"), value.alias("_value"))
     place_in_order = F.coalesce("_order", F.pmod(F.xxhash64("_value"), F.lit(1 << 31)))
-    marked = skew_safe_join(
-        valued.drop("_size"), large.drop("_rows"), key, place_in_order, "left", counts=large.drop("_total")
-    )
-    segment = F.when(F.col("_total").isNull(), F.lit(0).cast("bigint")).otherwise(
-        F.floor(place_in_order / ids_per_segment)
-    )
     collected = F.array_sort(F.collect_list(F.struct("_order", "_value")))
     return (
-        marked.withColumn("Segmen", segment)
+        placed.withColumn("Segmen", F.floor(place_in_order / ids_per_segment))
         .groupBy(key, "Segmen")
         .agg(F.transform(collected, lambda x: x["_value"]).alias("values"))
     )

@@ -75,11 +75,11 @@ profiles AS (
 
 
 def price_lists(source: str) -> str:
-    return f"""SELECT "Nama_Tempat", 0::BIGINT AS "Segmen", to_json(list(struct_pack(item := item,
+    return f"""SELECT "Nama_Tempat", seq // 4096 AS "Segmen", to_json(list(struct_pack(item := item,
              harga := coalesce(harga, 0.0), kategori := kategori)
              ORDER BY seq, item, coalesce(harga, 0.0), kategori))::VARCHAR AS "Price_Items",
              sum(coalesce(harga, 0.0)) FILTER (WHERE kategori IN ('biaya wajib', 'sewa pokok')) AS total
-      FROM {source} GROUP BY 1"""
+      FROM {source} GROUP BY 1, 2"""
 
 
 ORDER_PRICES = """order_prices AS (
@@ -106,25 +106,30 @@ FACILITIES = """facilities AS (
 
 INFO = f"""{PART_PRICES}, {FACILITIES}, price_texts AS ({price_lists('part_prices')}),
 facility_texts AS (
-  SELECT "Nama_Tempat", coalesce(string_agg(trim("Fasilitas"), ' | ' ORDER BY seq), '') AS "Facilities"
-  FROM facilities GROUP BY 1),
+  SELECT "Nama_Tempat", seq // 4096 AS "Segmen", coalesce(string_agg(trim("Fasilitas"), ' | ' ORDER BY seq), '') AS "Facilities"
+  FROM facilities GROUP BY 1, 2),
+listed AS (SELECT * FROM price_texts FULL JOIN facility_texts USING ("Nama_Tempat", "Segmen")),
 info AS (
-  SELECT s."Nama_Tempat", 0::BIGINT AS "Segmen", coalesce(photo, '') AS "Photo_URL",
+  SELECT s."Nama_Tempat", coalesce("Segmen", 0) AS "Segmen", coalesce(photo, '') AS "Photo_URL",
          'https://maps.example.com/?cid=' || s.nation AS "Gmaps_Link",
          CASE WHEN s.nation > 9 THEN '08.00-17.00' ELSE 'Info tidak tersedia' END AS "Waktu_Buka",
-         coalesce(p."Price_Items", '[]') AS "Price_Items", coalesce(f."Facilities", '') AS "Facilities",
-         CASE WHEN p."Price_Items" IS NOT NULL THEN coalesce(p.total, 0.0) END AS total
+         coalesce("Price_Items", '[]') AS "Price_Items", coalesce("Facilities", '') AS "Facilities",
+         CASE WHEN "Price_Items" IS NOT NULL THEN coalesce(total, 0.0) END AS total
   FROM (SELECT 'src' || s_suppkey AS "Nama_Tempat", s_nationkey AS nation,
                CASE WHEN s_acctbal > 0 THEN 'https://img.example.com/' || s_suppkey END AS photo FROM supplier) s
-  LEFT JOIN price_texts p USING ("Nama_Tempat") LEFT JOIN facility_texts f USING ("Nama_Tempat"))"""
-
-PLACES = f"""{STATS}, {profiles('0::BIGINT')}, {INFO}, places AS (
-  SELECT s."Nama_Tempat", 0::BIGINT AS "Segmen", p."Profil_Teks", s."Rating_Rata", s."Jumlah_Review", s."Lokasi",
-         i."Photo_URL", i."Gmaps_Link", i."Waktu_Buka", i."Price_Items", round(i.total, 2) AS "Harga_Minimum",
-         i."Facilities",
-         CASE WHEN i."Facilities" <> '' THEN to_json(list_transform(string_split(i."Facilities", '|'),
+  LEFT JOIN listed USING ("Nama_Tempat"))"""
+
+PLACES = f"""{STATS}, {profiles('"Doc_ID" // 256')}, {INFO}, once AS (
+  SELECT "Nama_Tempat", any_value("Photo_URL") AS "Photo_URL", any_value("Gmaps_Link") AS "Gmaps_Link",
+         any_value("Waktu_Buka") AS "Waktu_Buka", round(sum(total), 2) AS "Harga_Minimum" FROM info GROUP BY 1),
+segments AS (SELECT "Nama_Tempat", "Segmen", "Profil_Teks", "Price_Items", "Facilities"
+  FROM profiles FULL JOIN info USING ("Nama_Tempat", "Segmen")),
+places AS (
+  SELECT s."Nama_Tempat", "Segmen", "Profil_Teks", s."Rating_Rata", s."Jumlah_Review", s."Lokasi",
+         i."Photo_URL", i."Gmaps_Link", i."Waktu_Buka", "Price_Items", i."Harga_Minimum", "Facilities",
+         CASE WHEN "Facilities" <> '' THEN to_json(list_transform(string_split("Facilities", '|'),
               lambda x: trim(x)))::VARCHAR END AS "Facilities_List"
-  FROM stats s JOIN profiles p USING ("Nama_Tempat") LEFT JOIN info i USING ("Nama_Tempat"))"""
+  FROM stats s JOIN segments USING ("Nama_Tempat") LEFT JOIN once i USING ("Nama_Tempat"))"""
 
 MERGED = f"""{REVIEWS}, combined AS (
   SELECT 0 AS src, "Doc_ID" AS id, "Nama_Tempat", "Lokasi", "Rating", "Teks_Mentah" FROM reviews
@@ -368,12 +373,12 @@ BOOKED = """bookings AS (
 ORACLE: dict[str, str] = {
     "q01_clean_text": f"SELECT doc_id, {clean('text')} AS clean FROM documents",
     "q02_place_stats": f"WITH {STATS} SELECT * FROM stats",
-    "q02b_place_profiles": f"WITH {REVIEWS}, {profiles('0::BIGINT')} SELECT * FROM profiles",
-    "q02c_profile_segments": f"""WITH {REVIEWS}, {profiles('"Doc_ID" // 256')} SELECT * FROM profiles""",
+    "q02b_place_profiles": f"""WITH {REVIEWS}, {profiles('"Doc_ID" // 256')} SELECT * FROM profiles""",
+    "q02c_profile_segments": f"""WITH {REVIEWS}, {profiles('"Doc_ID" // 64')} SELECT * FROM profiles""",
     "q03_prepare_places": f"WITH {PLACES} SELECT * FROM places",
     "q03b_place_metadata": f'WITH {PLACES} SELECT * EXCLUDE ("Profil_Teks") FROM places',
     "q04_minimum_price": f"""WITH {ORDER_PRICES}, lists AS ({price_lists('order_prices')})
-SELECT "Nama_Tempat", "Segmen", round(coalesce(total, 0.0), 2) AS "Harga_Minimum" FROM lists""",
+SELECT "Nama_Tempat", round(sum(coalesce(total, 0.0)), 2) AS "Harga_Minimum" FROM lists GROUP BY 1""",
     "q05_facility_list": """SELECT p_partkey, CASE WHEN p_size % 5 IN (1, 2, 3)
   THEN replace(p_name, ' ', ';') || ';' || p_type END AS facilities FROM part""",
     "q06_price_lists": f"""WITH {ORDER_PRICES}, lists AS ({price_lists('order_prices')})
@@ -511,13 +516,21 @@ ORDER BY event_id DESC LIMIT 50""",
                            for name, words in fixed.INTENT_WORDS.items())} ELSE 'none' END) AS intent,
   'Semua Lokasi' AS region FROM asked a LEFT JOIN results r USING (query_id) GROUP BY 1""",
     "q30_place_details": f"""WITH {PART_PRICES}, {FACILITIES},
-p AS (SELECT tempat_id, count(*) AS n, string_agg(item, ';' ORDER BY seq) AS items FROM part_prices GROUP BY 1),
-f AS (SELECT tempat_id, coalesce(string_agg("Fasilitas", ';' ORDER BY seq), '') AS names FROM facilities GROUP BY 1)
-SELECT s_suppkey AS id, s_name AS nama, 0::BIGINT AS "Segmen",
-  CASE WHEN p.n IS NOT NULL THEN p.n WHEN s_nationkey % 3 = 1 THEN 1 ELSE 0 END AS n_harga,
-  CASE WHEN p.n IS NOT NULL THEN p.items WHEN s_nationkey % 3 = 1 THEN 'Tiket' ELSE '' END AS items,
-  CASE WHEN f.names IS NOT NULL THEN f.names WHEN s_nationkey > 4 THEN 'Toilet;Mushola;' || s_name ELSE '' END AS fasilitas
-FROM supplier LEFT JOIN p ON p.tempat_id = s_suppkey LEFT JOIN f ON f.tempat_id = s_suppkey""",
+p AS (SELECT tempat_id, seq // 4096 AS seg, count(*) AS n, string_agg(item, ';' ORDER BY seq) AS items
+  FROM part_prices GROUP BY 1, 2),
+f AS (SELECT tempat_id, seq // 4096 AS seg, coalesce(string_agg("Fasilitas", ';' ORDER BY seq), '') AS names
+  FROM facilities GROUP BY 1, 2),
+sides AS (SELECT * FROM p FULL JOIN f USING (tempat_id, seg)),
+held AS (SELECT tempat_id, min(seg) AS low, bool_or(n IS NOT NULL) AS priced, bool_or(names IS NOT NULL) AS is_named
+  FROM sides GROUP BY 1),
+joined AS (SELECT *, seg IS NULL OR seg = low AS on_top FROM supplier LEFT JOIN held ON tempat_id = s_suppkey
+  LEFT JOIN sides USING (tempat_id))
+SELECT s_suppkey AS id, s_name AS nama, coalesce(seg, 0) AS "Segmen",
+  CASE WHEN n IS NOT NULL THEN n WHEN on_top AND priced IS NOT TRUE AND s_nationkey % 3 = 1 THEN 1 ELSE 0 END AS n_harga,
+  CASE WHEN n IS NOT NULL THEN items WHEN on_top AND priced IS NOT TRUE AND s_nationkey % 3 = 1 THEN 'Tiket' ELSE '' END AS items,
+  CASE WHEN names IS NOT NULL THEN names WHEN on_top AND is_named IS NOT TRUE AND s_nationkey > 4
+    THEN 'Toilet;Mushola;' || s_name ELSE '' END AS fasilitas
+FROM joined""",
     "q31_bookings_of_users": f"""WITH {BOOKED} SELECT user_id, b.id, n_name AS nama, tanggal_checkin, total_harga, status,
   jumlah_orang FROM bookings b JOIN nation ON n_nationkey = tempat_id""",
     "q32_all_bookings": f"""WITH {BOOKED} SELECT b.id, c_name AS username, n_name AS nama, tanggal_checkin, total_harga, status
@@ -526,11 +539,13 @@ FROM bookings b JOIN nation ON n_nationkey = tempat_id JOIN customer ON c_custke
   FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS id, o_custkey AS user_id, coalesce(status, o_orderstatus) AS status
 FROM orders LEFT JOIN latest ON l_orderkey = o_orderkey""",
-    "q34_check_places": f"""WITH {PLACES}
-SELECT 'distinct_places' AS rule, count(*) - count(DISTINCT "Nama_Tempat") AS bad_rows FROM places
-UNION ALL SELECT 'profile_not_empty', count(*) FILTER (WHERE coalesce("Profil_Teks", '') = '') FROM places
-UNION ALL SELECT 'rating_in_range', count(*) FILTER (WHERE NOT coalesce("Rating_Rata" BETWEEN 1 AND 5, false)) FROM places
-UNION ALL SELECT 'at_least_one_review', count(*) FILTER (WHERE "Jumlah_Review" < 1) FROM places""",
+    "q34_check_places": f"""WITH {PLACES},
+per_place AS (SELECT "Nama_Tempat", max(length(coalesce("Profil_Teks", ''))) AS chars, any_value("Rating_Rata") AS rating,
+  any_value("Jumlah_Review") AS n FROM places GROUP BY 1)
+SELECT 'distinct_places' AS rule, count(*) - count(DISTINCT ("Nama_Tempat", "Segmen")) AS bad_rows FROM places
+UNION ALL SELECT 'profile_not_empty', count(*) FILTER (WHERE chars = 0) FROM per_place
+UNION ALL SELECT 'rating_in_range', count(*) FILTER (WHERE NOT coalesce(rating BETWEEN 1 AND 5, false)) FROM per_place
+UNION ALL SELECT 'at_least_one_review', count(*) FILTER (WHERE n < 1) FROM per_place""",
     "st1_ingest_stream": """SELECT DISTINCT (user_id % 5 + 1)::VARCHAR AS "Rating",
   (user_id % 4 + 1) || ' minggu lalu' AS "Waktu",
   event_type || ' ' || props || CASE WHEN event_type = 'view' THEN '' ELSE ' saya suka, terima kasih' END AS "Teks_Mentah"

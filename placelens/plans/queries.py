@@ -62,7 +62,7 @@ def q02b_place_profiles(spark, folder):
 
 @query
 def q02c_profile_segments(spark, folder):
-    return P.place_profiles(R.reviews(spark, folder), whole_chars=0)
+    return P.place_profiles(R.reviews(spark, folder), docs_per_segment=64)
 
 
 def _info(spark, folder):
@@ -90,8 +90,8 @@ def q03b_place_metadata(spark, folder):
 @query
 def q04_minimum_price(spark, folder):
     lists = P.price_lists(R.order_prices(spark, folder))
-    price = F.round(M.minimum_price(F.col("Price_Items")), 2)
-    return lists.select("Nama_Tempat", "Segmen", price.alias("Harga_Minimum"))
+    price = M.minimum_price(F.col("Price_Items"))
+    return lists.groupBy("Nama_Tempat").agg(F.round(F.sum(price), 2).alias("Harga_Minimum"))
 
 
 @query

@@ -67,11 +67,11 @@ def test_large_profile_is_whole(spark, no_broadcast):
         F.when(F.col("id") % 3 == 0, "kecil").otherwise("besar").alias("Nama_Tempat"),
         F.concat(F.lit("t"), F.col("id").cast("string")).alias("Teks_Mentah"),
     )
-    rows = P.place_profiles(df, whole_chars=1500, docs_per_segment=64).orderBy("Segmen").collect()
+    rows = P.place_profiles(df, docs_per_segment=64).orderBy("Segmen").collect()
     for place, ids in (("kecil", [i for i in range(1000) if i % 3 == 0]), ("besar", [i for i in range(1000) if i % 3])):
         parts = [r["Profil_Teks"] for r in rows if r["Nama_Tempat"] == place]
         assert " ".join(parts) == " ".join(f"t{i}" for i in ids)
-        assert (len(parts) == 1) == (place == "kecil")
+        assert len(parts) == 16
 
 
 @pytest.mark.parametrize("small", [True, False])
@@ -125,6 +125,29 @@ def test_checks(reviews, inputs):
     }
 
 
+def test_a_large_place_is_one_place(spark):
+    """Five reviews of over a million characters, one without a rating and one with NaN; two info rows of one name."""
+    reviews = spark.range(5000, 5005).select(
+        F.col("id").alias("Doc_ID"),
+        F.lit("Besar").alias("Nama_Tempat"),
+        F.lit("X").alias("Lokasi"),
+        F.expr("CASE id WHEN 5000 THEN NULL WHEN 5001 THEN double('NaN') ELSE 4.0D END").alias("Rating"),
+        F.repeat(F.lit("kata "), 240_000).alias("Teks_Mentah"),
+    )
+    item = '[{{"item":"a","harga":{0},"kategori":"biaya wajib"}}]'
+    info = spark.createDataFrame(
+        [("Besar", "p1", "g1", item.format("5.0")), ("Besar", "p2", "g2", item.format("7.0"))],
+        "Nama_Tempat string, Photo_URL string, Gmaps_Link string, Price_Items string",
+    )
+    places = P.prepare_places(reviews, info)
+    rows = places.select("Nama_Tempat", "Rating_Rata", "Photo_URL", "Gmaps_Link", "Harga_Minimum").distinct().collect()
+    assert sorted(map(tuple, rows)) == [("Besar", 4.0, "p1", "g1", 5.0), ("Besar", 4.0, "p2", "g2", 7.0)]
+    bad = dict(P.check_places(places).collect())
+    assert (bad["profile_not_empty"], bad["rating_in_range"], bad["at_least_one_review"]) == (0, 0, 0)
+    alone = P.prepare_places(reviews, info.filter("Photo_URL = 'p1'"))
+    assert set(dict(P.check_places(alone).collect()).values()) == {0}
+
+
 def test_weighted_rating(spark):
     df = spark.sql("SELECT 'a' AS Nama_Tempat, r AS Rating, d AS Waktu FROM VALUES (4.0D, DATE'2024-01-01'), (2.0D, DATE'2024-01-11'), (NULL, DATE'2024-01-11') t(r, d)")
     got = P.weighted_rating(df, F.lit("2024-01-11").cast("date"), 0.1).first()[1]
@@ -190,7 +213,7 @@ def test_place_details(spark, small, request, monkeypatch):
 
 def test_large_details_are_whole(spark, monkeypatch, no_broadcast):
     assemble = skew.assemble_lists
-    monkeypatch.setattr(reports, "assemble_lists", lambda df, key, order, value, size, *_: assemble(df, key, order, value, size, 10, 8))
+    monkeypatch.setattr(reports, "assemble_lists", lambda df, key, order, value, _: assemble(df, key, order, value, 8))
     places = spark.createDataFrame([(1, "a", None, "x,y")], "id long, nama string, harga_json string, fasilitas string")
     prices = spark.range(50).select(F.lit(1).cast("long").alias("tempat_id"), F.col("id").cast("string").alias("item"), F.lit(1.0).alias("harga"), F.lit("layanan").alias("kategori"), F.col("id").alias("seq"))
     facilities = spark.createDataFrame([], "tempat_id long, nama_fasilitas string, seq long")

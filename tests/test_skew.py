@@ -58,18 +58,17 @@ def test_size_check(spark, monkeypatch):
     assert not skew.is_small(df)
 
 
-@pytest.mark.parametrize("whole", [0, 10, 10**6])
-def test_lists_are_whole_and_ordered(spark, whole, no_broadcast):
+def test_lists_are_whole_and_ordered(spark):
     rows = [("big", i, f"t{i}") for i in range(100)] + [("small", 7, "s7"), ("small", 3, "s3"), ("small", 900, None)]
     df = spark.createDataFrame(rows, "k string, o long, t string").repartition(7)
-    lists = skew.assemble_lists(df, "k", "o", F.col("t"), F.lit(1), whole, 8).collect()
+    lists = skew.assemble_lists(df, "k", "o", F.col("t"), 8).collect()
     got = {}
     for r in sorted(lists, key=lambda r: (r["k"], r["Segmen"])):
         got.setdefault(r["k"], []).extend(r["values"])
     assert got == {"big": [f"t{i}" for i in range(100)], "small": ["s3", "s7", None]}
     big = [r for r in lists if r["k"] == "big"]
-    assert len(big) == (1 if whole >= 100 else 13)
-    assert whole >= 100 or max(len(r["values"]) for r in big) <= 8
+    assert len(big) == 13 and max(len(r["values"]) for r in big) <= 8
+    assert sorted(r["Segmen"] for r in lists if r["k"] == "small") == [0, 112]
 
 
 @pytest.mark.parametrize("bucket", [3, 1000])

@@ -40,7 +40,7 @@ def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     ledger = secrets.Ledger(spark, f"{run_folder(spark)}/ledger")
     secrets.update_ledger(docs, "text", ledger)
     found = ledger.read(secrets.rules_version(secrets.RULES)).filter(F.size("spans") > 0)
-    found = found.groupBy("blob").agg(F.first("spans").alias("spans"))
+    found = materialise(found.groupBy("blob").agg(F.first("spans").alias("spans")))
     blob = secrets.blob_id(secrets.text_of(F.col("text")))
     rows = docs.select(blob.alias("blob"), F.col("text").alias("_text"), F.struct("*").alias("_row"))
     clean = F.when(F.col("spans").isNull(), F.col("_text")).otherwise(secrets.redacted(F.col("_text"), F.col("spans")))

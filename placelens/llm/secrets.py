@@ -179,6 +179,8 @@ def find_secrets(
     paths = versions.select(*keys, blob_id(text_of(F.col(text_column))).alias("_blob"))
     found = ledger.read(rules_version(rules)).filter(F.size("spans") > 0)
     found = found.groupBy("blob").agg(F.first("spans").alias("spans")).select(F.col("blob").alias("_blob"), "spans")
+    # Stored, so that the join shuffles both sides itself and may split a blob that very many paths hold.
+    found = materialise(found)
     joined = paths.join(found, "_blob", "left")
     return joined.select(*keys, F.col("_blob").alias("blob"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 

@@ -16,6 +16,11 @@ def price_items(text: Column) -> Column:
     return F.from_json(text, PRICE_ITEMS)
 
 
+def price_item_count(text: Column) -> Column:
+    """Items of a JSON price list; 0 for none or broken JSON."""
+    return F.when(price_items(text).isNull(), F.lit(0)).otherwise(F.size(price_items(text)))
+
+
 def minimum_price(text: Column) -> Column:
     """Sum of the required items of a JSON price list.
 

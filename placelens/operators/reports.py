@@ -18,9 +18,27 @@ def search_history(log: DataFrame, limit: int = 50) -> DataFrame:
     return log.orderBy(F.desc("id")).limit(limit).select(*LOG_COLUMNS)
 
 
-def search_log_rows(queries: DataFrame, results: DataFrame, name: str, intent: Column, region: Column) -> DataFrame:
-    """One log row per query: cleaned query, intent, region, result count and best result."""
-    extra = queries.select("query_id", intent.alias("intent"), region.alias("region"))
+def search_log_rows(
+    queries: DataFrame,
+    results: DataFrame,
+    name: str,
+    intent: Column,
+    region: Column,
+    at: Column | None = None,
+    seconds: Column | None = None,
+) -> DataFrame:
+    """One log row per query: time, query, cleaned query, intent, region, result count, best result, duration.
+
+    `at` and `seconds` are columns of the queries; without them the row is timed
+    now and has no duration. sinks.append_rows adds the rows to a stored log.
+    """
+    extra = queries.select(
+        "query_id",
+        intent.alias("intent"),
+        region.alias("region"),
+        (F.current_timestamp() if at is None else at).alias("waktu"),
+        (F.lit(None) if seconds is None else seconds).cast("double").alias("durasi_detik"),
+    )
     return search_summary(queries, results, name).join(extra, "query_id")
 
 

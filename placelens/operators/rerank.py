@@ -36,12 +36,15 @@ def rerank(
     k: int = 10,
     weights: dict[str, float] | None = None,
     intents: dict[str, list[str]] | None = None,
+    complete_by: Column | None = None,
 ) -> DataFrame:
     """The k best candidates per query with final_score, price_score, intent and rank.
 
     Candidates carry query_id, posisi, similarity_score, rating_rata,
     jumlah_review, harga_minimum and facilities; queries carry query_id and query.
     All scalings run over one query's candidates, so one shuffle serves them.
+    `complete_by` counts what makes a place complete: its facilities by default,
+    or its price items with price_item_count.
     """
     w = {**fixed.RANK_WEIGHTS, **(weights or {})}
     one_query = Window.partitionBy("query_id")
@@ -55,7 +58,7 @@ def rerank(
         candidates.join(intent, "query_id")
         .withColumn("_price", price)
         .withColumn("_reviews", F.coalesce(F.col("jumlah_review").cast("double"), F.lit(0.0)))
-        .withColumn("_items", M.facility_count(F.col("facilities")).cast("double"))
+        .withColumn("_items", (M.facility_count(F.col("facilities")) if complete_by is None else complete_by).cast("double"))
     )
     for c in ("_price", "_reviews", "_items"):
         signals = signals.withColumn(f"{c}_low", low(c)).withColumn(f"{c}_high", high(c))

@@ -296,10 +296,13 @@ META = """meta AS (
                        FROM lineitem GROUP BY 1) ON l_partkey = p_partkey)"""
 
 
-def recommended(fetch: int, k: int, vectors: str = "embeddings") -> str:
+FACILITY_ITEMS = "CASE p_size % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END"
+
+
+def recommended(fetch: int, k: int, vectors: str = "embeddings", items: str = FACILITY_ITEMS) -> str:
     return f"""{nearest(fetch, vectors)}, {META}, signals AS (
   SELECT n.*, m.* EXCLUDE (id), intent, lokasi_filter,
-         (CASE p_size % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END)::DOUBLE AS items
+         ({items})::DOUBLE AS items
   FROM nearest n JOIN meta m USING (id) JOIN asked USING (query_id)),
 bounds AS (
   SELECT query_id, min(harga_minimum) AS p0, max(harga_minimum) AS p1, min(jumlah_review) AS r0,
@@ -440,6 +443,8 @@ FROM turns WHERE length(trim(query)) > 0""",
 WHERE conv_id % 6 = 4 OR (conv_id % 6 = 5 AND length(trim(text)) = 0)""",
     "q19_recommend": f"""WITH {recommended(30, 10)} SELECT query_id, rank, id, nama_tempat, intent,
   round(similarity_score, 6) AS similarity_score, round(price_score, 6) AS price_score, final_score FROM results""",
+    "q19c_complete_by_prices": f"""WITH {recommended(30, 10, items="CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END")}
+SELECT query_id, rank, id, round(price_score, 6) AS price_score, final_score FROM results""",
     "q19b_formatted": f"""WITH {recommended(30, 10)} SELECT query_id, rank, id,
   array_to_string({FACILITY_OUTPUT}, ';') AS facilities,
   CASE WHEN p_size % 2 = 0 THEN nama_tempat END AS items,
@@ -514,7 +519,8 @@ ORDER BY event_id DESC LIMIT 50""",
     "q29b_search_log": f"""{SUMMARY},
   any_value(CASE {' '.join(f"WHEN {any_of('lower(a.query)', words)} THEN {text(name)}"
                            for name, words in fixed.INTENT_WORDS.items())} ELSE 'none' END) AS intent,
-  'Semua Lokasi' AS region FROM asked a LEFT JOIN results r USING (query_id) GROUP BY 1""",
+  'Semua Lokasi' AS region, '2024-05-01 08:30:00' AS waktu, length(any_value(a.query)) / 8.0::DOUBLE AS durasi_detik
+  FROM asked a LEFT JOIN results r USING (query_id) GROUP BY 1""",
     "q30_place_details": f"""WITH {PART_PRICES}, {FACILITIES},
 p AS (SELECT tempat_id, seq // 4096 AS seg, count(*) AS n, string_agg(item, ';' ORDER BY seq) AS items
   FROM part_prices GROUP BY 1, 2),

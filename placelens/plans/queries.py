@@ -33,6 +33,7 @@ from placelens.plans import roles as R
 from placelens.plans.recommend import recommend, run_evaluation
 from placelens.session import materialise, run_folder
 from placelens.sources import schemas
+from placelens.sources.sinks import append_rows
 from placelens.streaming.ingest import read_reviews, start_ingest
 from placelens.streaming.merge import read_corpus, start_merge
 
@@ -276,6 +277,19 @@ def q19_recommend(spark, folder):
     )
 
 
+@query
+def q19c_complete_by_prices(spark, folder):
+    """As q19, but a place is complete by the items of its price list."""
+    results = recommend(
+        R.label_queries(spark, folder),
+        R.vectors(spark, folder),
+        R.place_metadata(spark, folder),
+        10,
+        complete_by=M.price_item_count(F.col("price_items")),
+    )
+    return results.select("query_id", "rank", "id", F.round("price_score", 6).alias("price_score"), "final_score")
+
+
 @query
 def q19b_formatted(spark, folder):
     results = format_results(_recommended(spark, folder))
@@ -466,7 +480,19 @@ def q29_search_history(spark, folder):
 def q29b_search_log(spark, folder):
     queries = R.mixed_queries(spark, folder)
     results = q14b_phrase_search(spark, folder)
-    return reports.search_log_rows(queries, results, "nama", detect_intent(F.col("query")), F.lit("Semua Lokasi"))
+    rows = reports.search_log_rows(
+        queries,
+        results,
+        "nama",
+        detect_intent(F.col("query")),
+        F.lit("Semua Lokasi"),
+        F.lit("2024-05-01 08:30:00").cast("timestamp"),
+        F.length("query") / 8,
+    )
+    path = f"{run_folder(spark)}/log"
+    append_rows(rows, path)
+    stored = spark.read.schema(rows.schema).parquet(path)
+    return stored.withColumn("waktu", F.date_format("waktu", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query

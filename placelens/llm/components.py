@@ -12,38 +12,37 @@ def _lowest(links: DataFrame) -> DataFrame:
     return links.groupBy("u").agg(F.min("v").alias("low"))
 
 
-def _state(links: DataFrame) -> tuple:
-    row = links.agg(
-        F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    ).first()
-    return tuple(row)
+def _is_settled(links: DataFrame) -> bool:
+    """Every node has one link downwards or only links from above."""
+    ends = links.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        links.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    )
+    sums = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return sums.filter("down + up > 1").isEmpty()
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node that has a link; root is the least node of its component.
 
     Each round links every node's larger neighbours, then its smaller ones, to
-    the least of them, until nothing changes: rounds grow with the logarithm of
-    the longest path. Each round is stored, minima combine before the shuffle,
-    and only a count and a checksum reach the driver.
+    the least of them, until every node hangs on its root: rounds grow with the
+    logarithm of the longest path. Each round is stored, minima combine before
+    the shuffle, and only a yes or no reaches the driver. `links` should be stored.
     """
-    high, low = F.greatest(a, b), F.least(a, b)
-    now = materialise(links.filter(F.col(a) != F.col(b)).select(high.alias("u"), low.alias("v")).distinct())
-    state = _state(now)
-    while state[0]:
+    now = links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _lowest(both).select("u", F.least("u", "low").alias("low"))
         # Large star: each larger neighbour of u is linked to the least around u.
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        large = materialise(large)
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         # Small star: each smaller neighbour of u, and u, is linked to the least of them.
         joined = large.join(_lowest(large), "u")
-        small = joined.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(
-            joined.select("u", F.col("low").alias("v"))
-        )
-        now = materialise(small.filter("u != v").distinct())
-        before, state = state, _state(now)
-        if state == before:
+        pairs = F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct("u", F.col("low").alias("v")))
+        small = joined.select(F.explode(pairs).alias("p")).select("p.u", "p.v").filter("u != v")
+        now = materialise(small.distinct())
+        if _is_settled(now):
             break
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    roots = now.select(F.col("v").alias("node")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        roots.select("node", F.col("node").alias("root"))
+    )

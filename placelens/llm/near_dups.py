@@ -14,15 +14,22 @@ from placelens.llm.components import components
 from placelens.llm.shingles import Shingler, set_digest
 from placelens.llm.tokens import byte_batches
 
-# Retained values of a sketch.
+# Retained values of a sketch, and those of them that are looked up.
 SKETCH = 64
-# Two sets at the threshold of 0.85 share 54 of 64 retained values on average with a standard deviation
-# below 3; a shared count below this, or a union-sketch estimate below that, is five deviations away.
-LEAST_SHARED = 40
-LEAST_ESTIMATE = 0.62
-# Rounds of stars before the rest is paired outright, and the pairs per index row that end them early.
-STAR_ROUNDS = 4
-FEW_PAIRS = 8
+LISTED = 40
+# Lists with up to so many members are paired outright once stars have linked what they can.
+FEW_MEMBERS = 16
+# Members of a longer list that meet in one task, and the retained values by which they are compared there.
+BLOCK = 256
+COMPARED = 256
+# A pair is given up if an estimate is so many standard deviations below the threshold.
+DEVIATIONS = 5
+
+
+def least_estimate(percent: int, values: int) -> float:
+    """The estimate from so many values that a pair at the threshold falls below once in three million."""
+    share = percent / 100
+    return share - DEVIATIONS * (share * (1 - share) / values) ** 0.5
 
 
 def sketch_documents(docs: DataFrame, id_column: str, text_column: str, words: int, size: int = SKETCH) -> DataFrame:
@@ -69,25 +76,28 @@ def _whole_sets(docs: DataFrame, id_column: str, text_column: str, words: int, w
     return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def index_postings(nodes: DataFrame, percent: int) -> DataFrame:
-    """(value, node): the retained values by which a node is looked up.
+def index_postings(nodes: DataFrame) -> DataFrame:
+    """(value, node): inverted lists of retained values, three neighbours in hash order at a time.
 
-    Sketches that share `LEAST_SHARED` values must share one among the rarest
-    size - LEAST_SHARED + 1 of each, so common values (boilerplate) need no
-    list. Values that only one node retains lead nowhere and are not stored.
+    A single value says little, as common words meet by chance and boilerplate
+    is everywhere, so its list would be long for nothing. Three neighbours in
+    one sketch are neighbours in the other too unless a value of only one set
+    falls between. Of sets at 0.85, a sketch of 40 values has no such three in
+    common with a chance of 2e-8 (0.8: 1e-6); where whole sets are retained it
+    always has, as 15 or 20 % of odd values cannot part the others so finely.
+    Only sets of 4 and 5 values need two neighbours instead, which sets of up to
+    6 have. Lists of one node lead nowhere and are not stored.
     """
-    postings = nodes.select("node", "n", F.explode("sketch").alias("value"))
-    counts = postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = (
-        postings.join(counts, "value")
-        .groupBy("node", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
-    )
-    kept = F.least(F.col("n"), F.lit(SKETCH))
-    needed = F.least(F.floor((F.col("n") * percent + 99) / 100), F.lit(LEAST_SHARED))
-    prefix = (kept - needed + 1) - (kept - F.size("shared"))
-    chosen = F.slice("shared", 1, F.greatest(prefix, F.lit(0)).cast("int"))
-    return shared.select("node", F.explode(chosen).alias("s")).select(F.col("s.value").alias("value"), "node")
+    listed = F.slice("sketch", 1, LISTED)
+
+    def runs(size: int) -> Column:
+        firsts = F.slice(listed, 1, F.greatest(F.size(listed) - (size - 1), F.lit(0)))
+        return F.transform(firsts, lambda v, i: F.xxhash64(v, *[F.get(listed, i + j) for j in range(1, size)]))
+
+    few = F.when(F.col("n") <= 6, runs(2)).otherwise(F.array().cast("array<bigint>"))
+    postings = nodes.select("node", F.explode(F.concat(runs(3), few)).alias("value"))
+    counts = postings.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return postings.join(counts.select("value"), "value")
 
 
 def _estimate(a: Column, b: Column) -> Column:
@@ -97,80 +107,138 @@ def _estimate(a: Column, b: Column) -> Column:
 
 
 class _Verifier:
-    """Decides pairs of nodes: sizes, then the union-sketch estimate, then whole sets."""
+    """Decides pairs of nodes: sizes, then the union-sketch estimate, then whole sets.
+
+    `nodes` has (node, n, sketch, shingles).
+    """
 
-    def __init__(self, nodes: DataFrame, sets: DataFrame, percent: int) -> None:
-        self.nodes, self.sets, self.percent = nodes, sets, percent
+    def __init__(self, nodes: DataFrame, percent: int) -> None:
+        self.nodes, self.percent = nodes, percent
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are linked."""
-        left = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-        right = self.nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-        sized = 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
-        # Complete sketches give the exact value, for which the bound is low enough too.
-        likely = pairs.join(right, "b").join(left, "a").filter(sized).filter(
-            _estimate(F.col("s_a"), F.col("s_b")) >= LEAST_ESTIMATE
+        """The pairs (a, b) that are linked, stored."""
+        side = lambda end: self.nodes.select(
+            F.col("node").alias(end),
+            F.struct("n", "sketch", "shingles").alias(f"_{end}"),
         )
-        likely = materialise(likely.select("a", "b", "n_a", "n_b"))
-        set_a = self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-        set_b = self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        decided = likely.join(set_b, "b").join(set_a, "a").withColumn("both", both)
-        linked = 100 * F.col("both") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
-        return materialise(decided.filter(linked).select("a", "b"))
-
-
-def _star(index: DataFrame, centre: Column) -> DataFrame:
-    """Pairs of each list's centre with its other members."""
-    centres = index.groupBy("value").agg(centre.alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return index.join(centres.select("value", "a"), "value").filter("a != node").select("a", F.col("node").alias("b"))
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        joined = pairs.join(side("b"), "b").join(side("a"), "a")
+        n_a, n_b = F.col("_a.n"), F.col("_b.n")
+        sized = 100 * F.least(n_a, n_b) >= self.percent * F.greatest(n_a, n_b)
+        # Complete sketches give the exact value, for which the bound is low enough too.
+        likely = _estimate(F.col("_a.sketch"), F.col("_b.sketch")) >= least_estimate(self.percent, SKETCH)
+        both = F.size(F.array_intersect("_a.shingles", "_b.shingles"))
+        linked = 100 * both >= self.percent * (n_a + n_b - both)
+        # The branches are tried one after the other, so whole sets meet only where the sketches allow it.
+        decided = F.when(~sized, False).when(~likely, False).otherwise(linked)
+        return materialise(joined.filter(decided).select("a", "b"))
+
+
+def _star(index: DataFrame, *centres: Column) -> DataFrame:
+    """Distinct pairs (a < b) of each list's centres with its other members."""
+    found = index.groupBy("value").agg(F.array_distinct(F.array(*centres)).alias("centres"), F.count(F.lit(1)).alias("n"))
+    spokes = index.join(found.filter("n > 1"), "value").select("node", F.explode("centres").alias("centre"))
+    return spokes.filter("centre != node").select(
+        F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")
+    ).distinct()
+
+
+def _overlaps(first: list[np.ndarray], second: list[np.ndarray], whole: int) -> np.ndarray:
+    """Resemblance of each of the first sketches with each of the second; exact for sets below `whole` values."""
+    values = np.unique(np.concatenate(first))
+    ends = [np.array([np.iinfo(np.int64).max if len(x) < whole else x[-1] for x in side]) for side in (first, second)]
+    table = []
+    for side in (first, second):
+        found = np.zeros((len(side), len(values)), dtype=np.float32)
+        for i, x in enumerate(side):
+            at = np.searchsorted(values, x)
+            at[at == len(values)] = 0
+            found[i, at[values[at] == x]] = 1
+        table.append(found)
+    both = table[0] @ table[1].T
+    # Only values up to the lower end of the two sketches are known of both.
+    of_first = np.array([np.searchsorted(x, np.minimum(ends[0][i], ends[1]), "right") for i, x in enumerate(first)])
+    of_second = np.array([np.searchsorted(x, np.minimum(ends[1][j], ends[0]), "right") for j, x in enumerate(second)]).T
+    return both / (of_first + of_second - both)
+
+
+def compare_blocks(blocks: DataFrame, percent: int, compared: int = COMPARED) -> DataFrame:
+    """Likely pairs (a, b) of different roots within (value, low, high), whose rows are of blocks `low` and `high`.
+
+    Rows have node, root, block and `some` (the least values of the set). Tasks
+    hold two blocks of a list at a time, and only likely pairs leave them.
+    """
+    share, least = percent / 100, least_estimate(percent, compared)
+
+    def likely(key: tuple, table: pa.Table) -> pa.Table:
+        nodes, roots = table["node"].to_pylist(), np.array(table["root"].to_pylist(), dtype=object)
+        sets = [np.array(x, dtype=np.int64) for x in table["some"].to_pylist()]
+        block, low, high = np.array(table["block"].to_pylist()), key[1].as_py(), key[2].as_py()
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        pairs = []
+        if len(left) and len(right):
+            alike = _overlaps([sets[i] for i in left], [sets[j] for j in right], compared)
+            whole = np.array([len(x) < compared for x in sets])
+            bound = np.where(whole[left][:, None] & whole[right][None, :], share - 1e-6, least)
+            for i, j in zip(*np.nonzero(alike >= bound), strict=True):
+                x, y = left[i], right[j]
+                if roots[x] != roots[y] and (low != high or x < y):
+                    pairs.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
+        ends = list(zip(*pairs, strict=True)) or [(), ()]
+        return pa.table({"a": pa.array(ends[0], pa.binary()), "b": pa.array(ends[1], pa.binary())})
+
+    return blocks.groupBy("value", "low", "high").applyInArrow(likely, "a binary, b binary").distinct()
+
+
+def _mixed_lists(labelled: DataFrame) -> DataFrame:
+    """(value, n): lists with members of several components, and their lengths."""
+    lists = labelled.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n"))
+    return lists.filter("x != y").select("value", "n")
+
+
+def _rest_of_short_lists(rest: DataFrame) -> DataFrame:
+    short = rest.filter(F.col("n") <= FEW_MEMBERS)
+    other = short.select("value", F.col("node").alias("other"), F.col("root").alias("other_root"))
+    pairs = short.join(other, "value").filter("root < other_root")
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _rest_of_long_lists(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")
+    long = rest.filter(F.col("n") > FEW_MEMBERS).withColumn("block", block)
+    some = nodes.select("node", F.slice("shingles", 1, COMPARED).alias("some"))
+    meets = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with")
+    met = long.join(some, "node").select("value", "node", "root", "block", "some", meets)
+    met = met.select(
+        "value", "node", "root", "block", "some", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high")
+    )
+    return compare_blocks(met, percent)
 
 
-def link_components(index: DataFrame, verifier: _Verifier) -> DataFrame:
-    """(node, root) of all linked nodes, without pairing the members of a list with each other.
+def link_components(index: DataFrame, tested: DataFrame, verifier: _Verifier) -> DataFrame:
+    """(node, root) of all linked nodes, without making the pairs within a list rows.
 
-    Only components matter, so each list is first tested against one or two of
-    its members. Then, in the lists whose members are still in several
-    components, only members of different components need testing: by another
-    star while those pairs are many, and outright once they are few (or after
-    `STAR_ROUNDS`), so that no link between different components is missed.
+    Only components matter, so each list is first tested against two of its
+    members (the pairs `tested`), which links most of what belongs together.
+    Then, in the lists whose members are still in several components, members of
+    different components are compared: in short lists outright, in longer ones
+    block by block inside tasks, which only likely pairs leave. So no link
+    between different components is missed.
     """
-    tested = materialise(_ordered(_star(index, F.min("node")).unionByName(_star(index, F.max("node")))))
     links = verifier.links(tested)
-    rows = index.count()
-    for turn in range(STAR_ROUNDS):
-        roots = components(links, "a", "b")
-        labelled = index.join(roots, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root"))
-        per_root = labelled.groupBy("value", "root").agg(F.count(F.lit(1)).alias("n"))
-        mixed = per_root.groupBy("value").agg(
-            F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares")
-        ).filter("roots > 1")
-        mixed = materialise(mixed.select("value", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs")))
-        pairs = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
-        if not pairs:
-            return roots
-        rest = materialise(labelled.join(mixed.select("value"), "value", "left_semi"))
-        last = turn == STAR_ROUNDS - 1 or pairs <= FEW_PAIRS * rows
-        if last:
-            other = rest.select("value", F.col("node").alias("b"), F.col("root").alias("root_b"))
-            new = rest.withColumnRenamed("node", "a").join(other, "value").filter("root < root_b").select("a", "b")
-        else:
-            centre = F.min_by("node", F.xxhash64("node", F.lit(turn)))
-            new = _star(rest.select("value", "node"), centre)
-        new = materialise(_ordered(new).join(tested, ["a", "b"], "left_anti"))
-        links = materialise(links.unionByName(verifier.links(new)))
-        if last:
-            return components(links, "a", "b")
-        tested = materialise(tested.unionByName(new))
-    return components(links, "a", "b")
+    roots = components(links, "a", "b")
+    labelled = index.join(roots, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root"))
+    labelled = materialise(labelled)
+    rest = materialise(labelled.join(_mixed_lists(labelled), "value"))
+    if rest.isEmpty():
+        return roots
+    new = _rest_of_short_lists(rest).unionByName(_rest_of_long_lists(rest, verifier.nodes, verifier.percent)).distinct()
+    more = verifier.links(materialise(new.join(tested, ["a", "b"], "left_anti")))
+    return components(materialise(links.unionByName(more)), "a", "b")
 
 
 def near_duplicates(
-    docs: DataFrame, id_column: str, text_column: str, words: int = 5, percent: int = 80, size: int = SKETCH
+    docs: DataFrame, id_column: str, text_column: str, words: int = 5, percent: int = 80
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -187,17 +255,18 @@ def near_duplicates(
     never becomes a component's id unless nothing else is there. An empty table
     gives an empty one; other columns are not read.
     """
-    rows = materialise(sketch_documents(docs, id_column, text_column, words, size))
+    rows = materialise(sketch_documents(docs, id_column, text_column, words))
     distinct = rows.filter("node IS NOT NULL").groupBy("node")
     nodes = materialise(
         distinct.agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
     )
-    index = materialise(index_postings(nodes, percent))
-    lists = index.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    near = index.join(lists, "value", "left_semi").select("node").distinct()
-    wanted = nodes.select("node", "doc_id").join(near, "node", "left_semi")
-    sets = materialise(_whole_sets(docs, id_column, text_column, words, wanted))
-    roots = link_components(index, _Verifier(nodes, sets, percent))
+    index = materialise(index_postings(nodes))
+    pairs = materialise(_star(index, F.min("node"), F.max("node")))
+    near = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = materialise(nodes.join(near, "node", "left_semi"))
+    sets = _whole_sets(docs, id_column, text_column, words, wanted.select("node", "doc_id"))
+    verifier = _Verifier(materialise(wanted.drop("doc_id").join(sets, "node")), percent)
+    roots = link_components(index, pairs, verifier)
     rooted = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = rooted.select("node", "root").join(least, "root").select("node", "component_id")

@@ -164,15 +164,18 @@ def _overlaps(first: list[np.ndarray], second: list[np.ndarray], whole: int) ->
 def compare_blocks(blocks: DataFrame, percent: int, compared: int = COMPARED) -> DataFrame:
     """Likely pairs (a, b) of different roots within (value, low, high), whose rows are of blocks `low` and `high`.
 
-    Rows have node, root, block and `some` (the least values of the set). Tasks
-    hold two blocks of a list at a time, and only likely pairs leave them.
+    Rows have node, root, block, `some` (the least values of the set) and
+    `lists` (all long lists of the node). Tasks hold two blocks of a list at a
+    time, and only likely pairs leave them, each from the first of the lists that
+    both nodes are in.
     """
     share, least = percent / 100, least_estimate(percent, compared)
 
     def likely(key: tuple, table: pa.Table) -> pa.Table:
         nodes, roots = table["node"].to_pylist(), np.array(table["root"].to_pylist(), dtype=object)
         sets = [np.array(x, dtype=np.int64) for x in table["some"].to_pylist()]
-        block, low, high = np.array(table["block"].to_pylist()), key[1].as_py(), key[2].as_py()
+        block, value, low, high = np.array(table["block"].to_pylist()), *[k.as_py() for k in key]
+        lists = [set(x) for x in table["lists"].to_pylist()]
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         pairs = []
         if len(left) and len(right):
@@ -181,7 +184,7 @@ def compare_blocks(blocks: DataFrame, percent: int, compared: int = COMPARED) ->
             bound = np.where(whole[left][:, None] & whole[right][None, :], share - 1e-6, least)
             for i, j in zip(*np.nonzero(alike >= bound), strict=True):
                 x, y = left[i], right[j]
-                if roots[x] != roots[y] and (low != high or x < y):
+                if roots[x] != roots[y] and (low != high or x < y) and min(lists[x] & lists[y]) == value:
                     pairs.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
         ends = list(zip(*pairs, strict=True)) or [(), ()]
         return pa.table({"a": pa.array(ends[0], pa.binary()), "b": pa.array(ends[1], pa.binary())})
@@ -207,10 +210,14 @@ def _rest_of_long_lists(rest: DataFrame, nodes: DataFrame, percent: int) -> Data
     block = F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")
     long = rest.filter(F.col("n") > FEW_MEMBERS).withColumn("block", block)
     some = nodes.select("node", F.slice("shingles", 1, COMPARED).alias("some"))
+    # A node is in as many lists as it has listed values at most.
+    lists = long.groupBy("node").agg(F.collect_set("value").alias("lists"))
     meets = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with")
-    met = long.join(some, "node").select("value", "node", "root", "block", "some", meets)
+    met = long.join(lists, "node").join(some, "node").select("value", "node", "root", "block", "some", "lists", meets)
     met = met.select(
-        "value", "node", "root", "block", "some", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high")
+        *["value", "node", "root", "block", "some", "lists"],
+        F.least("block", "with").alias("low"),
+        F.greatest("block", "with").alias("high"),
     )
     return compare_blocks(met, percent)
 

@@ -34,13 +34,27 @@ BASE_RULES = (
     SecretRule("access", r"AKIA[A-Z0-9]+", 18),
     SecretRule("hex", r"[0-9a-f]{16,}", 16),
 )
+# A private key from its BEGIN line to the END line, with no other such line between them; without an END line, over
+# header lines and runs of 16 or more base64 characters that follow, and one shorter run after them. Java's matcher
+# goes some calls deeper with every turn of a group, so these are bounded; after so many runs all base64 lines go.
+_BASE64, _OTHER, _DEPTH = "[A-Za-z0-9+/=]", "[^A-Za-z0-9+/=-]", 200
+_GAP = rf"{_OTHER}{{1,4}}[ \t]*"
+_TO_END = rf"[^-]*(?:-{{1,4}}[^-]+){{0,{_DEPTH}}}-{{5,}}END [A-Z ]*PRIVATE KEY-----"
+_RUN = rf"{_BASE64 * 16}{_BASE64}*"
+_MORE = rf"(?:{_GAP}{_RUN})"
+_BODY = (
+    rf"(?:[ \t]*\r?\n[A-Za-z][A-Za-z-]*:[^\r\n]*){{0,8}}(?:{_GAP})?{_RUN}"
+    rf"(?:{_MORE}{{{_DEPTH}}}[A-Za-z0-9+/=\r\n]*|{_MORE}{{0,{_DEPTH}}}(?:(?:\r?\n|\\\\)[ \t]*{_BASE64}+)?)"
+)
+_PRIVATE = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_TO_END}|{_BODY})?"
+
 # Kinds that this scanner adds.
 MORE_RULES = (
     SecretRule("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
     SecretRule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15),
     SecretRule("google", r"AIza[A-Za-z0-9_-]+", 39),
     SecretRule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 32),
-    SecretRule("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 27),
+    SecretRule("private", _PRIVATE, 27),
 )
 RULES = BASE_RULES + MORE_RULES
 SPANS = "array<struct<start:bigint,rule:int,kind:string,end:bigint>>"

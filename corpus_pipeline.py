@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placelens.llm import mixing, near_dups, packing, quality, secrets, tokens
-from placelens.llm.common import materialise, read_table
+from placelens.llm.common import materialise, read_table, text_of
 from placelens.llm.queries import fit_quality
 from placelens.session import run_folder
 
@@ -26,13 +26,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near-duplicates: of each group of linked documents (five words, 0.8) the one with the least id stays.
 
-    Documents are dropped by id. A document given twice (same id, same text) stays once.
+    That is one id and one text, also where ids are missing or come again. A document given twice (same id, same
+    text) stays once.
     """
-    found = near_dups.near_duplicates(docs, "doc_id", "text", words=5, percent=80)
-    kept = materialise(found.filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct())
-    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.struct("*").alias("_row"))
-    rows = rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return rows.groupBy("_id", F.md5(F.coalesce("_text", F.lit("")))).agg(F.first("_row").alias("_row")).select("_row.*")
+    kept = materialise(near_dups.kept_documents(docs, "doc_id", "text", words=5, percent=80))
+    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_id").alias("_text_id"))
+    text_id = near_dups.text_id(text_of(F.col("text")))
+    rows = docs.select(F.col("doc_id").alias("_id"), text_id.alias("_text_id"), F.struct("*").alias("_row"))
+    same = F.col("_id").eqNullSafe(F.col("_kept_id")) & (rows["_text_id"] == kept["_text_id"])
+    rows = rows.join(kept, same, "left_semi")
+    return rows.groupBy("_id", "_text_id").agg(F.first("_row").alias("_row")).select("_row.*")
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

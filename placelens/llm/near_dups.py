@@ -32,26 +32,33 @@ def least_estimate(percent: int, values: int) -> float:
     return share - DEVIATIONS * (share * (1 - share) / values) ** 0.5
 
 
+def text_id(text: Column) -> Column:
+    """Tells the texts of one id apart."""
+    return F.unhex(F.md5(text))
+
+
 def sketch_documents(docs: DataFrame, id_column: str, text_column: str, words: int, size: int = SKETCH) -> DataFrame:
-    """(doc_id, n_shingles, node, sketch) per row: node is a digest of the whole set (null if empty)."""
+    """(doc_id, text_id, n_shingles, node, sketch) per row: node is a digest of the whole set (null if empty)."""
     kind = dict(docs.dtypes)[id_column]
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for start, end in byte_batches(texts, 4 << 20):
                 sets = list(shingler.sets(texts[start:end]))
                 columns = [
                     batch.column(0).slice(start, end - start),
+                    batch.column(1).slice(start, end - start),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([s[:size] for s in sets], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_id", "n_shingles", "node", "sketch"])
 
-    chosen = docs.select(F.col(id_column).alias("doc_id"), text_of(F.col(text_column)).alias("text"))
-    return chosen.mapInArrow(sketched, f"doc_id {kind}, n_shingles long, node binary, sketch array<long>")
+    text = text_of(F.col(text_column))
+    chosen = docs.select(F.col(id_column).alias("doc_id"), text_id(text).alias("text_id"), text.alias("text"))
+    return chosen.mapInArrow(sketched, f"doc_id {kind}, text_id binary, n_shingles long, node binary, sketch array<long>")
 
 
 def _whole_sets(docs: DataFrame, id_column: str, text_column: str, words: int, wanted: DataFrame) -> DataFrame:
@@ -244,6 +251,31 @@ def link_components(index: DataFrame, tested: DataFrame, verifier: _Verifier) ->
     return components(materialise(links.unionByName(more)), "a", "b")
 
 
+def _first(*more: str) -> Column:
+    """The least of some rows by id, a missing id last, then by the columns of `more`."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *more))
+
+
+def _linked_rows(
+    docs: DataFrame, id_column: str, text_column: str, words: int, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """The stored rows of `sketch_documents`, and (node, first) per node: the first row of what links reach from it."""
+    rows = materialise(sketch_documents(docs, id_column, text_column, words))
+    distinct = rows.filter("node IS NOT NULL").groupBy("node")
+    firsts = distinct.agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), _first("text_id").alias("least"))
+    nodes = materialise(firsts.select("node", "n", "sketch", "least.doc_id", "least.text_id"))
+    index = materialise(index_postings(nodes))
+    pairs = materialise(_star(index, F.min("node"), F.max("node")))
+    near = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = materialise(nodes.join(near, "node", "left_semi"))
+    sets = _whole_sets(docs, id_column, text_column, words, wanted.select("node", "doc_id"))
+    verifier = _Verifier(materialise(wanted.drop("doc_id", "text_id").join(sets, "node")), percent)
+    roots = link_components(index, pairs, verifier)
+    rooted = nodes.select("node", "doc_id", "text_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(_first("node", "text_id").alias("first"))
+    return rows, rooted.select("node", "root").join(least, "root").select("node", "first")
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str, text_column: str, words: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -258,27 +290,26 @@ def near_duplicates(
 
     A text without words (or null) has an empty set, no links and itself as
     component. Rows of one id and equal sets share a fate; rows of one id with
-    different texts are separate documents that carry the same id. A null id
+    different texts are separate documents that carry the same id, of which at
+    most one set per component is kept, the one with the least digest. A null id
     never becomes a component's id unless nothing else is there. An empty table
     gives an empty one; other columns are not read.
     """
-    rows = materialise(sketch_documents(docs, id_column, text_column, words))
-    distinct = rows.filter("node IS NOT NULL").groupBy("node")
-    nodes = materialise(
-        distinct.agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
-    )
-    index = materialise(index_postings(nodes))
-    pairs = materialise(_star(index, F.min("node"), F.max("node")))
-    near = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialise(nodes.join(near, "node", "left_semi"))
-    sets = _whole_sets(docs, id_column, text_column, words, wanted.select("node", "doc_id"))
-    verifier = _Verifier(materialise(wanted.drop("doc_id").join(sets, "node")), percent)
-    roots = link_components(index, pairs, verifier)
-    rooted = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = rooted.select("node", "root").join(least, "root").select("node", "component_id")
-    found = rows.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    rows, firsts = _linked_rows(docs, id_column, text_column, words, percent)
+    found = rows.select("doc_id", "n_shingles", "node").join(firsts, "node", "left")
+    alone = F.col("node").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    kept = alone | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node")))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def kept_documents(
+    docs: DataFrame, id_column: str, text_column: str, words: int = 5, percent: int = 80
+) -> DataFrame:
+    """(doc_id, text_id) of one document per component of `near_duplicates`, and of all without words; no row twice.
+
+    Of equal least ids, and where no row of a component has an id, digests decide.
+    """
+    rows, firsts = _linked_rows(docs, id_column, text_column, words, percent)
+    chosen = firsts.filter(F.col("node") == F.col("first.node")).select("first.doc_id", "first.text_id")
+    return chosen.unionByName(rows.filter("node IS NULL").select("doc_id", "text_id")).distinct()

@@ -216,6 +216,23 @@ def test_near_duplicates(docs, empty, all_ids):
     assert near_dups.near_duplicates(empty, "doc_id", "text").count() == 0
 
 
+def test_stage_keeps_one_of_repeated_and_missing_ids(spark, tmp_path):
+    a, b, c = ([f"{x}{i}" for i in range(300)] for x in "abc")
+    near = lambda words, n: " ".join([*words, *[f"more{n}x{i}" for i in range(5)]])
+    rows = [(1, near(a, 1)), (1, near(a, 2)), (1, near(a, 2).upper()), (2, near(a, 3))]  # one id, linked texts
+    rows += [(None, near(b, 1)), (None, near(b, 2)), (None, near(b, 2))]  # no ids
+    rows += [(3, near(c, 1)), (4, near(c, 2)), (4, "another text of this id")]  # a text whose id is kept for another
+    rows += [(5, ""), (5, None), (6, ""), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id bigint, text string, source string")
+    got = pipeline.keep_one_of_each(spark, docs, str(tmp_path)).collect()
+    assert {tuple(r)[:2] for r in got if r.text} <= set(rows)
+    kind = lambda r: (r.doc_id, (r.text or "")[:1].lower())
+    want = [(1, "a"), (None, "b"), (3, "c"), (4, "a"), (5, ""), (6, ""), (None, " ")]
+    assert Counter(map(kind, got)) == Counter(want)
+    found = near_dups.near_duplicates(docs, "doc_id", "text").filter("kept AND n_shingles > 100").collect()
+    assert len({(r.doc_id, r.n_shingles) for r in found}) == 3
+
+
 def test_near_duplicate_chains(spark, monkeypatch):
     """Groups that hang together by single links, found in short lists, in one block and in several."""
     rng = random.Random(5)

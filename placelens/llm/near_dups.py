@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,23 @@ FEW_MEMBERS = 16
 # Members of a longer list that meet in one task, and the retained values by which they are compared there.
 BLOCK = 256
 COMPARED = 256
-# A pair is given up if an estimate is so many standard deviations below the threshold.
-DEVIATIONS = 5
+# A pair at the threshold is given up by an estimate with this chance at most.
+MISS_CHANCE = 1 / 3_000_000
 
 
 def least_estimate(percent: int, values: int) -> float:
-    """The estimate from so many values that a pair at the threshold falls below once in three million."""
-    share = percent / 100
-    return share - DEVIATIONS * (share * (1 - share) / values) ** 0.5
+    """The estimate from so many values that a pair at the threshold falls below with `MISS_CHANCE` at most.
+
+    Each value of the union is in both sets with the chance `percent`, so this is
+    a quantile of the binomial; of a small union the values come without being
+    put back, which strays less.
+    """
+    share, below = percent / 100, 0.0
+    for both in range(values + 1):
+        below += comb(values, both) * share**both * (1 - share) ** (values - both)
+        if below > MISS_CHANCE:
+            break
+    return both / values
 
 
 def text_id(text: Column) -> Column:
@@ -285,8 +295,9 @@ def near_duplicates(
     resemblance of `percent` % or more; component_id is the least doc_id that
     links reach, and kept marks the document that has it. Equal sets are one
     node from the start, so copies are never paired. Candidates come from the
-    inverted lists of retained values; a pair at the threshold is missed with a
-    chance below one in a million. Whole sets decide.
+    inverted lists of retained values, estimates drop unlikely ones, and whole
+    sets decide; a pair at the threshold is missed with a chance of 4.4e-7 at
+    most (85 %; 80 %: 1.4e-6).
 
     A text without words (or null) has an empty set, no links and itself as
     component. Rows of one id and equal sets share a fate; rows of one id with

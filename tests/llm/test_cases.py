@@ -233,6 +233,15 @@ def test_stage_keeps_one_of_repeated_and_missing_ids(spark, tmp_path):
     assert len({(r.doc_id, r.n_shingles) for r in found}) == 3
 
 
+def test_least_estimate_loses_no_more_than_stated():
+    for percent, values, want in ((85, 64, 38 / 64), (80, 64, 34 / 64), (85, 256, 187 / 256), (80, 256, 171 / 256)):
+        least, share = near_dups.least_estimate(percent, values), percent / 100
+        chances = [math.comb(values, k) * share**k * (1 - share) ** (values - k) for k in range(values + 1)]
+        assert least == want
+        assert sum(p for k, p in enumerate(chances) if k / values < least) <= 1 / 3_000_000
+        assert sum(p for k, p in enumerate(chances) if k / values <= least) > 1 / 3_000_000
+
+
 def test_near_duplicate_chains(spark, monkeypatch):
     """Groups that hang together by single links, found in short lists, in one block and in several."""
     rng = random.Random(5)

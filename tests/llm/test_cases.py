@@ -509,6 +509,34 @@ def test_sketch_estimates(spark):
     assert merged["s"] == got["m"]
 
 
+def test_long_texts_of_all_scripts_are_cut_and_encoded_together(monkeypatch):
+    from tokenizers import Tokenizer
+
+    own, calls = Tokenizer.from_file(PATH), []
+
+    class Watched:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch(self, texts, **kind):
+            calls.append([len(t.encode()) for t in texts])
+            return self.inner.encode_batch(texts, **kind)
+
+    class Files:
+        from_file = staticmethod(lambda path: Watched(own))
+
+    monkeypatch.setattr("tokenizers.Tokenizer", Files)
+    texts = ["слово и <|endoftext|> 中文  字 \U0001f600 " * 20_000, "", "plain words", "аб", "é\n\n x " * 20_000]
+    got = tokens.batch_encoder(PATH)(texts)
+    for text, ids in zip(texts, got, strict=True):
+        assert ids.tolist() == own.encode(text, add_special_tokens=False).ids
+    assert any(len(c) > 1 for c in calls) and max(map(sum, calls)) <= tokens.BATCH_BYTES
+    assert list(tokens.size_batches([600_000, 600_000, 1])) == [(0, 1), (1, 3)]
+
+
 def test_ranked_and_numbered(spark):
     rng = random.Random(9)
     rows = [(rng.choice("aab"), rng.getrandbits(63), rng.randint(0, 9)) for _ in range(500)]

@@ -119,9 +119,10 @@ def dense_index(
     """Number all rows start, start+1, ... by `order`, without a window over the whole table.
 
     The last order column is a number, unique within the ones before it unless
-    `ties` orders the rest. Rows whose group is null are numbered first. Rows
-    are numbered inside buckets cut at percentiles of that column; a running sum
-    over the bucket counts gives each bucket its offset.
+    `ties`, of which the first is a digest, orders the rest. Rows whose group is
+    null are numbered first. Rows are numbered inside buckets cut at percentiles
+    of that column, those that lack it in ranges of the digest; a running sum over
+    the bucket counts gives each bucket its offset.
     """
     *groups, last = order
     rows = df.count()
@@ -135,10 +136,17 @@ def dense_index(
     if buckets > 1:
         shares = [i / buckets for i in range(1, buckets)]
         cuts = df.agg(F.percentile_approx(last, shares, max(10_000, 20 * buckets))).first()[0]
-        splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
-        cutter = Bucketizer(splits=splits, inputCol="_last", outputCol="_bucket")
-        cut = cutter.transform(df.withColumn("_last", F.col(last).cast("double"))).drop("_last")
-        bucketed = cut.withColumn("_bucket", F.coalesce(F.col("_bucket").cast("int"), F.lit(-1)))
+        cut = bucketed
+        if cuts:
+            splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
+            cutter = Bucketizer(splits=splits, inputCol="_last", outputCol="_bucket")
+            cut = cutter.transform(df.withColumn("_last", F.col(last).cast("double"))).drop("_last")
+        bucketed = cut.withColumn(
+            "_bucket",
+            F.when(F.col(last).isNull(), _digest_range(ties[0] if ties else row_digest(df.columns), buckets) - buckets)
+            .otherwise(F.col("_bucket"))
+            .cast("int"),
+        )
     parts = [*groups, "_bucket"]
     # One row per bucket, so this window stays small.
     before = Window.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
@@ -158,6 +166,12 @@ def dense_index(
     )
 
 
+def _digest_range(digest: Column | str, ranges: int) -> Column:
+    """Which of so many equal ranges, from 0, a digest lies in; they are in its order."""
+    head = F.conv(F.hex(F.substring(digest, 1, 4)), 16, 10).cast("bigint")
+    return F.shiftright(F.coalesce(head, F.lit(0)) * F.lit(ranges), 32)
+
+
 def latest_value(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """The value with the highest order per key (largest value on ties); rows combine before the shuffle."""
     per_value = df.groupBy(key, value).agg(F.max(order).alias("_order"))

@@ -85,6 +85,17 @@ def test_dense_index_keeps_a_missing_order(spark):
     assert sorted(r["n"] for r in skew.dense_index(df, ["id"], "n", 1, 1).collect()) == [1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("given", [0, 60])
+def test_dense_index_of_missing_orders_is_the_same_at_every_size(spark, given):
+    rows = [(i if i < given else None, f"t{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, t string").withColumn("_tie", skew.row_digest(["id", "t"])).repartition(5)
+    number = lambda bucket: {r.t: r.n for r in skew.dense_index(df, ["id"], "n", 1, bucket, ("_tie",)).collect()}
+    assert number(10) == number(1000) and sorted(number(10).values()) == list(range(1, 201))
+    ranges = df.groupBy(skew._digest_range("_tie", 20)).count().collect()
+    assert len(ranges) == 20 and max(r["count"] for r in ranges) < 40
+    assert sorted(r.n for r in skew.dense_index(df, ["id"], "n", 1, 10).collect()) == list(range(1, 201))
+
+
 def test_dense_index_of_nothing(spark):
     assert skew.dense_index(spark.range(0), ["id"], "n").count() == 0
 

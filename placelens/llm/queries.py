@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placelens.llm import fingerprints, languages, mixing, near_dups, packing, quality, secrets, sharding, tokens, urls
+from placelens.llm import (
+    chat,
+    fingerprints,
+    importance,
+    languages,
+    merkle,
+    mixing,
+    near_dups,
+    packing,
+    quality,
+    secrets,
+    sharding,
+    tokens,
+    urls,
+)
 from placelens.llm.common import read_table
 from placelens.session import run_folder
 
@@ -105,6 +119,56 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge_quality(docs, "doc_id", "text", fit_quality(spark, docs, folder))
 
 
+LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    bare = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    tampered = merkle.leaf_digest(*[F.col(c) for c in LEAF_COLUMNS[:-1]], bare)
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    manifest = merkle.build_manifest(docs, "doc_id", "source", LEAF_COLUMNS, carry=F.when(chosen, tampered))
+    folded = merkle.folded(F.coalesce("carry", "leaf"), F.col("path"))
+    found = merkle.proofs(manifest).withColumn("folded_root", folded)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op12_target_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    target = importance.bucket_counts(read_table(spark, folder, "benchmark"), "text")
+    gains = importance.bucket_gains(importance.bucket_counts(docs, "text"), target)
+    drawn = importance.draw_documents(importance.score_documents(docs, "doc_id", "text", gains))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    given = read_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = [(-7, i, role, said) for i, role in enumerate(("user", "assistant"))]
+    chats = given.unionByName(spark.createDataFrame(more, given.schema))
+    read = chat.read_back(chat.format_turns(chats, "conv_id", "turn", "role", "text"))
+    order = chat.check_order(chats, "conv_id", "turn", "role").drop("n_turns")
+    same = read["conv_id"].eqNullSafe(order["conv_id"])
+    return read.join(order, same).select(
+        read["conv_id"],
+        "n_turns",
+        "turns_sha256",
+        "loss_chars",
+        "loss_sha256",
+        "formatted_chars",
+        (F.col("n_bad") == 0).alias("in_order"),
+        "end_state",
+    )
+
+
 LLM_QUERIES = {
     f.__name__: f
     for f in (
@@ -118,5 +182,8 @@ LLM_QUERIES = {
         op8_fingerprints,
         op9_token_counts,
         op10_quality_rules,
+        op11_merkle_manifest,
+        op12_target_resampling,
+        op13_chat_format,
     )
 }

@@ -43,12 +43,12 @@ class ChatTemplate:
     recover: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        controls, firsts = self.controls(), {c[0] for c in self.controls()}
-        marks = [m for marks in [*self.roles.values(), self.other] for m in (marks.head, marks.tail)]
-        if any(set(c[1:]) & (firsts | {ESCAPE}) or re.search(r"\s", c) or c[0] == ESCAPE for c in controls):
-            raise ValueError("a control string has no white space, no escape character, and first characters only at its start")
-        if any(not m.strip() for m in [*marks, self.named]) or len({m.strip() for m in marks}) < len(marks):
+        marks = [m.strip() for marks in [*self.roles.values(), self.other] for m in (marks.head, marks.tail)]
+        if not all([*marks, self.named.strip()]) or len(set(marks)) < len(marks):
             raise ValueError("each head and tail is a control string of its own")
+        firsts = {c[0] for c in self.controls()}
+        if any(set(c[1:]) & (firsts | {ESCAPE}) or re.search(r"\s", c) or c[0] == ESCAPE for c in self.controls()):
+            raise ValueError("a control string has no white space, no escape character, and first characters only at its start")
 
     def controls(self) -> list[str]:
         """The control strings: heads and tails without the white space around them."""
@@ -111,11 +111,11 @@ def format_turns(
     text: str,
     template: ChatTemplate = BRACKETS,
 ) -> DataFrame:
-    """One row per turn: conv_id, turn, role, body (the text), and segments, an array of (text, loss).
+    """One row per turn: conv_id, turn, role, and segments, an array of (text, loss).
 
     A turn becomes its head, its escaped text and its tail; loss is true for the
     texts of learned roles alone. A row is formatted where it lies, so nothing is
-    shuffled, however long a conversation is; put in order of (turn, role, body),
+    shuffled, however long a conversation is; put in order of (turn, role, segments),
     the segments of a conversation are its formatted text.
 
     Null roles and texts count as empty, roles the template does not have stand
@@ -141,7 +141,7 @@ def format_turns(
         (chosen(lambda m: m.tail, F.lit(template.other.tail)), F.lit(False)),
     ]
     segments = F.array(*[F.struct(piece.alias("text"), loss.alias("loss")) for piece, loss in pieces])
-    return rows.withColumn("segments", segments)
+    return rows.select("conv_id", "turn", "role", segments.alias("segments"))
 
 
 def check_order(
@@ -255,7 +255,7 @@ def read_back(turns: DataFrame, template: ChatTemplate = BRACKETS) -> DataFrame:
 
     A digest needs the text of its conversation in order, so a conversation's
     rows meet in one task, which streams them: sorted on disk if need be, and
-    one turn is held at a time. Turns are in the order of (turn, role, body).
+    one turn is held at a time. Turns are in the order of (turn, role, segments).
     """
     kind = dict(turns.dtypes)["conv_id"]
 
@@ -295,6 +295,6 @@ def read_back(turns: DataFrame, template: ChatTemplate = BRACKETS) -> DataFrame:
         if now:
             yield put([close(now)])
 
-    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "body")
+    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "segments")
     schema = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return ordered.select("conv_id", "segments").mapInArrow(digest, schema)

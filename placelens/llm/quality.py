@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from placelens.llm.common import materialise, text_of, words_of
 
-# Words in an n-gram, and hash buckets of the n-grams.
-NGRAM = 1
-BUCKETS = 65_536
+# N-grams are all runs of up to so many words, hashed together into so many buckets.
+NGRAM = 2
+BUCKETS = 1 << 18
 # Added to the count of each bucket in both multinomials, once the raw one is scaled to the trusted one's size.
 SMOOTHING = 5.0
 # A document is kept if its mean log ratio per n-gram, in nats, is at least this.
-THRESHOLD = -0.25
+THRESHOLD = -0.15
 # At most about this many trusted documents fit the target multinomial.
 TRUSTED_ROWS = 200_000
 
@@ -32,34 +32,27 @@ def _runs(hashes: Column, size: int) -> Column:
     return F.transform(firsts, lambda h, i: F.xxhash64(h, *[F.get(hashes, i + j) for j in range(1, size)]))
 
 
-# Windows of a text are sorted as numbers: the hash's upper bits, then the place.
-_PLACE_BITS = 24
+def _ngrams(hashes: Column, longest: int) -> Column:
+    """Hashes of all runs of 1 to `longest` words."""
+    return F.concat(*[_runs(hashes, size) for size in range(1, longest + 1)])
 
 
 def _repeated_words(windows: Column) -> Column:
     """How many word places lie in 3-word windows that occur twice or more.
 
-    Equal windows are neighbours once sorted, so a text costs n log n. Places
-    take the low bits of the sort key (a text beyond 2**24 words sorts whole
-    hashes instead), and whole hashes are compared.
+    Sorted by whole hash and place, equal windows are neighbours, so a text costs n log n.
     """
-    low = (1 << _PLACE_BITS) - 1
-    packed = F.transform(
-        windows, lambda w, i: w.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("bigint"))
-    )
-    placed = F.transform(F.sort_array(packed), lambda x: x.bitwiseAND(F.lit(low)).cast("int"))
-    wide = F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    places = F.when(F.size(windows) <= low, placed).otherwise(F.transform(wide, lambda x: x["i"]))
+    order = F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
 
     def covered(order: Column) -> Column:
-        def same(place: Column, other: Column) -> Column:
-            return F.coalesce(F.get(windows, place) == F.get(windows, F.get(order, other)), F.lit(False))
+        def same(x: Column, other: Column) -> Column:
+            return F.coalesce(x["w"] == F.get(order, other)["w"], F.lit(False))
 
-        again = F.filter(order, lambda place, i: same(place, i - 1) | same(place, i + 1))
-        return _size(F.array_distinct(F.flatten(F.transform(again, lambda p: F.array(p, p + 1, p + 2)))))
+        again = F.filter(order, lambda x, i: same(x, i - 1) | same(x, i + 1))
+        return _size(F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
     # A lambda's variable is computed once; a plain column would be computed at each mention.
-    count = F.transform(F.array(places), covered)[0]
+    count = F.transform(F.array(order), covered)[0]
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("bigint")).otherwise(count)
 
 
@@ -107,7 +100,7 @@ def fit_ratio(
     texts = docs.select(F.col(id_column).alias("_id"), text_of(F.col(text_column)).alias("_text"))
     flagged = texts.join(F.broadcast(ids), F.col("_id") == F.col("_trusted_id"), "left")
     hashes = F.transform(words_of(F.col("_text")), lambda w: F.xxhash64(w))
-    runs = flagged.withColumn("_hashes", hashes).select("_trusted", F.explode(_runs(F.col("_hashes"), ngram)).alias("_run"))
+    runs = flagged.withColumn("_hashes", hashes).select("_trusted", F.explode(_ngrams(F.col("_hashes"), ngram)).alias("_run"))
     features = runs.select(
         F.coalesce("_trusted", F.lit(0)).alias("_trusted"), F.pmod("_run", F.lit(buckets)).cast("int").alias("b")
     )
@@ -166,7 +159,7 @@ def judge_quality(
     scored = (
         with_counts(texts, "_text")
         .withColumn("_ratios", model.select("ratios").scalar())
-        .withColumn("_runs", _runs(F.col("_hashes"), ngram))
+        .withColumn("_runs", _ngrams(F.col("_hashes"), ngram))
         .withColumn("_sum", F.aggregate("_runs", F.lit(0.0), add))
     )
     llr = F.when(F.size("_runs") == 0, F.lit(0.0)).otherwise(F.col("_sum") / F.size("_runs"))

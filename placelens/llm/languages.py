@@ -11,14 +11,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placelens.llm.common import hash_key
+from placelens.llm.common import hash_key, materialise, text_of
 
 # Hash bins of character n-grams of one to three letters.
 BINS = 4096
 # Centroids per language.
 CENTROIDS = 3
-# At most so many labelled documents, about, fit the centroids, the same number of each language.
+# At most so many labelled documents fit the centroids, the same number of each language.
 SAMPLE_ROWS = 2400
+# Only so many languages, those with the most labelled documents, are learned.
+MOST_LANGUAGES = 200
 # Characters counted in one go.
 SLICE_CHARS = 1 << 19
 UNKNOWN = "und"
@@ -43,22 +45,22 @@ class NgramCounter:
         """Counts per bin of the whole text; None without any letter."""
         total, letters = np.zeros(self.bins, dtype=np.int64), False
         text = (text or "").lower()
+        # The last codes of what was counted: n-grams that end in a slice are counted with it.
+        carried, after_letter = np.full(1, 32, dtype=np.uint32), False
         for at in range(0, len(text), SLICE_CHARS):
-            # Two characters more, so that n-grams across the cut are counted.
-            part = text[max(0, at - 2) : at + SLICE_CHARS].encode("utf-32-le", "replace")
-            codes = np.frombuffer(part, dtype="<u4")
+            codes = np.frombuffer(text[at : at + SLICE_CHARS].encode("utf-32-le", "replace"), dtype="<u4")
             is_letter = self._is_letter(codes)
             letters = letters or bool(is_letter.any())
-            codes = np.where(is_letter, codes, 32).astype(np.uint32)
-            kept = is_letter.copy()
-            kept[1:] |= is_letter[:-1]
-            codes = np.r_[np.uint32(32), codes[kept]] if is_letter[:1].all() else codes[kept]
-            one = codes * np.uint32(0x9E3779B1)
-            two = (one[:-1] ^ np.uint32(0x5BD1E995)) * np.uint32(31) + codes[1:] * np.uint32(0x85EBCA6B)
-            three = two[:-1] * np.uint32(0xC2B2AE35) + codes[2:] * np.uint32(0x27D4EB2F)
-            for grams in (one, two, three):
+            kept = is_letter | np.r_[after_letter, is_letter[:-1]]
+            new = np.where(is_letter, codes, 32).astype(np.uint32)[kept]
+            stream, after_letter = np.r_[carried, new], bool(is_letter[-1])
+            one = stream * np.uint32(0x9E3779B1)
+            two = (one[:-1] ^ np.uint32(0x5BD1E995)) * np.uint32(31) + stream[1:] * np.uint32(0x85EBCA6B)
+            three = two[:-1] * np.uint32(0xC2B2AE35) + stream[2:] * np.uint32(0x27D4EB2F)
+            for grams in (one[len(carried) :], two[len(carried) - 1 :], three):
                 mixed = (grams ^ (grams >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
                 total += np.bincount(mixed >> self.shift, minlength=self.bins)
+            carried = stream[-2:]
         return total if letters else None
 
 
@@ -121,19 +123,28 @@ def fit(rows: list[tuple[str, np.ndarray]], k: int = CENTROIDS) -> LanguageModel
     return LanguageModel(idf, np.vstack(centroids), languages, np.array(least))
 
 
-def training_sample(docs: DataFrame, id_column: str, text_column: str, lang_column: str, rows: int) -> DataFrame:
-    """(lang, text): about `rows` documents in all, the same number of each language, by a hash of the id.
+def training_sample(
+    docs: DataFrame, id_column: str, text_column: str, lang_column: str, rows: int, languages: int = MOST_LANGUAGES
+) -> DataFrame:
+    """(lang, text): at most `rows` documents in all, the same number of each language, by a hash of id and text.
 
-    The cuts are found on ids alone; a limit within each partition comes before their shuffle.
+    Equal texts of one id count once. Distinct hashes are counted per language by
+    sketches, which combine; a scan then lets about twice the wanted share of each
+    language pass, and only these few are put in order. At most `languages` languages
+    are learned, those with the most documents (ties by name). Null ids are an id; rows without
+    language are left out.
     """
-    key = hash_key(F.lit("language sample"), F.col(id_column))
-    keyed = docs.select(F.col(lang_column).alias("lang"), key.alias("key"), F.col(text_column).alias("text"))
-    thin = keyed.select("lang", "key")
-    languages = thin.select("lang").distinct().count()
-    each = max(1, rows // max(1, languages))
+    lang, text = F.col(lang_column).cast("string").alias("lang"), text_of(F.col(text_column)).alias("text")
+    keyed = docs.select(lang, text, F.col(id_column).alias("id")).filter("lang IS NOT NULL")
+    keyed = keyed.select("lang", "text", hash_key(F.lit("language sample"), F.col("id"), F.col("text")).alias("key"))
+    sizes = keyed.groupBy("lang").agg(F.approx_count_distinct("key").alias("n"), F.count(F.lit(1)).alias("all"))
+    sizes = materialise(sizes.orderBy(F.desc("all"), "lang").limit(languages))
+    each = max(1, rows // max(1, sizes.count()))
+    cuts = sizes.select("lang", F.least(F.lit(1.0), 2.0 * each / F.col("n")).alias("share"))
+    passed = keyed.join(F.broadcast(cuts), "lang").filter(F.col("key") / float(1 << 63) <= F.col("share"))
+    distinct = passed.groupBy("lang", "key").agg(F.first("text").alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    cuts = thin.withColumn("place", place).filter(F.col("place") <= each).groupBy("lang").agg(F.max("key").alias("cut"))
-    return keyed.join(F.broadcast(cuts), "lang").filter("key <= cut").select("lang", "text")
+    return distinct.withColumn("place", place).filter(F.col("place") <= each).select("lang", "text")
 
 
 def fit_languages(
@@ -148,7 +159,8 @@ def fit_languages(
 ) -> LanguageModel | None:
     """Fit on a bounded sample of the rows that `train` picks and that have a text and a language.
 
-    Tasks count n-grams; the driver clusters the sample, `rows` vectors of `bins` counts.
+    Tasks count n-grams; the driver clusters the sample, `rows` vectors of `bins` counts at most. Texts
+    without a letter fit nothing; without any row there is no model.
     """
     labelled = docs.filter(train & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
     sample = training_sample(labelled, id_column, text_column, lang_column, rows)

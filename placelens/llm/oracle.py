@@ -105,10 +105,11 @@ def mix_sql() -> str:
 
 
 def sql_pattern(rule: SecretRule) -> str:
-    """The rule's pattern with both cases of each keyword letter spelled out."""
-    head, mark, tail = rule.pattern.partition("(?i:")
+    """The rule's pattern with both cases of each keyword letter spelled out, for a matcher that never goes back."""
+    pattern = rule.pattern.replace("++", "+")
+    head, mark, tail = pattern.partition("(?i:")
     if not mark:
-        return rule.pattern
+        return pattern
     inner, _, rest = tail.partition(")")
     both = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in inner)
     return f"{head}(?:{both}){rest}"
@@ -117,13 +118,16 @@ def sql_pattern(rule: SecretRule) -> str:
 def secret_sql() -> str:
     columns, lists = [], []
     for i, rule in enumerate(RULES):
-        pattern = quoted(sql_pattern(rule))
-        columns.append(f"regexp_extract_all(body, {pattern}) AS m{i}, string_split_regex(body, {pattern}) AS s{i}")
+        pattern, before = quoted(sql_pattern(rule)), f"[^{rule.inside}]"
+        # Where a match must not begin inside a run, the character before it is matched too, and taken off.
+        whole = quoted(f"(?:^|{before}){sql_pattern(rule)}") if rule.inside else pattern
+        columns.append(f"regexp_extract_all(body, {whole}) AS m{i}, string_split_regex(body, {whole}) AS s{i}")
         value = f"regexp_extract(m{i}[i], {pattern}, {rule.group})"
-        start = f"list_sum(list_transform(s{i}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m{i}[1:i - 1], lambda x: length(x))), 0)"
+        extra = f"length(m{i}[i]) - length({value})" if rule.inside else "0"
+        start = f"{extra} + list_sum(list_transform(s{i}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m{i}[1:i - 1], lambda x: length(x))), 0)"
         lists.append(
             f"list_filter(list_transform(range(1, len(m{i}) + 1), lambda i: {{'start': {start}, 'rule': {i}, "
-            f"'kind': {quoted(rule.kind)}, 'size': length(m{i}[i]), 'valid': length({value}) >= {rule.least}}}), lambda x: x.valid)"
+            f"'kind': {quoted(rule.kind)}, 'size': length(m{i}[i]) - ({extra}), 'valid': length({value}) >= {rule.least}}}), lambda x: x.valid)"
         )
     joined = "array_to_string(list_transform({0}, lambda x: x.kind || ':' || x.start::BIGINT || ':' || (x.start + x.size)::BIGINT), ',')"
     base = f"list_filter(spans, lambda x: x.rule < {len(BASE_RULES)})"

@@ -57,7 +57,8 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    # A document without an id is not held out.
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     model = languages.fit_languages(docs, "doc_id", "text", "lang", ~held_out)
     return languages.identify_languages(docs, "doc_id", "text", model).select(
         "doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected"
@@ -65,8 +66,11 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The table is recorded, then comes again as its next version, of which every blob is known by then."""
     ledger = secrets.Ledger(spark, f"{run_folder(spark)}/ledger")
-    found = secrets.find_secrets(read_table(spark, folder, "documents"), ["doc_id"], "text", ledger)
+    docs = read_table(spark, folder, "documents")
+    secrets.update_ledger(docs, "text", ledger)
+    found = secrets.find_secrets(docs, ["doc_id"], "text", ledger)
     base = F.filter("spans", lambda s: s["rule"] < len(secrets.BASE_RULES))
     counts = [secrets.count_of(F.col("spans"), i).alias(f"n_{r.kind}") for i, r in enumerate(secrets.BASE_RULES)]
     return found.select(

@@ -15,12 +15,20 @@ from placelens.llm.common import materialise, text_of
 
 @dataclass(frozen=True)
 class SecretRule:
-    """Matches of `pattern`, leftmost and non-overlapping, whose group `group` has `least` characters or more."""
+    """Matches of `pattern`, leftmost and non-overlapping, whose group `group` has `least` characters or more.
+
+    With `inside`, characters as in a bracket, a match does not begin behind one of them.
+    """
 
     kind: str
     pattern: str
     least: int
     group: int = 0
+    inside: str = ""
+
+    @property
+    def bounded(self) -> str:
+        return f"(?<![{self.inside}]){self.pattern}" if self.inside else self.pattern
 
 
 # The base kinds in their listed order.
@@ -53,7 +61,8 @@ MORE_RULES = (
     SecretRule("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
     SecretRule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15),
     SecretRule("google", r"AIza[A-Za-z0-9_-]+", 39),
-    SecretRule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 32),
+    # Each run is read once: a match begins at a run's start, and no part of a run is given back.
+    SecretRule("jwt", r"eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++", 32, inside="A-Za-z0-9_-"),
     SecretRule("private", _PRIVATE, 27),
 )
 RULES = BASE_RULES + MORE_RULES
@@ -74,9 +83,9 @@ def _hits(text: Column, number: int, rule: SecretRule) -> Column:
 
     Empty if there is none, which one search finds out for nearly all texts.
     """
-    pattern = F.lit(rule.pattern)
+    pattern = F.lit(rule.bounded)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, rule.pattern)
+    between = F.split(text, rule.bounded)
 
     def hit(match: Column, gap: Column) -> Column:
         value = F.regexp_extract(match, rule.pattern, rule.group) if rule.group else match
@@ -89,11 +98,14 @@ def _hits(text: Column, number: int, rule: SecretRule) -> Column:
 
     hits = F.zip_with(found, F.slice(between, 1, F.size(found)), hit)
     none = F.array().cast("array<struct<rule:int,gap:bigint,length:bigint,valid:boolean>>")
-    return F.when(text.rlike(rule.pattern), hits).otherwise(none)
+    return F.when(text.rlike(rule.bounded), hits).otherwise(none)
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """(blob, text) to (blob, hits), the matches of all rules; the text stops here."""
+    """(blob, text) to (blob, hits), the matches of all rules; the text stops here.
+
+    Every pattern reads a text in linear time. A null or empty text has no hits.
+    """
     hits = F.concat(*[_hits(F.col("text"), i, rule) for i, rule in enumerate(rules)])
     return blobs.select("blob", hits.alias("hits"))
 

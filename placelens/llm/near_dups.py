@@ -72,7 +72,7 @@ def sketch_documents(docs: DataFrame, id_column: str, text_column: str, words: i
 
 
 def _whole_sets(docs: DataFrame, id_column: str, text_column: str, words: int, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) for the wanted (node, doc_id); a repeated id with another text is left out by its digest."""
+    """(node, shingles) for the wanted (node, doc_id, text_id); the digest is checked against the set."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -87,8 +87,10 @@ def _whole_sets(docs: DataFrame, id_column: str, text_column: str, words: int, w
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "shingles"])
 
-    texts = docs.select(F.col(id_column).alias("doc_id"), text_of(F.col(text_column)).alias("text"))
-    joined = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text")
+    text = text_of(F.col(text_column))
+    texts = docs.select(F.col(id_column).alias("doc_id"), text_id(text).alias("text_id"), text.alias("text"))
+    same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["text_id"] == wanted["text_id"])
+    joined = texts.join(wanted, same).select("node", "text")
     found = joined.mapInArrow(hashed, "node binary, shingles array<long>")
     return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
@@ -278,7 +280,7 @@ def _linked_rows(
     pairs = materialise(_star(index, F.min("node"), F.max("node")))
     near = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = materialise(nodes.join(near, "node", "left_semi"))
-    sets = _whole_sets(docs, id_column, text_column, words, wanted.select("node", "doc_id"))
+    sets = _whole_sets(docs, id_column, text_column, words, wanted.select("node", "doc_id", "text_id"))
     verifier = _Verifier(materialise(wanted.drop("doc_id", "text_id").join(sets, "node")), percent)
     roots = link_components(index, pairs, verifier)
     rooted = nodes.select("node", "doc_id", "text_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

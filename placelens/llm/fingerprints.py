@@ -88,7 +88,7 @@ def fingerprint_edits(docs: DataFrame, id_column: str, text_column: str) -> Data
     one document and give the same result each. A single document follows
     itself. An empty table gives an empty one; other columns are not read.
     """
-    ident = F.coalesce(F.col(id_column).cast("string"), F.lit("-"))
+    ident = F.coalesce(F.concat(F.lit("="), F.col(id_column).cast("string")), F.lit("-"))
     keyed = docs.select(F.col(id_column).alias("doc_id"), ident.alias("_id"), text_of(F.col(text_column)).alias("text"))
     key = F.unhex(F.md5(F.concat("_id", F.lit(":"), F.md5("text"))))
     keyed = keyed.withColumn("_k", key)

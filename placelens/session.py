@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,9 +44,46 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rsplit("/", 1)[0]
 
 
+_NOTED: ContextVar[list[str] | None] = ContextVar("noted_folders", default=None)
+
+
+@contextmanager
+def noted_folders(folders: list[str]) -> Iterator[None]:
+    """Inside, every new folder is added to the list."""
+    token = _NOTED.set(folders)
+    try:
+        yield
+    finally:
+        _NOTED.reset(token)
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/placelens-{spark.sparkContext.applicationId}/"
+
+
 def run_folder(spark: SparkSession) -> str:
     """A new folder inside the shared one; all those of an application lie together, for later removal."""
-    return f"{shared_folder(spark)}/placelens-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    folder = f"{_own_folder(spark)}{uuid.uuid4().hex}"
+    noted = _NOTED.get()
+    if noted is not None:
+        noted.append(folder)
+    return folder
+
+
+def remove_folders(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Remove folders that run_folder gave to this application, once nothing reads them any more."""
+    own = _own_folder(spark).split(":", 1)[-1].lstrip("/")
+    for folder in folders:
+        if own not in folder:
+            raise ValueError(f"{folder} is not a folder of this application")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that materialise stored. What was computed from them must be stored by then."""
+    for table in tables:
+        remove_folders(table.sparkSession, {file.rsplit("/", 1)[0] for file in table.inputFiles()})
 
 
 def materialise(df: DataFrame) -> DataFrame:

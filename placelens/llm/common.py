@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from placelens.session import materialise
+from placelens.session import discard, materialise
 
-__all__ = ["hash_key", "materialise", "md5_key", "numbered", "ranked", "read_table", "text_of", "words_of"]
+__all__ = ["discard", "hash_key", "materialise", "md5_key", "numbered", "ranked", "read_table", "text_of", "words_of"]
 
 # Rows that one window task sorts, about.
 ROWS_PER_BUCKET = 250_000

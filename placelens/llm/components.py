@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelens.llm.common import materialise
+from placelens.llm.common import discard, materialise
 
 
 def _lowest(links: DataFrame) -> DataFrame:
@@ -27,9 +27,11 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     Each round links every node's larger neighbours, then its smaller ones, to
     the least of them, until every node hangs on its root: rounds grow with the
     logarithm of the longest path. Each round is stored, minima combine before
-    the shuffle, and only a yes or no reaches the driver. `links` should be stored.
+    the shuffle, only a yes or no reaches the driver, and a round's table goes once
+    the next is stored. `links` should be stored.
     """
     now = links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    last = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _lowest(both).select("u", F.least("u", "low").alias("low"))
@@ -40,8 +42,11 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         pairs = F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct("u", F.col("low").alias("v")))
         small = joined.select(F.explode(pairs).alias("p")).select("p.u", "p.v").filter("u != v")
         now = materialise(small.distinct())
+        if last is not None:
+            discard(last)
         if _is_settled(now):
             break
+        last = now
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         roots.select("node", F.col("node").alias("root"))

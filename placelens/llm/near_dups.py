@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placelens.llm.common import materialise, text_of
+from placelens.llm.common import discard, materialise, text_of
 from placelens.llm.components import components
 from placelens.llm.shingles import Shingler, set_digest
 from placelens.llm.tokens import byte_batches
@@ -225,20 +225,34 @@ def _rest_of_short_lists(rest: DataFrame) -> DataFrame:
 
 
 def _rest_of_long_lists(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")
-    long = rest.filter(F.col("n") > FEW_MEMBERS).withColumn("block", block)
-    some = nodes.select("node", F.slice("shingles", 1, COMPARED).alias("some"))
-    # A node is in as many lists as it has listed values at most.
+    """Likely pairs in the long lists, each split into bands of set sizes and these into blocks.
+
+    A band ends where sizes are `percent` % of the next one's, so sets that link
+    are in one band or in two neighbouring ones; only blocks of such bands meet.
+    """
+    band = F.floor(F.log("size") / log(100 / percent) + 1e-9).cast("int")
+    some = nodes.select("node", F.col("n").alias("size"), F.slice("shingles", 1, COMPARED).alias("some"))
+    long = rest.filter(F.col("n") > FEW_MEMBERS).drop("n").join(some, "node").withColumn("band", band).drop("size")
+    long = materialise(long)
+    # A node is in as many lists as it has listed values at most, a list in as many bands as there are sizes' magnitudes.
     lists = long.groupBy("node").agg(F.collect_set("value").alias("lists"))
-    meets = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with")
-    met = long.join(lists, "node").join(some, "node").select("value", "node", "root", "block", "some", "lists", meets)
-    met = met.select(
-        *["value", "node", "root", "block", "some", "lists"],
-        F.least("block", "with").alias("low"),
-        F.greatest("block", "with").alias("high"),
-    )
-    return compare_blocks(met, percent)
+    bands = long.groupBy("value", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    bands = bands.groupBy("value").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("bands"))
+    placed = long.join(bands, "value").join(lists, "node")
+    blocks = lambda b: F.coalesce(F.element_at("bands", b), F.lit(0))
+    block = F.pmod(F.xxhash64("node", F.lit("block")), blocks(F.col("band"))).cast("bigint")
+    number = lambda b, i: b.cast("bigint") * (1 << 32) + i
+    placed = placed.withColumn("block", number(F.col("band"), block))
+
+    def meeting(b: Column) -> Column:
+        others = F.sequence(F.lit(0), F.greatest(blocks(b) - 1, F.lit(0)))
+        met = F.transform(others, lambda i: number(b, i))
+        pairs = F.transform(met, lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high")))
+        return F.when(blocks(b) > 0, pairs).otherwise(F.array())
+
+    near = F.concat(*[meeting(F.col("band") + step) for step in (-1, 0, 1)])
+    met = placed.select("value", "node", "root", "block", "some", "lists", F.explode(near).alias("pair"))
+    return compare_blocks(met.select("value", "node", "root", "block", "some", "lists", "pair.low", "pair.high"), percent)
 
 
 def link_components(index: DataFrame, tested: DataFrame, verifier: _Verifier) -> DataFrame:
@@ -260,7 +274,9 @@ def link_components(index: DataFrame, tested: DataFrame, verifier: _Verifier) ->
         return roots
     new = _rest_of_short_lists(rest).unionByName(_rest_of_long_lists(rest, verifier.nodes, verifier.percent)).distinct()
     more = verifier.links(materialise(new.join(tested, ["a", "b"], "left_anti")))
-    return components(materialise(links.unionByName(more)), "a", "b")
+    found = components(materialise(links.unionByName(more)), "a", "b")
+    discard(labelled, rest)
+    return found
 
 
 def _first(*more: str) -> Column:
@@ -282,7 +298,9 @@ def _linked_rows(
     wanted = materialise(nodes.join(near, "node", "left_semi"))
     sets = _whole_sets(docs, id_column, text_column, words, wanted.select("node", "doc_id", "text_id"))
     verifier = _Verifier(materialise(wanted.drop("doc_id", "text_id").join(sets, "node")), percent)
+    discard(wanted)
     roots = link_components(index, pairs, verifier)
+    discard(index, pairs, verifier.nodes)
     rooted = nodes.select("node", "doc_id", "text_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(_first("node", "text_id").alias("first"))
     return rows, rooted.select("node", "root").join(least, "root").select("node", "first")

@@ -14,7 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from placelens.functions.text import clean_text
+
 Encoder = Callable[[list[str]], np.ndarray]
+# Words of a profile that an encoder gets at a time.
+PIECE_WORDS = 256
 
 
 class HashingEncoder:
@@ -81,18 +85,40 @@ def encode(
     return df.select(*kept, text).mapInArrow(run, schema)
 
 
-def pool_vectors(vectors: DataFrame, key: str, embedding: str = "embedding") -> DataFrame:
-    """Mean vector per key; sums combine before the shuffle, so a large key is no heavier than others."""
-    mean = Summarizer.mean(array_to_vector(F.col(embedding).cast("array<double>")))
+def pool_vectors(vectors: DataFrame, key: str, embedding: str = "embedding", weight: str | None = None) -> DataFrame:
+    """Mean vector per key, by `weight` if given; sums combine before the shuffle, so a large key is no heavier than others."""
+    weights = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    mean = Summarizer.mean(array_to_vector(F.col(embedding).cast("array<double>")), weights)
     return vectors.groupBy(key).agg(vector_to_array(mean).alias(embedding))
 
 
+def profile_pieces(reviews: DataFrame, place: str, text: str, words: int = PIECE_WORDS) -> DataFrame:
+    """(place, text, words): the cleaned profile of a place in pieces of at most `words` words, each with its count.
+
+    Reviews are cleaned first, so links, mentions and tags are in no piece, and cut where they lie. A null
+    text, and one of which nothing is left, gives an empty piece, so its place keeps a vector.
+    """
+    cleaned = reviews.select(F.col(place), clean_text(F.col(text)).alias("_clean"))
+    split = cleaned.withColumn("_words", F.split("_clean", " "))
+    starts = F.sequence(F.lit(1), F.size("_words"), F.lit(words))
+    cut = split.select(place, "_words", F.explode(starts).alias("_at"))
+    piece = cut.select(place, F.slice("_words", F.col("_at"), words).alias("_piece"))
+    return piece.select(place, F.array_join("_piece", " ").alias(text), F.size("_piece").alias("words"))
+
+
 def encode_places(
-    reviews: DataFrame, place: str, text: str, make_encoder: Callable[[], Encoder] = HashingEncoder
+    reviews: DataFrame,
+    place: str,
+    text: str,
+    make_encoder: Callable[[], Encoder] = HashingEncoder,
+    words: int = PIECE_WORDS,
+    additive: bool = True,
 ) -> DataFrame:
-    """One vector per place: the mean over its reviews' vectors.
+    """One vector per place, from its whole cleaned profile, which is never held in one row.
 
-    With an additive encoder this points the way the whole joined profile does,
-    without ever holding that profile in one row.
+    The profile is encoded in pieces (see profile_pieces) and pooled. With an
+    additive encoder (its vectors are sums over tokens) the mean over pieces
+    points the way the joined profile does; others count by their words.
     """
-    return pool_vectors(encode(reviews.select(place, text), text, make_encoder), place)
+    vectors = encode(profile_pieces(reviews, place, text, words), text, make_encoder)
+    return pool_vectors(vectors, place, weight=None if additive else "words")

@@ -408,7 +408,7 @@ FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 5""",
     "q14d_search_summary": f"{SUMMARY} FROM asked a LEFT JOIN results r USING (query_id) GROUP BY 1",
     "q15_vector_topk": f"""WITH {nearest(20)}
 SELECT query_id, id, round(similarity_score, 6) AS similarity_score, posisi FROM nearest""",
-    "q15b_encoded_places": f"""WITH d AS ({buckets('text', 384, 'source', 'documents')}),
+    "q15b_encoded_places": f"""WITH d AS ({buckets(clean('text'), 384, 'source', 'documents')}),
 q AS ({buckets('text', 384, 'item_id', 'benchmark')}),
 dn AS (SELECT source, sqrt(sum(x::DOUBLE * x)) AS n FROM d GROUP BY 1),
 qn AS (SELECT item_id, sqrt(sum(x::DOUBLE * x)) AS n FROM q GROUP BY 1),
@@ -564,3 +564,7 @@ SELECT doc_id AS "Doc_ID", source AS "Nama_Tempat", text AS "Teks_Mentah", 'lama
 UNION ALL
 SELECT (SELECT max(doc_id) FROM master) + row_number() OVER (ORDER BY doc_id), source, text, 'baru' FROM added""",
 }
+
+# The same rows, through the stored index.
+ORACLE["q15d_index_topk"] = ORACLE["q15_vector_topk"]
+ORACLE["q19d_recommend_by_index"] = ORACLE["q19_recommend"]

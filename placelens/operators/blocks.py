@@ -1,14 +1,14 @@
 """Score a table of queries against a table of items, block by block.
 
-Every query meets every item inside a task, as one matrix product per pair of
-blocks; only the best rows per query leave the task. A query table of checked
-size is broadcast and the items are not shuffled at all. A larger one is cut
-into a grid of (query block, item block) cells of bounded size.
+Items stay where they lie and are never shuffled or copied. Queries are cut into
+blocks of checked size; a block is sent to all tasks, each of which streams its
+own items past it, as one matrix product per batch, and keeps the best rows per
+query. Only those leave the task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,8 @@ from placelens.session import materialise
 SCORE_DECIMALS = 9
 BLOCK_QUERIES = 1024
 BLOCK_BYTES = 64 << 20
-BLOCK_ITEMS = 32_768
+# Rows that no hash parts, copies of one id, stay together after so many deals.
+MOST_DEALS = 8
 
 
 class BestScores:
@@ -65,69 +66,83 @@ class BestScores:
         return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+Scorer = Callable[[pa.Table], Callable[[pa.Table], np.ndarray]]
+
+
+def query_blocks(
+    queries: DataFrame,
+    query_id: str,
+    query_bytes: Column,
+    max_queries: int = BLOCK_QUERIES,
+    max_bytes: int = BLOCK_BYTES,
+) -> Iterator[pa.Table]:
+    """The queries in blocks of at most `max_queries` rows, of `max_bytes` as well unless a single row has more.
+
+    Rows are dealt by a hash, and a part that came out too large is dealt again, so the driver holds one block at a time.
+    """
+    todo = [(materialise(queries.withColumn("_bytes", query_bytes)), 0)]
+    while todo:
+        part, depth = todo.pop()
+        rows, size = part.agg(F.count(F.lit(1)), F.coalesce(F.sum("_bytes"), F.lit(0))).first()
+        n = max(-(-rows // max_queries), -(-int(size) // max_bytes))
+        if n <= 1 or rows <= 1 or depth > MOST_DEALS:
+            if rows:
+                yield part.drop("_bytes").toArrow()
+            continue
+        dealt = F.pmod(F.xxhash64(F.lit(depth), query_id), F.lit(n + 1))
+        todo += [(part.filter(dealt == i), depth + 1) for i in range(n + 1)]
+
+
+def scan_items(
+    block: pa.Table, items: DataFrame, scorer: Scorer, k: int, query_id: str, item_id: str
+) -> DataFrame:
+    """The k best items per query of a block in each task, as (query_id, item_id, score); no shuffle."""
+    kinds = [T.StructField(query_id, _spark_type(block.schema.field(query_id).type)), items.schema[item_id]]
+    schema = T.StructType([*kinds, T.StructField("score", T.DoubleType())])
+    out = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in schema])
+    shared = items.sparkSession.sparkContext.broadcast(block)
+
+    def scan(batches):
+        score = scorer(shared.value)
+        kept = BestScores(shared.value.num_rows, k)
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for at in range(0, table.num_rows, 2048):
+                part = table.slice(at, 2048)
+                kept.offer(score(part), part.column(item_id).to_numpy())
+        yield from kept.table(shared.value.column(query_id), out).to_batches()
+
+    return items.mapInArrow(scan, schema)
+
+
 def score_blocks(
     queries: DataFrame,
     items: DataFrame,
-    scorer: Callable[[pa.Table], Callable[[pa.Table], np.ndarray]],
+    scorer: Scorer,
     k: int,
     query_id: str,
     item_id: str,
     query_bytes: Column,
     max_queries: int = BLOCK_QUERIES,
     max_bytes: int = BLOCK_BYTES,
-    items_per_cell: int = BLOCK_ITEMS,
 ) -> DataFrame:
     """The k best items per query as (query_id, item_id, score, posisi).
 
     `scorer(queries)` returns a function from an item table to a score matrix.
     The result is computed here and kept as a table, so that a join to it knows
-    how few rows it has, and need not shuffle the table it looks up.
+    how few rows it has, and need not shuffle the table it looks up. A block of
+    queries costs one scan of the items.
     """
-    schema = T.StructType(
-        [queries.schema[query_id], items.schema[item_id], T.StructField("score", T.DoubleType())]
-    )
-    out = pa.schema(
-        [
-            pa.field(query_id, _arrow_type(schema[0].dataType)),
-            pa.field(item_id, _arrow_type(schema[1].dataType)),
-            pa.field("score", pa.float64()),
-        ]
-    )
-
-    def best(query_table: pa.Table, item_tables) -> pa.Table:
-        if query_table.num_rows == 0:
-            return out.empty_table()
-        score = scorer(query_table)
-        kept = BestScores(query_table.num_rows, k)
-        for table in item_tables:
-            for at in range(0, table.num_rows, 2048):
-                part = table.slice(at, 2048)
-                kept.offer(score(part), part.column(item_id).to_numpy())
-        return kept.table(query_table.column(query_id), out)
-
-    queries = materialise(queries)
-    rows, size = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(query_bytes), F.lit(0))).first()
-    if rows <= max_queries and size <= max_bytes:
-        shared = items.sparkSession.sparkContext.broadcast(queries.toArrow())
-
-        def scan(batches):
-            tables = (pa.Table.from_batches([b]) for b in batches)
-            yield from best(shared.value, tables).to_batches()
-
-        partial = items.mapInArrow(scan, schema)
-    else:
-        query_blocks = max(-(-rows // max_queries), -(-int(size) // max_bytes))
-        item_blocks = -(-items.count() // items_per_cell) or 1
-        block = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n))
-        every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-        left = queries.withColumn("_q", block(query_id, query_blocks)).withColumn("_i", every(item_blocks))
-        right = items.withColumn("_i", block(item_id, item_blocks)).withColumn("_q", every(query_blocks))
-
-        def cell(query_table: pa.Table, item_table: pa.Table) -> pa.Table:
-            return best(query_table, [item_table])
-
-        partial = left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInArrow(cell, schema)
-    return materialise(best_rows(partial, query_id, k, *by_score(item_id)))
+    found = None
+    for block in query_blocks(queries, query_id, query_bytes, max_queries, max_bytes):
+        best = best_rows(scan_items(block, items, scorer, k, query_id, item_id), query_id, k, *by_score(item_id))
+        stored = materialise(best)
+        found = stored if found is None else found.unionByName(stored)
+    if found is None:
+        kinds = [queries.schema[query_id], items.schema[item_id]]
+        kinds += [T.StructField("score", T.DoubleType()), T.StructField("posisi", T.LongType())]
+        return queries.sparkSession.createDataFrame([], T.StructType(kinds))
+    return found
 
 
 def by_score(item_id: str) -> tuple[Column, Column]:
@@ -142,8 +157,15 @@ def best_rows(df: DataFrame, query_id: str, k: int, *order: Column) -> DataFrame
     return best.withColumn("posisi", F.col("posisi").cast("bigint"))
 
 
+_TYPES = [(T.LongType(), pa.int64()), (T.IntegerType(), pa.int32()), (T.StringType(), pa.string())]
+
+
 def _arrow_type(kind: T.DataType) -> pa.DataType:
-    return {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}[kind]
+    return dict(_TYPES)[kind] if kind != T.DoubleType() else pa.float64()
+
+
+def _spark_type(kind: pa.DataType) -> T.DataType:
+    return T.StringType() if pa.types.is_large_string(kind) else next(t for t, arrow in _TYPES if arrow == kind)
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:

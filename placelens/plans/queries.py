@@ -28,6 +28,7 @@ from placelens.operators.rerank import (
 )
 from placelens.operators.skew import dense_index
 from placelens.operators.tfidf import search_table, tfidf_search
+from placelens.operators.vector_index import VectorIndex
 from placelens.operators.vector_search import attach_metadata, build_vectors, vector_topk
 from placelens.plans import roles as R
 from placelens.plans.recommend import recommend, run_evaluation
@@ -207,6 +208,18 @@ def q15_vector_topk(spark, folder):
     return _rounded(vector_topk(R.label_queries(spark, folder), R.vectors(spark, folder), 20))
 
 
+def _stored_index(spark, folder):
+    """An index of all vectors, built and stored, then opened from its folder."""
+    path = f"{run_folder(spark)}/index"
+    VectorIndex.build(R.vectors(spark, folder), path)
+    return VectorIndex(spark, path)
+
+
+@query
+def q15d_index_topk(spark, folder):
+    return _rounded(_stored_index(spark, folder).topk(R.label_queries(spark, folder), 20))
+
+
 @query
 def q15b_encoded_places(spark, folder):
     vectors = encode_places(R.search_reviews(spark, folder), "nama", "teks_mentah")
@@ -257,15 +270,23 @@ def q18b_refused(spark, folder):
     return split_queries(R.user_turns(spark, folder))[1].select("query_id", "role")
 
 
-def _recommended(spark, folder, k=10):
-    return recommend(
-        R.label_queries(spark, folder), R.vectors(spark, folder), R.place_metadata(spark, folder), k
-    )
+def _recommended(spark, folder, k=10, vectors=None):
+    known = R.vectors(spark, folder) if vectors is None else vectors
+    return recommend(R.label_queries(spark, folder), known, R.place_metadata(spark, folder), k)
 
 
 @query
 def q19_recommend(spark, folder):
-    return _recommended(spark, folder).select(
+    return _shown(_recommended(spark, folder))
+
+
+@query
+def q19d_recommend_by_index(spark, folder):
+    return _shown(_recommended(spark, folder, vectors=_stored_index(spark, folder)))
+
+
+def _shown(results):
+    return results.select(
         "query_id",
         "rank",
         "id",

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from placelens.operators.encode import HashingEncoder, encode
 from placelens.operators.evaluate import evaluate, mean_metrics
 from placelens.operators.rerank import filter_location, rerank, split_queries
+from placelens.operators.vector_index import VectorIndex
 from placelens.operators.vector_search import attach_metadata, vector_topk
 
 
 def recommend(
     queries: DataFrame,
-    vectors: DataFrame,
+    vectors: DataFrame | VectorIndex,
     places: DataFrame,
     k: int = 10,
     overfetch: int = 3,
@@ -22,16 +23,20 @@ def recommend(
 ) -> DataFrame:
     """The k best places per query.
 
-    Queries are (query_id, query, embedding), vectors (id, embedding), places
-    (id, metadata). Retrieval fetches `overfetch` * k candidates by similarity.
-    With a location only places in it compete, so k results remain if there are
+    Queries are (query_id, query, embedding), vectors (id, embedding) or a kept
+    index of them, places (id, metadata). Retrieval fetches `overfetch` * k candidates by similarity.
+    With a location only places in it compete (an index is then read whole), so k results remain if there are
     as many; `filter_location` on the results is the other way, after the cut.
     """
     usable, _ = split_queries(queries)
     if location is not None:
         inside = filter_location(places, F.lit(location))
-        vectors = vectors.join(inside.select("id"), "id", "left_semi")
-    candidates = vector_topk(usable, vectors, overfetch * k)
+        rows = vectors.items if isinstance(vectors, VectorIndex) else vectors
+        vectors = rows.join(inside.select("id"), "id", "left_semi")
+    if isinstance(vectors, VectorIndex):
+        candidates = vectors.topk(usable, overfetch * k)
+    else:
+        candidates = vector_topk(usable, vectors, overfetch * k)
     return rerank(usable, attach_metadata(candidates, places), k, **ranking)
 
 

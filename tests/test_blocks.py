@@ -6,7 +6,7 @@ from placelens.operators.lookup import find_places, find_places_like
 from placelens.operators.phrases import PhraseFinder
 from placelens.operators.vector_search import vector_topk
 
-SMALL = {"max_queries": 3, "items_per_cell": 10}
+SMALL = {"max_queries": 3}
 
 
 def tables(spark, n=60, q=7, d=5):
@@ -69,7 +69,7 @@ def test_phrases(monkeypatch, few):
     assert hits.T.tolist() == [[1, 1, 1, 0, 1], [0, 1, 0, 1, 0], [0, 0, 0, 0, 0], [0, 1, 0, 0, 0]]
 
 
-@pytest.mark.parametrize("blocks", [{}, {"max_queries": 2, "items_per_cell": 2}])
+@pytest.mark.parametrize("blocks", [{}, {"max_queries": 2}])
 def test_like(spark, blocks):
     places = spark.createDataFrame([(3, "Bukit Sikunir"), (1, "Camp 100%"), (2, "camp 1005"), (9, None)], "id long, nama string")
     asked = ["CAMP", "kit", "100%", "1_0%5", "xyz", "", "100"]

@@ -12,7 +12,7 @@ from placelens.operators.encode import HashingEncoder, encode, encode_places
 from placelens.operators.tfidf import build_tfidf, tfidf_search
 from placelens.plans.recommend import recommend_texts
 
-GRID = {"max_queries": 2, "items_per_cell": 8}
+GRID = {"max_queries": 2}
 WORDS = "api unggun danau pantai sejuk murah toilet bersih kotor ramai sepi hutan pinus kabut jalan rusak".split()
 
 

@@ -176,9 +176,9 @@ def update_ledger(
     version = rules_version(rules)
     text = text_of(F.col(text_column))
     texts = versions.select(text.alias("text")).withColumn("blob", blob_id(F.col("text")))
-    if not ledger.is_new():
-        texts = texts.join(ledger.read(version).select("blob"), "blob", "left_anti")
     blobs = texts.groupBy("blob").agg(F.first("text").alias("text"))
+    if not ledger.is_new():
+        blobs = blobs.join(ledger.read(version).select("blob"), "blob", "left_anti")
     scanned = materialise(scan_blobs(blobs, rules))
     # A blob without findings is recorded too, so it is not scanned again.
     ledger.append(scanned.select("blob").join(place_hits(scanned, rules), "blob", "left"), version)

@@ -568,3 +568,4 @@ SELECT (SELECT max(doc_id) FROM master) + row_number() OVER (ORDER BY doc_id), s
 # The same rows, through the stored index.
 ORACLE["q15d_index_topk"] = ORACLE["q15_vector_topk"]
 ORACLE["q19d_recommend_by_index"] = ORACLE["q19_recommend"]
+ORACLE["q13c_indexed_search"] = ORACLE["q13_tfidf_search"]

@@ -18,6 +18,7 @@ from placelens.operators.corpus import ingest_reviews, merge_corpus, place_rows,
 from placelens.operators.encode import HashingEncoder, encode, encode_places
 from placelens.operators.evaluate import evaluate, mean_metrics
 from placelens.operators.hybrid import hybrid_search, search_summary
+from placelens.operators.keyword_index import KeywordIndex, indexed_search
 from placelens.operators.lookup import find_places, find_places_like
 from placelens.operators.rerank import (
     detect_intent,
@@ -183,6 +184,14 @@ def q13b_search_table(spark, folder):
     return search_table(lines, parts)
 
 
+@query
+def q13c_indexed_search(spark, folder):
+    """The keyword search through an index of all reviews, stored and opened from its folder."""
+    reviews, path = R.search_reviews(spark, folder), f"{run_folder(spark)}/index"
+    KeywordIndex.build(reviews, path)
+    return indexed_search(R.text_queries(spark, folder), reviews, KeywordIndex(spark, path), 5)
+
+
 @query
 def q14_hybrid_search(spark, folder):
     model = materialise(R.language_vectors(spark, folder))

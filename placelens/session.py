@@ -80,6 +80,11 @@ def remove_folders(spark: SparkSession, folders: Iterable[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that materialise stored. What was computed from them must be stored by then."""
     for table in tables:

@@ -9,41 +9,66 @@ from pyspark.sql.streaming import StreamingQuery
 from placelens.operators.corpus import SIGNATURE, review_rows
 from placelens.operators.skew import row_digest
 
+# Copies of one review are first dropped within this many parts of a batch.
+PARTS = 32
+# State lies on the executors' disks and is saved as changes, so a batch reads and writes the keys of its own rows.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
-def new_reviews(batch: DataFrame, seen: DataFrame) -> DataFrame:
-    """Distinct review rows of a batch whose (rating, time, text) is not among the seen digests."""
-    rows = review_rows(batch).withColumn("_digest", row_digest(SIGNATURE))
-    return rows.dropDuplicates(["_digest"]).join(seen, "_digest", "left_anti")
 
+def first_seen(raw: DataFrame, keep_for: str | None = None) -> DataFrame:
+    """The stream of distinct review rows: a row whose (rating, time, text) came before is dropped.
 
-def start_ingest(raw: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    The digests seen are Spark's keyed state. Which of several copies in one
+    batch stays is left open. Without `keep_for` digests are kept for ever; with
+    it (such as "90 days") for at least that long after a review was first
+    taken in, by the clock of the batches, so no review is ever too late.
+
+    A review that comes very often is dropped within parts first, so its
+    copies reach the task of its digest as PARTS rows of a batch at most.
+    """
+    rows = review_rows(raw).withColumns({"_digest": row_digest(SIGNATURE), "_part": F.spark_partition_id() % PARTS})
+    if keep_for is None:
+        return rows.dropDuplicates(["_digest", "_part"]).dropDuplicates(["_digest"]).drop("_digest", "_part")
+    rows = rows.withColumn("_taken", F.current_timestamp()).withWatermark("_taken", keep_for)
+    rows = rows.dropDuplicatesWithinWatermark(["_digest", "_part"]).dropDuplicatesWithinWatermark(["_digest"])
+    return rows.drop("_digest", "_part", "_taken")
+
+
+def start_ingest(
+    raw: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, keep_for: str | None = None
+) -> StreamingQuery:
     """Append distinct reviews to a Parquet table; by default takes what is there and stops.
 
-    A review is new if no earlier batch wrote its digest, however late it comes;
-    there is no watermark, so none is lost. A batch writes its own folder and
-    reads the digests of earlier ones only, so it can run again after a failure.
+    A batch meets only the state of its own digests, never the table or earlier
+    batches, so its cost follows its own rows. It writes its own folder and can
+    run again after a failure. Table and checkpoint belong together; the number
+    of shuffle partitions is that of the first run.
     """
 
     def take(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        if number == 0:
-            seen = session.createDataFrame([], "_digest binary")
-        else:
-            seen = _stored(session, path, "_digest BINARY").filter(F.col("batch") < number).select("_digest")
-        new_reviews(batch, seen).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return (
-        raw.writeStream.foreachBatch(take)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+    conf = raw.sparkSession.conf
+    ours = {key: value for key, value in STATE_SETTINGS.items() if conf.get(key, None) is None}
+    try:
+        for key, value in ours.items():
+            conf.set(key, value)
+        return (
+            first_seen(raw, keep_for)
+            .writeStream.foreachBatch(take)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )
+    finally:
+        # The started query has its own copy of the settings.
+        for key in ours:
+            conf.unset(key)
 
 
 def read_reviews(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The reviews that all batches wrote, with the columns of the schema."""
-    return _stored(spark, path, schema).drop("batch")
-
-
-def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(f"{schema}, batch BIGINT").parquet(path)
+    return spark.read.schema(f"{schema}, batch BIGINT").parquet(path).drop("batch")

@@ -9,7 +9,8 @@ from placelens import session
 from placelens.functions import fixed_values as fixed
 from placelens.operators.corpus import ingest_reviews, merge_corpus, split_owner_replies
 from placelens.sources import readers, schemas, sinks
-from placelens.streaming.ingest import read_reviews, start_ingest
+from placelens.streaming import merge
+from placelens.streaming.ingest import STATE_SETTINGS, read_reviews, start_ingest
 from placelens.streaming.merge import digests, merge_batch, read_corpus, start_merge
 
 MASTER = [
@@ -122,6 +123,76 @@ def test_late_reviews_arrive(spark, tmp_path):
     assert sorted(r["Teks_Mentah"] for r in got) == ["sama", "ulasan 0", "ulasan 1", "ulasan 2"]
 
 
+def _cards(spark, texts):
+    schema = "fragments array<string>, rating_label string, time_label string"
+    return spark.createDataFrame([([t], "4/5", "lama") for t in texts], schema)
+
+
+def _ingest(spark, tmp_path, **options):
+    stream = spark.readStream.schema(_cards(spark, []).schema).parquet(f"{tmp_path}/in")
+    query = start_ingest(stream, f"{tmp_path}/out", f"{tmp_path}/state", **options)
+    query.awaitTermination()
+    return sorted(r["Teks_Mentah"] for r in read_reviews(spark, f"{tmp_path}/out", "Teks_Mentah string").collect())
+
+
+@pytest.mark.parametrize("keep_for", [None, "30 days"])
+def test_ingest_keeps_digests_as_state(spark, tmp_path, keep_for):
+    _cards(spark, ["sama"] * 500 + ["satu"]).repartition(3).write.mode("append").parquet(f"{tmp_path}/in")
+    assert _ingest(spark, tmp_path, keep_for=keep_for) == ["sama", "satu"]
+    # The next batch does without the rows that were written.
+    (tmp_path / "out").rename(tmp_path / "away")
+    _cards(spark, ["sama"] * 500 + ["dua"]).repartition(3).write.mode("append").parquet(f"{tmp_path}/in")
+    assert _ingest(spark, tmp_path, keep_for=keep_for) == ["dua"]
+
+
+def test_ingest_batch_runs_again(spark, tmp_path):
+    """A batch that was written but not committed comes once."""
+    _cards(spark, ["satu", "dua", "satu"]).write.mode("append").parquet(f"{tmp_path}/in")
+    assert _ingest(spark, tmp_path) == ["dua", "satu"]
+    for name in ("0", ".0.crc"):
+        (tmp_path / "state" / "commits" / name).rename(tmp_path / f"commit-{name}")
+    assert _ingest(spark, tmp_path) == ["dua", "satu"]
+
+
+def test_ingest_leaves_the_settings(spark, tmp_path):
+    _cards(spark, []).write.mode("append").parquet(f"{tmp_path}/in")
+    assert _ingest(spark, tmp_path) == []
+    assert all(spark.conf.get(key, None) is None for key in STATE_SETTINGS)
+
+
+def test_unseen_leaves_old_digests_where_they_lie(spark, tmp_path, monkeypatch):
+    for name, numbers in (("old", range(0, 60, 2)), ("new", range(0, 60, 3))):
+        rows = spark.createDataFrame([(bytes([n]),) for n in numbers], "_digest binary")
+        rows.write.parquet(f"{tmp_path}/{name}")
+    old, new = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("old", "new"))
+    few = merge.unseen(new, old)
+    assert "Exchange hashpartitioning" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(merge, "MOST_SENT", 5)
+    many = merge.unseen(new, old)
+    odd = [bytes([n]) for n in range(3, 60, 6)]
+    assert sorted(r[0] for r in few.collect()) == sorted(r[0] for r in many.collect()) == odd
+
+
+def test_master_is_hashed_once(spark, master, staging, tmp_path):
+    master.write.parquet(f"{tmp_path}/master")
+
+    def run():
+        source = spark.readStream.schema(schemas.REVIEWS).parquet(f"{tmp_path}/in")
+        start_merge(source, f"{tmp_path}/master", f"{tmp_path}/added", f"{tmp_path}/state").awaitTermination()
+        return sorted(path.name for path in (tmp_path / "added_digests" / "batch=-1").glob("*.parquet"))
+
+    empty = staging.drop("ekstra").limit(0)
+    empty.write.mode("append").parquet(f"{tmp_path}/in")
+    first = run()
+    staging.drop("ekstra").write.mode("append").parquet(f"{tmp_path}/in")
+    assert run() == first
+    numbers = spark.read.parquet(f"{tmp_path}/added_numbers").orderBy("batch").collect()
+    assert (numbers[0]["last"], numbers[-1]["last"]) == (9, 11)
+    # Another master under the same path is hashed when the stream starts.
+    master.limit(1).write.mode("overwrite").parquet(f"{tmp_path}/master")
+    assert run() != first
+
+
 def test_merge_batch(master, staging):
     rows = merge_batch(digests(master), 9, staging.drop("ekstra")).orderBy("Doc_ID").collect()
     # The master's padded name does not match a trimmed one, as its rows stay untouched.

@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelens.operators.blocks import score_blocks
+from placelens.operators.blocks import BLOCK_QUERIES, score_blocks
 from placelens.operators.phrases import PhraseFinder
 from placelens.operators.skew import skew_safe_join
+from placelens.operators.substrings import first_holding, lower_ascii
+from placelens.session import materialise
 
 
 def find_places(lookups: DataFrame, places: DataFrame, asked: str, name: str, key: str) -> DataFrame:
@@ -59,17 +61,41 @@ def _regex(pattern: str) -> re.Pattern:
 
 
 def find_places_like(
-    lookups: DataFrame, places: DataFrame, asked: str, name: str, key: str, lookup_id: str, **blocks
+    lookups: DataFrame,
+    places: DataFrame,
+    asked: str,
+    name: str,
+    key: str,
+    lookup_id: str,
+    max_queries: int = BLOCK_QUERIES,
+    **blocks,
 ) -> DataFrame:
-    """The first place (lowest key) whose name holds the asked text: (lookup_id, key)."""
-    found = score_blocks(
-        lookups.select(lookup_id, asked),
-        places.select(key, name),
-        like_scorer(asked, name),
+    """The first place (lowest key) whose name holds the asked text: (lookup_id, key).
+
+    Each asked text is resolved once. As many as a block takes are searched in
+    one scan of the names. More go by the rarest run of three characters, which
+    most names do not have; short texts and runs of many names are scanned for.
+    A missing text or name, and one found nowhere, has no row.
+    """
+    asked_for = lookups.select(F.col(lookup_id), lower_ascii(F.col(asked)).alias("_pattern"))
+    asked_for = asked_for.filter(F.col("_pattern").isNotNull())
+    patterns = materialise(asked_for.select("_pattern").distinct())
+    names = places.groupBy(lower_ascii(F.col(name)).alias("_name")).agg(F.min(key).alias(key))
+    names = materialise(names.filter(F.col("_name").isNotNull()))
+    found = None
+    if patterns.count() > max_queries:
+        found, patterns = first_holding(patterns, "_pattern", names, "_name", key)
+    scanned = score_blocks(
+        patterns.select("_pattern", F.col("_pattern").alias("_asked")),
+        names.select(key, "_name"),
+        like_scorer("_asked", "_name"),
         1,
-        lookup_id,
+        "_pattern",
         key,
-        F.octet_length(asked) + 16,
+        F.octet_length("_pattern") + 16,
+        max_queries=max_queries,
         **blocks,
-    )
-    return found.select(lookup_id, key)
+    ).select("_pattern", key)
+    found = materialise(scanned if found is None else found.unionByName(scanned))
+    resolved = skew_safe_join(asked_for, found, "_pattern", F.monotonically_increasing_id())
+    return resolved.groupBy(lookup_id).agg(F.min(key).alias(key))

@@ -457,6 +457,12 @@ FROM asked a LEFT JOIN first f ON f.name = lower(a.asked) LEFT JOIN part p ON p.
     "q20b_find_places_like": """WITH asked AS (SELECT DISTINCT 'ER#%' || p_size || '_' AS lookup FROM part
   UNION SELECT DISTINCT 'CUSTOMER#0000000' || p_size FROM part)
 SELECT lookup, min(c_custkey) AS c_custkey FROM asked JOIN customer ON c_name ILIKE '%' || lookup || '%' GROUP BY 1""",
+    "q20c_find_substrings": """WITH ends AS (SELECT c_custkey * 4 AS lookup, right(c_name, 5) AS five, right(c_name, 4) AS four FROM customer),
+asked AS (SELECT lookup, five AS asked FROM ends UNION ALL SELECT lookup + 1, 'R#%' || five FROM ends
+  UNION ALL SELECT lookup + 2, 'x' || five FROM ends UNION ALL SELECT lookup + 3, '_' || four FROM ends),
+found AS (SELECT asked, min(c_custkey) AS c_custkey FROM (SELECT DISTINCT asked FROM asked)
+  JOIN customer ON c_name ILIKE '%' || asked || '%' GROUP BY 1)
+SELECT lookup, c_custkey FROM asked JOIN found USING (asked)""",
     "q21_location_filter": f"""WITH {recommended(30, 10)} SELECT query_id, rank, id, lokasi FROM results
 WHERE lokasi_filter = 'Semua Lokasi' OR contains(lower(lokasi), lower(lokasi_filter))""",
     "q21b_recommend_in_location": f"""WITH {recommended(15, 5, "(SELECT e.* FROM embeddings e JOIN part ON p_partkey = vec_id WHERE lower(p_brand) LIKE '%brand#1%')")}

@@ -350,6 +350,17 @@ def q20b_find_places_like(spark, folder):
     return find_places_like(asked, places, "asked", "c_name", "c_custkey", "lookup")
 
 
+@query
+def q20c_find_substrings(spark, folder):
+    """More asked texts than a block takes: ends of names, with and without a wildcard, and runs of no name."""
+    customers = R.table(spark, folder, "customer").select("c_custkey", "c_name")
+    end, number = F.right("c_name", F.lit(5)), F.col("c_custkey")
+    texts = F.array(end, F.concat(F.lit("R#%"), end), F.concat(F.lit("x"), end), F.concat(F.lit("_"), F.right("c_name", F.lit(4))))
+    asked = customers.select(number.alias("c"), F.posexplode(texts).alias("kind", "asked"))
+    asked = asked.withColumn("lookup", F.col("c") * 4 + F.col("kind")).drop("c", "kind")
+    return find_places_like(asked, customers, "asked", "c_name", "c_custkey", "lookup")
+
+
 @query
 def q21_location_filter(spark, folder):
     asked = R.label_queries(spark, folder).select("query_id", "lokasi_filter")

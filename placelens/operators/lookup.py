@@ -72,30 +72,28 @@ def find_places_like(
 ) -> DataFrame:
     """The first place (lowest key) whose name holds the asked text: (lookup_id, key).
 
-    Each asked text is resolved once. As many as a block takes are searched in
-    one scan of the names. More go by the rarest run of three characters, which
+    Lookups that fit one block are searched in one scan of the names. More are
+    resolved once per asked text, by the rarest run of three characters, which
     most names do not have; short texts and runs of many names are scanned for.
     A missing text or name, and one found nowhere, has no row.
     """
+
+    def scan(queries: DataFrame, items: DataFrame, query_id: str, text: str, item_text: str) -> DataFrame:
+        scorer, size = like_scorer(text, item_text), F.octet_length(text) + 16
+        found = score_blocks(queries, items, scorer, 1, query_id, key, size, max_queries=max_queries, **blocks)
+        return found.select(query_id, key)
+
+    if lookups.limit(max_queries + 1).count() <= max_queries:
+        return scan(lookups.select(lookup_id, asked), places.select(key, name), lookup_id, asked, name)
     asked_for = lookups.select(F.col(lookup_id), lower_ascii(F.col(asked)).alias("_pattern"))
     asked_for = asked_for.filter(F.col("_pattern").isNotNull())
     patterns = materialise(asked_for.select("_pattern").distinct())
     names = places.groupBy(lower_ascii(F.col(name)).alias("_name")).agg(F.min(key).alias(key))
     names = materialise(names.filter(F.col("_name").isNotNull()))
-    found = None
-    if patterns.count() > max_queries:
-        found, patterns = first_holding(patterns, "_pattern", names, "_name", key)
-    scanned = score_blocks(
-        patterns.select("_pattern", F.col("_pattern").alias("_asked")),
-        names.select(key, "_name"),
-        like_scorer("_asked", "_name"),
-        1,
-        "_pattern",
-        key,
-        F.octet_length("_pattern") + 16,
-        max_queries=max_queries,
-        **blocks,
-    ).select("_pattern", key)
-    found = materialise(scanned if found is None else found.unionByName(scanned))
-    resolved = skew_safe_join(asked_for, found, "_pattern", F.monotonically_increasing_id())
+    found, left = first_holding(patterns, "_pattern", names, "_name", key)
+    left = left.select("_pattern", F.col("_pattern").alias("_asked"))
+    scanned = scan(left, names.select(key, "_name"), "_pattern", "_asked", "_name")
+    resolved = skew_safe_join(
+        asked_for, materialise(found.unionByName(scanned)), "_pattern", F.monotonically_increasing_id()
+    )
     return resolved.groupBy(lookup_id).agg(F.min(key).alias(key))

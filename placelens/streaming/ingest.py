@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,8 +12,6 @@ from pyspark.sql.streaming import StreamingQuery
 from placelens.operators.corpus import SIGNATURE, review_rows
 from placelens.operators.skew import row_digest
 
-# Copies of one review are first dropped within this many parts of a batch.
-PARTS = 32
 # State lies on the executors' disks and is saved as changes, so a batch reads and writes the keys of its own rows.
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -26,15 +27,21 @@ def first_seen(raw: DataFrame, keep_for: str | None = None) -> DataFrame:
     it (such as "90 days") for at least that long after a review was first
     taken in, by the clock of the batches, so no review is ever too late.
 
-    A review that comes very often is dropped within parts first, so its
-    copies reach the task of its digest as PARTS rows of a batch at most.
+    A review that comes very often is dropped inside the Arrow batches of the
+    scan first, so the task of its digest gets it once per batch.
     """
-    rows = review_rows(raw).withColumns({"_digest": row_digest(SIGNATURE), "_part": F.spark_partition_id() % PARTS})
+    rows = review_rows(raw).withColumn("_digest", row_digest(SIGNATURE))
+    rows = rows.mapInArrow(_once_per_batch, rows.schema)
     if keep_for is None:
-        return rows.dropDuplicates(["_digest", "_part"]).dropDuplicates(["_digest"]).drop("_digest", "_part")
+        return rows.dropDuplicates(["_digest"]).drop("_digest")
     rows = rows.withColumn("_taken", F.current_timestamp()).withWatermark("_taken", keep_for)
-    rows = rows.dropDuplicatesWithinWatermark(["_digest", "_part"]).dropDuplicatesWithinWatermark(["_digest"])
-    return rows.drop("_digest", "_part", "_taken")
+    return rows.dropDuplicatesWithinWatermark(["_digest"]).drop("_digest", "_taken")
+
+
+def _once_per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        again = batch.column("_digest").to_pandas().duplicated()
+        yield batch.filter(pa.array(~again.to_numpy()))
 
 
 def start_ingest(

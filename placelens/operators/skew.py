@@ -74,6 +74,22 @@ def skew_safe_join(
     )
 
 
+def most_frequent(table: DataFrame, rows: str, size: Column, most_bytes: int) -> Column:
+    """A condition on `rows`, how often a key occurs: it holds for the most frequent keys, of `most_bytes` at most in all.
+
+    The cut lies between powers of 2 ** (1 / 8), so it comes from a few hundred sums, and no key is ranked.
+    """
+    level = F.floor(F.log2(rows) * 8)
+    sums = table.groupBy(level.alias("_level")).agg(F.sum(size).alias("_bytes")).dropna().collect()
+    left, least = most_bytes, None
+    for found in sorted(sums, reverse=True):
+        left -= found["_bytes"]
+        if left < 0:
+            break
+        least = found["_level"]
+    return F.lit(False) if least is None else F.coalesce(level >= least, F.lit(False))
+
+
 def look_up(found: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Inner join of stored results to a table that may be far larger and has unique keys.
 

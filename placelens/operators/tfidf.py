@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from placelens.functions.text import term_counts, tokens
 from placelens.operators.blocks import best_rows, by_score, score_blocks
-from placelens.operators.skew import look_up, skew_safe_join
+from placelens.operators.skew import look_up, most_frequent, skew_safe_join
 from placelens.session import materialise
 
 MIN_SCORE = 0.01
+# Terms with their idf that every worker holds, in bytes.
+HOT_BYTES = 8 << 20
 
 
 @dataclass
@@ -49,25 +54,60 @@ def document_frequency(texts: DataFrame, text: str) -> DataFrame:
 
 
 def tfidf_vectors(texts: DataFrame, vocabulary: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, terms, weights): tf * idf of the known terms of a text, at length one."""
+    """(key, terms, weights): tf * idf of the known terms of a text, at length one. Texts of one key are one text.
+
+    The most frequent terms, of bounded size, are sent to all tasks and weighed where the text lies. Only the
+    other ones, few of the words of a text, are shuffled to meet their idf, and join their whole text by its key.
+    """
+    size = F.octet_length("term") + 16
+    hot = most_frequent(vocabulary, "df", size, HOT_BYTES)
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary.filter(hot).select("term", "idf").toArrow())
     counted = texts.select(key, F.inline(term_counts(F.col(text))))
-    weighted = skew_safe_join(
-        counted,
-        vocabulary.select("term", "idf"),
-        "term",
-        F.col(key),
-        counts=vocabulary.select("term", F.col("df").alias("_rows")),
-    ).withColumn("weight", F.col("tf") * F.col("idf"))
-    # A group is one text, so its list is no longer than the text.
-    per_text = weighted.groupBy(key).agg(
-        F.collect_list(F.struct("term", "weight")).alias("_pairs"),
-        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"),
-    )
-    return per_text.select(
-        key,
-        F.col("_pairs.term").alias("terms"),
-        F.transform(F.col("_pairs.weight"), lambda w: w / F.col("_norm")).alias("weights"),
+    rare = counted.join(F.broadcast(vocabulary.filter(hot).select("term")), "term", "left_anti")
+    rare = rare.join(vocabulary.filter(~hot).select("term", "idf"), "term")
+    pair = F.struct("term", (F.col("tf") * F.col("idf")).alias("weight"))
+    whole = texts.select(key, F.col(text).alias("_text"), F.lit(None).alias("_rare"))
+    parts = whole.unionByName(rare.select(key, F.lit(None).alias("_text"), pair.alias("_rare")))
+    # A group is one text, so its lists are no longer than the text; dealt by key first, texts are not sorted twice.
+    per_text = parts.repartition(key).groupBy(key).agg(
+        F.flatten(F.transform(F.collect_list("_text"), lambda t: F.coalesce(term_counts(t), F.array()))).alias("_counts"),
+        F.collect_list("_rare").alias("_rare"),
     )
+    columns = per_text.select(
+        key, F.col("_counts.term").alias("_terms"), F.col("_counts.tf").alias("_tfs"),
+        F.col("_rare.term").alias("_rare_terms"), F.col("_rare.weight").alias("_rare_weights"),
+    )
+    kinds = [T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("weights", T.ArrayType(T.DoubleType()))]
+    return columns.mapInArrow(_unit_vectors(shared), T.StructType([texts.schema[key], *kinds]))
+
+
+def _unit_vectors(shared: Broadcast) -> Callable:
+    """From texts with counted terms, and rare ones with their weights, to unit vectors; those without known terms go."""
+
+    def weigh(batches):
+        idf = shared.value.column("idf").to_numpy()
+        for batch in batches:
+            key, terms, tfs, rare_terms, rare_weights = batch.columns
+            known = shared.value.column("term").combine_chunks().cast(terms.type.value_type)
+            every = np.arange(len(key))
+            row = np.repeat(every, terms.value_lengths().to_numpy(zero_copy_only=False))
+            at = pc.index_in(terms.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+            hot = np.flatnonzero(at >= 0)
+            weights = tfs.flatten().to_numpy(zero_copy_only=False)[hot] * idf[at[hot]]
+            rare_row = np.repeat(every, rare_terms.value_lengths().to_numpy(zero_copy_only=False))
+            row = np.concatenate([row[hot], rare_row])
+            order = np.argsort(row, kind="stable")
+            row = row[order]
+            weights = np.concatenate([weights, rare_weights.flatten().to_numpy(zero_copy_only=False)])[order]
+            names = pa.concat_arrays([terms.flatten().take(pa.array(hot)), rare_terms.flatten()]).take(pa.array(order))
+            norms = np.sqrt(np.bincount(row, weights * weights, len(key)))
+            sizes = np.bincount(row, minlength=len(key))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes[sizes > 0])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (names, pa.array(weights / norms[row]))]
+            found = [key.filter(pa.array(sizes > 0)), *lists]
+            yield pa.RecordBatch.from_arrays(found, names=[batch.schema.names[0], "terms", "weights"])
+
+    return weigh
 
 
 def build_tfidf(reviews: DataFrame, key: str = "id", text: str = "teks_mentah") -> TfidfIndex:
@@ -118,7 +158,10 @@ def tfidf_search(
     The best 5k reviews are cut first, then the best one per place is kept, so
     fewer than k places may remain. Reviews are (id, nama, lokasi, teks_mentah).
     """
-    index = index or build_tfidf(reviews)
+    if index is None:
+        # Stored, so that no block of queries weighs the texts again.
+        index = build_tfidf(reviews)
+        index.vectors = materialise(index.vectors)
     asked = tfidf_vectors(queries.select("query_id", "query"), index.vocabulary, "query_id", "query")
     size = F.aggregate("terms", F.lit(0), lambda n, t: n + F.octet_length(t) + 16)
     found = score_blocks(asked, index.vectors, sparse_scorer, 5 * k, "query_id", "id", size, **blocks)

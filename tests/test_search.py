@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from placelens.functions import fixed_values as fixed
 from placelens.operators import hybrid as H
+from placelens.operators import tfidf
 from placelens.operators.encode import HashingEncoder, encode, encode_places
 from placelens.operators.tfidf import build_tfidf, tfidf_search
 from placelens.plans.recommend import recommend_texts
@@ -82,6 +83,25 @@ def test_tfidf_index_is_reusable(reviews, queries):
     assert lengths.distinct().collect() == [(1.0,)]
 
 
+@pytest.mark.parametrize("hot_bytes", [0, 100, 1 << 20])
+def test_only_rare_terms_are_shuffled(monkeypatch, spark, reviews, hot_bytes):
+    """Weights are the same wherever a term is weighed; texts of one key, or of none, are one text each."""
+    rows = [(None, "w", "kota", "danau pinus"), (None, "w", "kota", "hutan"), (3, "w", "kota", "danau zzz")]
+    table = reviews[1].unionByName(spark.createDataFrame(rows, reviews[1].schema))
+    vectors = lambda: {
+        r.id: (sorted(r.terms), [round(w, 9) for _, w in sorted(zip(r.terms, r.weights))])
+        for r in build_tfidf(table).vectors.collect()
+    }
+    expected = vectors()
+    assert expected[None][0] == ["danau", "hutan", "pinus"] and len(expected) == 68
+    met = []
+    shared = tfidf.most_frequent
+    monkeypatch.setattr(tfidf, "HOT_BYTES", hot_bytes)
+    monkeypatch.setattr(tfidf, "most_frequent", lambda t, *a: met.append(t.filter(~shared(t, *a)).count()) or shared(t, *a))
+    assert vectors() == expected
+    assert met[0] == {0: 17, 1 << 20: 0}.get(hot_bytes, met[0]) and (hot_bytes != 100 or 0 < met[0] < 17)
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     rng = random.Random(8)

@@ -5,8 +5,11 @@ from __future__ import annotations
 import json
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from placelens.functions.text import tokens
 from placelens.operators.blocks import best_rows, by_score, score_blocks
@@ -35,6 +38,26 @@ def band_of(weight: Column) -> Column:
     return F.least(F.greatest(band, F.lit(0)), F.lit(LAST_BAND)).cast("int")
 
 
+def _list_schema(vectors: DataFrame) -> T.StructType:
+    items = T.StructField("items", T.ArrayType(vectors.schema["item"].dataType))
+    return T.StructType([T.StructField("term", T.StringType()), items, vectors.schema["weights"]])
+
+
+def _term_lists(batches):
+    """From vectors (item, terms, weights) to (term, items, weights), a row per batch and term."""
+    for batch in batches:
+        item, terms, weights = (batch.column(c) for c in ("item", "terms", "weights"))
+        row = np.repeat(np.arange(len(item)), terms.value_lengths().to_numpy(zero_copy_only=False))
+        coded = terms.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        ends = np.cumsum(np.bincount(codes, minlength=len(coded.dictionary)))
+        offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+        moved = item.take(pa.array(row[order])), weights.flatten().take(pa.array(order))
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in moved]
+        yield pa.RecordBatch.from_arrays([coded.dictionary, *lists], names=["term", "items", "weights"])
+
+
 class KeywordIndex:
     """Unit TF-IDF vectors of a review table as stored postings, and exact search over them.
 
@@ -74,36 +97,40 @@ class KeywordIndex:
         vectors = tfidf.vectors.filter(F.col("item").isNotNull())
         vectors.write.parquet(f"{folder}/vectors")
         vectors = spark.read.schema(vectors.schema).parquet(f"{folder}/vectors")
-        entry = F.explode(F.arrays_zip("terms", "weights"))
-        rows = vectors.select("item", entry.alias("_entry")).select(
-            F.col("_entry.terms").alias("term"), "item", F.col("_entry.weights").alias("weight")
-        )
         bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
-        rows = materialise(rows.select(bucket, "term", band_of(F.col("weight")).alias("band"), "item", "weight"))
-
-        # A term has at most LAST_BAND + 1 bands; a hot term's postings combine before the shuffle.
-        sizes = rows.groupBy("bucket", "term", "band").agg(F.max("weight").alias("top"), F.count(F.lit(1)).alias("n"))
-        sizes = materialise(sizes)
-        listed = F.sort_array(F.collect_list(F.struct("top", "band", "n")), asc=False)
-        bands = sizes.groupBy("bucket", "term").agg(listed.alias("bands"))
-        terms = bands.join(tfidf.vocabulary, "term").select("bucket", "term", "df", "idf", "bands")
-        terms.repartitionByRange("bucket").sortWithinPartitions("bucket", "term").write.parquet(f"{folder}/terms")
 
         # A bucket with many postings is written in several files, each sorted so that bands lie together.
-        per_bucket = sizes.groupBy("bucket").agg(F.sum("n").alias("n"))
-        files = per_bucket.select("bucket", F.ceil(F.col("n") / FILE_ROWS).alias("files"))
-        total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        per_bucket = tfidf.vocabulary.groupBy(bucket).agg(F.sum("df").alias("n"))
+        files = materialise(per_bucket.select("bucket", F.ceil(F.col("n") / FILE_ROWS).alias("files"), "n"))
+        total = files.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // FILE_ROWS + 1)
-        dealt = rows.join(F.broadcast(files), "bucket")
-        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("term", "item"), F.col("files"))).drop("files")
-        sorted_rows = dealt.repartition(parts, "bucket", "part").sortWithinPartitions("bucket", "term", "band")
-        sorted_rows.drop("part").write.partitionBy("bucket").parquet(f"{folder}/postings")
+        # Postings of a term move together, those of one batch of texts in a row.
+        lists = vectors.mapInArrow(_term_lists, _list_schema(vectors)).select(bucket, "*")
+        dealt = lists.join(F.broadcast(files.drop("n")), "bucket")
+        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("term", "items"), F.col("files"))).drop("files")
+        entry = F.explode(F.arrays_zip("items", "weights"))
+        rows = dealt.repartition(parts, "bucket", "part").select("bucket", "part", "term", entry.alias("_entry"))
+        item, weight = F.col("_entry.items").alias("item"), F.col("_entry.weights").alias("weight")
+        rows = rows.select("bucket", "term", band_of(F.col("_entry.weights")).alias("band"), item, weight)
+        rows.sortWithinPartitions("bucket", "term", "band").write.partitionBy("bucket").parquet(f"{folder}/postings")
         kinds = dict(rows.dtypes)
+        schema = ", ".join(f"{c} {kinds[c]}" for c in ("term", "band", "item", "weight", "bucket"))
+
+        # A term has at most LAST_BAND + 1 bands; bands lie together in the files, so few sums leave a task.
+        stored = spark.read.schema(schema).parquet(f"{folder}/postings")
+        sizes = stored.groupBy("bucket", "term", "band").agg(F.max("weight").alias("top"), F.count(F.lit(1)).alias("n"))
+        band = F.when(F.col("band").isNotNull(), F.struct("top", "band", "n"))
+        weighed = tfidf.vocabulary.select(bucket, "term", "df", "idf")
+        dealt = sizes.unionByName(weighed, allowMissingColumns=True).repartitionByRange("bucket")
+        listed = F.sort_array(F.collect_list(band), asc=False).alias("bands")
+        terms = dealt.groupBy("bucket", "term").agg(F.max("df").alias("df"), F.max("idf").alias("idf"), listed)
+        terms = terms.filter(F.size("bands") > 0)
+        terms.sortWithinPartitions("bucket", "term").write.parquet(f"{folder}/terms")
         about = {
             "item_id": item_id,
             "texts": tfidf.texts,
             "buckets": buckets,
-            "postings": ", ".join(f"{c} {kinds[c]}" for c in ("term", "band", "item", "weight", "bucket")),
+            "postings": schema,
             "terms": ", ".join(f"{c} {t}" for c, t in terms.dtypes),
             "vectors": ", ".join(f"{c} {t}" for c, t in vectors.dtypes),
         }
@@ -225,6 +252,12 @@ class KeywordIndex:
         pairs = items.join(asked, F.col("query_id").eqNullSafe(F.col("_query"))).select(
             "query_id", F.col("item").alias("_item"), "_term", "w"
         )
+        per_query = items.groupBy("query_id").agg(F.count(F.lit(1)).alias("_items"))
+        counts = asked.groupBy("_query").agg(F.count(F.lit(1)).alias("_lists"))
+        met = per_query.join(counts, F.col("query_id").eqNullSafe(F.col("_query")))
+        # Few pairs are sent to the postings where they lie; more are too many to hold, and are shuffled like them.
+        if (met.agg(F.sum(F.col("_items") * F.col("_lists"))).first()[0] or 0) <= BLOCK_ROWS:
+            pairs = F.broadcast(pairs)
         same = (F.col("term") == F.col("_term")) & (F.col("item") == F.col("_item"))
         added = (F.col("w") * F.col("weight")).alias("score")
         return self.postings_of(buckets).join(pairs, same).select("query_id", "item", added)

@@ -12,6 +12,7 @@ from placelens.operators import keyword_index
 from placelens.operators.blocks import score_blocks
 from placelens.operators.keyword_index import KeywordIndex, indexed_search
 from placelens.operators.tfidf import build_tfidf, sparse_scorer, tfidf_search, tfidf_vectors
+from placelens.session import materialise
 
 WORDS = [f"w{i}" for i in range(300)]
 WEIGHTS = [1 / (i + 1) for i in range(300)]
@@ -109,6 +110,20 @@ def test_search_through_the_index(spark, named, queries, folder_of_index):
     assert got == sorted(tfidf_search(queries, named, 3).collect(), key=key) and len(got) > 40
 
 
+def test_postings_move_as_lists_and_are_stored_once(monkeypatch, spark, named, folder_of_index, tmp_path):
+    stored = []
+    monkeypatch.setattr(keyword_index, "materialise", lambda df: stored.append(df.columns) or materialise(df))
+    index = KeywordIndex.build(named, str(tmp_path / "index"), buckets=16)
+    assert stored and not any("item" in columns or "term" in columns for columns in stored)
+    lists = index.vectors.mapInArrow(keyword_index._term_lists, keyword_index._list_schema(index.vectors))
+    assert lists.count() < index.postings.count() / 2
+    once = index.postings.groupBy("term", "item").count()
+    assert once.filter("count > 1").count() == 0 and once.count() == index.vectors.select(F.explode("terms")).count()
+    # The sums of the bands are those of the stored postings, of which the vocabulary counts the texts.
+    bands = index.terms.select("term", "df", F.inline("bands"))
+    assert bands.groupBy("term").agg(F.sum("n").alias("n"), F.first("df").alias("df")).filter("n != df").count() == 0
+
+
 def test_index_of_nothing(spark, tmp_path):
     none = spark.createDataFrame([(1, None), (2, "!")], "id long, teks_mentah string")
     index = KeywordIndex.build(none, str(tmp_path / "index"))

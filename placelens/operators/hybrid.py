@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,11 +18,13 @@ from placelens.functions import fixed_values as fixed
 from placelens.functions.text import clean_keywords, words
 from placelens.operators.blocks import matrix, score_blocks, unit_rows
 from placelens.operators.phrases import PhraseFinder
-from placelens.operators.skew import skew_safe_join
+from placelens.operators.skew import most_frequent, row_digest
 from placelens.operators.tfidf import place_results, usable_reviews
+from placelens.session import materialise
 
 MIN_SCORE = 0.01
-MODEL_BYTES = 256 << 20
+# Word vectors that every worker holds, in bytes; of larger models those of the most frequent words.
+MODEL_BYTES = 16 << 20
 
 
 @dataclass
@@ -30,6 +34,7 @@ class WordModel:
     dim: int
     table: DataFrame
     shared: Broadcast | None
+    model_bytes: int = MODEL_BYTES
 
 
 def load_words(word_vectors: DataFrame, model_bytes: int = MODEL_BYTES) -> WordModel | None:
@@ -41,30 +46,44 @@ def load_words(word_vectors: DataFrame, model_bytes: int = MODEL_BYTES) -> WordM
         return None
     small = rows * dim * 8 + chars <= model_bytes
     context = word_vectors.sparkSession.sparkContext
-    return WordModel(dim, word_vectors, context.broadcast(word_vectors.toArrow()) if small else None)
+    shared = context.broadcast(word_vectors.toArrow()) if small else None
+    return WordModel(dim, word_vectors, shared, model_bytes)
 
 
 def mean_vectors(texts: DataFrame, key: str, text: str, model: WordModel) -> DataFrame:
-    """Adds `vector`: the mean of the vectors of a text's known words; zeros if it has none."""
+    """Adds `vector`: the mean of the vectors of a text's known words; zeros if it has none.
+
+    Of a model that is too large to share, the words most frequent in the texts are shared. The others, few of the
+    words of a text, meet their vectors by a shuffle, and their means join the text by a digest of it.
+    """
     if model.shared is not None:
         return _mean_by_lookup(texts, text, model.shared, model.dim)
-    # Repeats of a word in a text are counted first, so each word meets its vector once.
-    found = texts.select(key, F.explode(words(F.col(text))).alias("word")).groupBy(key, "word").count()
-    joined = skew_safe_join(found, model.table, "word", F.col(key))
-    spread = joined.select(key, "count", F.posexplode("vector").alias("dim", "x"))
-    mean = F.sum(F.col("x") * F.col("count")) / F.sum("count")
-    per_dim = spread.groupBy(key, "dim").agg(mean.alias("x"))
-    # A group is one text, with one number per dimension.
-    ordered = F.array_sort(F.collect_list(F.struct("dim", "x")))
-    means = per_dim.groupBy(key).agg(F.transform(ordered, lambda p: p["x"]).alias("vector"))
-    zeros = F.array_repeat(F.lit(0.0), model.dim)
-    return texts.join(means, key, "left").withColumn("vector", F.coalesce("vector", zeros))
+    marked = texts.withColumn("_row", row_digest([key, text]))
+    said = marked.select("_row", F.explode(words(F.col(text))).alias("word"))
+    counts = said.groupBy("word").agg(F.count(F.lit(1)).alias("_rows"))
+    known = materialise(model.table.select("word", "vector").join(counts, "word"))
+    hot = most_frequent(known, "_rows", F.octet_length("word") + 8 * model.dim, model.model_bytes)
+    shared = texts.sparkSession.sparkContext.broadcast(known.filter(hot).select("word", "vector").toArrow())
+    rare = said.join(F.broadcast(known.filter(hot).select("word")), "word", "left_anti")
+    rare = rare.join(known.filter(~hot).select("word", "vector"), "word")
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col("vector").cast("array<double>"))))
+    # Copies of a text with its key share a digest, and have as many times its rare words.
+    means = rare.groupBy("_row").agg(mean.alias("_rare"), F.count(F.lit(1)).alias("_n"))
+    copies = marked.groupBy("_row").agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1")
+    means = means.join(copies, "_row", "left").withColumn("_n", F.col("_n") / F.coalesce("_copies", F.lit(1)))
+    joined = marked.join(means.drop("_copies"), "_row", "left").drop("_row")
+    return _mean_by_lookup(joined, text, shared, model.dim)
 
 
 def _mean_by_lookup(texts: DataFrame, text: str, shared: Broadcast, dim: int) -> DataFrame:
-    """The whole model, of checked size, is on every worker; the texts are not shuffled."""
-    schema = T.StructType([*texts.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))])
+    """Shared vectors, of checked size, are on every worker; the texts are not shuffled.
+
+    Texts may come with `_rare`, the mean of the vectors of `_n` more of their words.
+    """
+    kept = [f for f in texts.schema.fields if f.name not in ("_rare", "_n")]
+    schema = T.StructType([*kept, T.StructField("vector", T.ArrayType(T.DoubleType()))])
     names = [f.name for f in schema.fields]
+    with_rare = len(kept) < len(texts.columns)
 
     def average(batches):
         known = shared.value.column("word").combine_chunks()
@@ -73,15 +92,21 @@ def _mean_by_lookup(texts: DataFrame, text: str, shared: Broadcast, dim: int) ->
             split = batch.column("_words")
             index = pc.index_in(split.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
             ends = np.cumsum(split.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            means = np.zeros((len(ends), dim))
+            sums, counts = np.zeros((len(ends), dim)), np.zeros(len(ends))
+            if with_rare:
+                counts = batch.column("_n").fill_null(0).to_numpy(zero_copy_only=False).astype(float)
+                rare = batch.column("_rare").drop_null()
+                sums[counts > 0] = matrix(pa.chunked_array([rare])).reshape(-1, dim)
+                sums *= counts[:, None]
             for row, part in enumerate(np.split(index, ends[:-1])):
                 part = part[part >= 0]
                 if len(part):
-                    means[row] = vectors[part].mean(axis=0)
+                    sums[row] += vectors[part].sum(axis=0)
+                    counts[row] += len(part)
+            means = sums / np.maximum(counts, 1)[:, None]
             offsets = np.arange(0, dim * len(means) + 1, dim, dtype=np.int32)
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(means.ravel()))
-            kept = [batch.column(name) for name in names[:-1]]
-            yield pa.RecordBatch.from_arrays([*kept, column], names=names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names[:-1]], column], names=names)
 
     return texts.withColumn("_words", words(F.col(text))).mapInArrow(average, schema)
 

@@ -140,6 +140,24 @@ def test_hybrid_equals_brute_force(monkeypatch, reviews, queries, model, blocks,
     assert by_query(H.hybrid_search(queries[1], reviews[1], table, k, **blocks)) == expected
 
 
+@pytest.mark.parametrize("model_bytes", [0, 150])
+def test_a_large_model_is_not_shared_whole(monkeypatch, spark, model, model_bytes):
+    """Every row gets the mean of its own words, copies and rows without a key too; workers hold few vectors."""
+    vectors, table = model
+    texts = [(1, "api api danau x"), (2, "jalan"), (2, "jalan"), (2, "murah toilet"), (None, "sepi api"), (None, "sepi api"), (4, "")]
+    texts += [(10 + i, "api unggun danau pantai") for i in range(20)]
+    shared, share = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: shared.append(x) or share(self, x))
+    words = H.load_words(table, model_bytes)
+    found = H.mean_vectors(spark.createDataFrame(texts, "k long, t string"), "k", "t", words).collect()
+    mean = lambda known: [round(sum(x) / len(known), 9) for x in zip(*known)] if known else [0.0] * 3
+    expected = [(k or 0, t, mean([vectors[w] for w in t.split() if w in vectors])) for k, t in texts]
+    assert sorted((r.k or 0, r.t, [round(x, 9) for x in r.vector]) for r in found) == sorted(expected)
+    held = [x for x in shared if x.num_rows]
+    assert len(held) == (model_bytes > 0) and all(x.num_rows * 24 <= model_bytes for x in held)
+    assert H.MODEL_BYTES <= 16 << 20
+
+
 def test_summary(queries, reviews):
     results = H.hybrid_search(queries[1], reviews[1], k=2)
     rows = {r["query_id"]: r for r in H.search_summary(queries[1], results).collect()}

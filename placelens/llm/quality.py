@@ -24,17 +24,23 @@ def _size(array: Column) -> Column:
     return F.size(array).cast("bigint")
 
 
-def _runs(hashes: Column, size: int) -> Column:
-    """Hash of each run of `size` words, from their hashes."""
-    if size == 1:
-        return hashes
-    firsts = F.slice(hashes, 1, F.greatest(F.size(hashes) - (size - 1), F.lit(0)))
-    return F.transform(firsts, lambda h, i: F.xxhash64(h, *[F.get(hashes, i + j) for j in range(1, size)]))
+def _longer(runs: Column, hashes: Column, size: int) -> Column:
+    """Hash of each run of `size` words, from those of the runs of one word less and of the words."""
+    n = F.greatest(F.size(hashes) - (size - 1), F.lit(0))
+    return F.zip_with(F.slice(runs, 1, n), F.slice(hashes, size, n), lambda run, last: F.xxhash64(run, last))
 
 
-def _ngrams(hashes: Column, longest: int) -> Column:
-    """Hashes of all runs of 1 to `longest` words."""
-    return F.concat(*[_runs(hashes, size) for size in range(1, longest + 1)])
+def _with_runs(docs: DataFrame, longest: int) -> DataFrame:
+    """Add `_runs2` to `_runs<longest>`, the hashes of all runs of so many words, to a table with `_hashes`."""
+    for size in range(2, longest + 1):
+        shorter = "_hashes" if size == 2 else f"_runs{size - 1}"
+        docs = docs.withColumn(f"_runs{size}", _longer(F.col(shorter), F.col("_hashes"), size))
+    return docs
+
+
+def _ngrams(longest: int) -> Column:
+    """Hashes of all runs of 1 to `longest` words, from the columns of _with_runs."""
+    return F.concat("_hashes", *[f"_runs{size}" for size in range(2, longest + 1)])
 
 
 def _repeated_words(windows: Column) -> Column:
@@ -56,23 +62,25 @@ def _repeated_words(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("bigint")).otherwise(count)
 
 
-def with_counts(docs: DataFrame, text: str) -> DataFrame:
-    """Add the base columns, and the word hashes `_hashes`, to a table with a non-null text."""
+def with_counts(docs: DataFrame, text: str, longest: int = 3) -> DataFrame:
+    """Add the base columns, the word hashes `_hashes` and those of runs of two to `longest` words to a table with a non-null text."""
     lines = F.filter(F.split(F.col(text), "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     symbols = F.length(text) - F.length(F.regexp_replace(F.col(text), r"[#*$%&|<>]", ""))
-    counted = (
+    hashed = (
         docs.withColumn("_words", words_of(F.col(text)))
         .withColumn("_lines", lines)
         .withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-        .withColumn("_windows", _runs(F.col("_hashes"), 3))
+    )
+    counted = (
+        _with_runs(hashed, max(3, longest))
         .withColumn("n_words", _size(F.col("_words")))
         .withColumn("word_chars", F.length(F.array_join("_words", "")).cast("bigint"))
         .withColumn("n_symbols", symbols.cast("bigint"))
         .withColumn("n_dup_lines", _size(F.col("_lines")) - _size(F.array_distinct("_lines")))
-        .withColumn("n_repeat_words", _repeated_words(F.col("_windows")))
+        .withColumn("n_repeat_words", _repeated_words(F.col("_runs3")))
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).drop("_words", "_lines", "_windows")
+    return counted.withColumn("base_failed", failed).drop("_words", "_lines")
 
 
 def trusted_ids(labels: DataFrame, id_column: str, good: Column, bound: int = TRUSTED_ROWS) -> DataFrame:
@@ -100,7 +108,7 @@ def fit_ratio(
     texts = docs.select(F.col(id_column).alias("_id"), text_of(F.col(text_column)).alias("_text"))
     flagged = texts.join(F.broadcast(ids), F.col("_id") == F.col("_trusted_id"), "left")
     hashes = F.transform(words_of(F.col("_text")), lambda w: F.xxhash64(w))
-    runs = flagged.withColumn("_hashes", hashes).select("_trusted", F.explode(_ngrams(F.col("_hashes"), ngram)).alias("_run"))
+    runs = _with_runs(flagged.withColumn("_hashes", hashes), ngram).select("_trusted", F.explode(_ngrams(ngram)).alias("_run"))
     features = runs.select(
         F.coalesce("_trusted", F.lit(0)).alias("_trusted"), F.pmod("_run", F.lit(buckets)).cast("int").alias("b")
     )
@@ -157,9 +165,9 @@ def judge_quality(
     )
     add = lambda total, h: total + F.get("_ratios", F.pmod(h, F.lit(buckets)).cast("int"))
     scored = (
-        with_counts(texts, "_text")
+        with_counts(texts, "_text", ngram)
         .withColumn("_ratios", model.select("ratios").scalar())
-        .withColumn("_runs", _ngrams(F.col("_hashes"), ngram))
+        .withColumn("_runs", _ngrams(ngram))
         .withColumn("_sum", F.aggregate("_runs", F.lit(0.0), add))
     )
     llr = F.when(F.size("_runs") == 0, F.lit(0.0)).otherwise(F.col("_sum") / F.size("_runs"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import struct
 import time
 from collections import Counter
 
@@ -38,6 +39,17 @@ def signed_hash(data: bytes, seed: int = 42) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def test_longer_runs_come_from_shorter_ones(spark):
+    """Values are those of plain hashes, and no lambda looks a neighbour up by its place."""
+    rows = [[1, 2, 3, 4], [5, 6], [7], [], [1, 1, 1, 1]]
+    runs = quality._with_runs(spark.createDataFrame([(r,) for r in rows], "_hashes array<bigint>"), 3)
+    assert "get(" not in runs._jdf.queryExecution().optimizedPlan().toString()
+    two = lambda a, b: signed_hash(struct.pack("<q", b), signed_hash(struct.pack("<q", a)) % (1 << 64))
+    for r in runs.collect():
+        pairs = [two(a, b) for a, b in zip(r[0], r[0][1:])]
+        assert (r["_runs2"], r["_runs3"]) == (pairs, [two(p, c) for p, c in zip(pairs, r[0][2:])])
+
+
 def test_quality_ratio_of_the_query(spark, folder):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     good = {r.doc_id for r in spark.read.parquet(f"{folder}/labels.parquet").filter("quality = 1").collect()}

@@ -95,7 +95,7 @@ class KeywordIndex:
         if buckets is None:
             buckets = min(MOST_BUCKETS, tfidf.vocabulary.count() // 256 + 1)
         vectors = tfidf.vectors.filter(F.col("item").isNotNull())
-        vectors.write.parquet(f"{folder}/vectors")
+        vectors.write.parquet(f"{folder}/vectors", compression="zstd")
         vectors = spark.read.schema(vectors.schema).parquet(f"{folder}/vectors")
         bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
 
@@ -112,7 +112,7 @@ class KeywordIndex:
         rows = dealt.repartition(parts, "bucket", "part").select("bucket", "part", "term", entry.alias("_entry"))
         item, weight = F.col("_entry.items").alias("item"), F.col("_entry.weights").alias("weight")
         rows = rows.select("bucket", "term", band_of(F.col("_entry.weights")).alias("band"), item, weight)
-        rows.sortWithinPartitions("bucket", "term", "band").write.partitionBy("bucket").parquet(f"{folder}/postings")
+        rows.sortWithinPartitions("bucket", "term", "band").write.partitionBy("bucket").parquet(f"{folder}/postings", compression="zstd")
         kinds = dict(rows.dtypes)
         schema = ", ".join(f"{c} {kinds[c]}" for c in ("term", "band", "item", "weight", "bucket"))
 

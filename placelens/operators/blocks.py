@@ -117,7 +117,7 @@ def scan_items(
 
 def score_blocks(
     queries: DataFrame,
-    items: DataFrame,
+    items: DataFrame | Callable[[pa.Table], DataFrame],
     scorer: Scorer,
     k: int,
     query_id: str,
@@ -128,18 +128,20 @@ def score_blocks(
 ) -> DataFrame:
     """The k best items per query as (query_id, item_id, score, posisi).
 
-    `scorer(queries)` returns a function from an item table to a score matrix.
+    `scorer(queries)` returns a function from an item table to a score matrix. Items may be a function of the block.
     The result is computed here and kept as a table, so that a join to it knows
     how few rows it has, and need not shuffle the table it looks up. A block of
     queries costs one scan of the items.
     """
     found = None
     for block in query_blocks(queries, query_id, query_bytes, max_queries, max_bytes):
-        best = best_rows(scan_items(block, items, scorer, k, query_id, item_id), query_id, k, *by_score(item_id))
+        scanned = items(block) if callable(items) else items
+        best = best_rows(scan_items(block, scanned, scorer, k, query_id, item_id), query_id, k, *by_score(item_id))
         stored = materialise(best)
         found = stored if found is None else found.unionByName(stored)
     if found is None:
-        kinds = [queries.schema[query_id], items.schema[item_id]]
+        scanned = items(queries.limit(0).toArrow()) if callable(items) else items
+        kinds = [queries.schema[query_id], scanned.schema[item_id]]
         kinds += [T.StructField("score", T.DoubleType()), T.StructField("posisi", T.LongType())]
         return queries.sparkSession.createDataFrame([], T.StructType(kinds))
     return found

@@ -8,18 +8,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placelens.functions import fixed_values as fixed
-from placelens.functions.text import clean_keywords, words
+from placelens.functions.arrow_text import keyword_texts, lists_by_row, text_slices, text_words
+from placelens.functions.text import clean_keywords
 from placelens.operators.blocks import matrix, score_blocks, unit_rows
 from placelens.operators.phrases import PhraseFinder
-from placelens.operators.skew import most_frequent, row_digest
+from placelens.operators.skew import most_frequent
 from placelens.operators.tfidf import place_results, usable_reviews
+from placelens.operators.words import word_counts
 from placelens.session import materialise
 
 MIN_SCORE = 0.01
@@ -51,77 +51,121 @@ def load_words(word_vectors: DataFrame, model_bytes: int = MODEL_BYTES) -> WordM
 
 
 def mean_vectors(texts: DataFrame, key: str, text: str, model: WordModel) -> DataFrame:
-    """Adds `vector`: the mean of the vectors of a text's known words; zeros if it has none.
+    """Adds `vector`: the mean of the vectors of a text's known words; zeros if it has none. Keys may repeat."""
+    numbered = number_rows(texts)
+    return numbered.join(row_vectors(numbered, text, model), "_row").select(*texts.columns, "vector")
+
+
+def number_rows(texts: DataFrame) -> DataFrame:
+    """Stores the texts with `_row`, which no other row has; what is computed for a text is joined by it."""
+    return materialise(texts.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def row_vectors(numbered: DataFrame, text: str, model: WordModel) -> DataFrame:
+    """(_row, vector): the mean of the vectors of the known words of every row; stored.
 
     Of a model that is too large to share, the words most frequent in the texts are shared. The others, few of the
-    words of a text, meet their vectors by a shuffle, and their means join the text by a digest of it.
+    words of a text, meet their vectors by a shuffle. Texts are split where they lie; only sums and rare words move.
     """
-    if model.shared is not None:
-        return _mean_by_lookup(texts, text, model.shared, model.dim)
-    marked = texts.withColumn("_row", row_digest([key, text]))
-    said = marked.select("_row", F.explode(words(F.col(text))).alias("word"))
-    counts = said.groupBy("word").agg(F.count(F.lit(1)).alias("_rows"))
-    known = materialise(model.table.select("word", "vector").join(counts, "word"))
-    hot = most_frequent(known, "_rows", F.octet_length("word") + 8 * model.dim, model.model_bytes)
-    shared = texts.sparkSession.sparkContext.broadcast(known.filter(hot).select("word", "vector").toArrow())
-    rare = said.join(F.broadcast(known.filter(hot).select("word")), "word", "left_anti")
-    rare = rare.join(known.filter(~hot).select("word", "vector"), "word")
-    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col("vector").cast("array<double>"))))
-    # Copies of a text with its key share a digest, and have as many times its rare words.
-    means = rare.groupBy("_row").agg(mean.alias("_rare"), F.count(F.lit(1)).alias("_n"))
-    copies = marked.groupBy("_row").agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1")
-    means = means.join(copies, "_row", "left").withColumn("_n", F.col("_n") / F.coalesce("_copies", F.lit(1)))
-    joined = marked.join(means.drop("_copies"), "_row", "left").drop("_row")
-    return _mean_by_lookup(joined, text, shared, model.dim)
-
-
-def _mean_by_lookup(texts: DataFrame, text: str, shared: Broadcast, dim: int) -> DataFrame:
-    """Shared vectors, of checked size, are on every worker; the texts are not shuffled.
-
-    Texts may come with `_rare`, the mean of the vectors of `_n` more of their words.
+    known, shared = None, model.shared
+    if shared is None:
+        counts = word_counts(numbered, text).withColumnRenamed("n", "_rows")
+        known = materialise(model.table.select("word", "vector").join(counts, "word"))
+        hot = most_frequent(known, "_rows", F.octet_length("word") + 8 * model.dim, model.model_bytes)
+        shared = numbered.sparkSession.sparkContext.broadcast(known.filter(hot).select("word", "vector").toArrow())
+    sums = _sums_by_lookup(numbered, text, shared, model.dim, known is not None)
+    every, n = F.array("_sum"), F.col("_n")
+    if known is not None:
+        sums = materialise(sums)
+        rare = sums.select("_row", F.explode("_rare").alias("word")).join(known.filter(~hot), "word")
+        # A group is one text, so its list is no longer than the text.
+        rare = rare.groupBy("_row").agg(F.collect_list(F.col("vector").cast("array<double>")).alias("_vectors"))
+        sums = sums.drop("_rare").join(rare, "_row", "left")
+        more = F.coalesce("_vectors", F.array().cast("array<array<double>>"))
+        every, n = F.concat(every, more), n + F.size(more)
+    zeros = F.array_repeat(F.lit(0.0), model.dim)
+    total = F.aggregate(every, zeros, lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    return materialise(sums.select("_row", F.transform(total, lambda x: x / F.greatest(n, F.lit(1))).alias("vector")))
+
+
+def _sums_by_lookup(numbered: DataFrame, text: str, shared: Broadcast, dim: int, with_rare: bool) -> DataFrame:
+    """(_row, _sum, _n, _rare): per row the sum and number of its shared words, and its other words if asked for.
+
+    Shared vectors, of checked size, are on every worker; the texts are not shuffled.
     """
-    kept = [f for f in texts.schema.fields if f.name not in ("_rare", "_n")]
-    schema = T.StructType([*kept, T.StructField("vector", T.ArrayType(T.DoubleType()))])
-    names = [f.name for f in schema.fields]
-    with_rare = len(kept) < len(texts.columns)
+    schema = "_row bigint, _sum array<double>, _n bigint" + ", _rare array<string>" * with_rare
 
-    def average(batches):
+    def add_up(batches):
         known = shared.value.column("word").combine_chunks()
         vectors = matrix(shared.value.column("vector"))
         for batch in batches:
-            split = batch.column("_words")
-            index = pc.index_in(split.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(split.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            sums, counts = np.zeros((len(ends), dim)), np.zeros(len(ends))
-            if with_rare:
-                counts = batch.column("_n").fill_null(0).to_numpy(zero_copy_only=False).astype(float)
-                rare = batch.column("_rare").drop_null()
-                sums[counts > 0] = matrix(pa.chunked_array([rare])).reshape(-1, dim)
-                sums *= counts[:, None]
-            for row, part in enumerate(np.split(index, ends[:-1])):
-                part = part[part >= 0]
-                if len(part):
-                    sums[row] += vectors[part].sum(axis=0)
-                    counts[row] += len(part)
-            means = sums / np.maximum(counts, 1)[:, None]
-            offsets = np.arange(0, dim * len(means) + 1, dim, dtype=np.int32)
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(means.ravel()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names[:-1]], column], names=names)
-
-    return texts.withColumn("_words", words(F.col(text))).mapInArrow(average, schema)
+            for part in text_slices(batch, text):
+                rows = part.num_rows
+                row, said = text_words(part.column(text))
+                at = pc.index_in(said, value_set=known.cast(said.type)).fill_null(-1).to_numpy(zero_copy_only=False)
+                ends = np.searchsorted(row, np.arange(1, rows))
+                sums, counts = np.zeros((rows, dim)), np.bincount(row[at >= 0], minlength=rows)
+                for i, here in enumerate(np.split(at, ends)):
+                    if counts[i]:
+                        sums[i] = vectors[here[here >= 0]].sum(axis=0)
+                flat = np.repeat(np.arange(rows), dim)
+                columns = [part.column("_row"), lists_by_row(flat, pa.array(sums.ravel()), rows), pa.array(counts)]
+                if with_rare:
+                    rare = said.filter(pa.array(at < 0))
+                    columns.append(lists_by_row(row[at < 0], rare, rows))
+                yield pa.RecordBatch.from_arrays(columns, names=["_row", "_sum", "_n", "_rare"][: len(columns)])
+
+    return numbered.select("_row", text).mapInArrow(add_up, schema)
+
+
+def phrase_scorer(queries: pa.Table):
+    """Points of items (clean, name) for the phrases they hold, as a matrix."""
+    phrases = PhraseFinder(queries.column("clean").to_pylist())
+    w = fixed.HYBRID_WEIGHTS
+
+    def score(items: pa.Table) -> np.ndarray:
+        total = w["text"] * phrases.hits(items.column("clean").to_pylist())
+        return total + w["name"] * phrases.hits(items.column("name").to_pylist())
+
+    return score
+
+
+def phrase_points(queries: pa.Table, texts: DataFrame) -> DataFrame:
+    """(_row, id, _query, _points): the queries of a block that a text has points for, and how many; no shuffle."""
+    lists = [("_query", T.IntegerType()), ("_points", T.DoubleType())]
+    kinds = [T.StructField("_row", T.LongType()), texts.schema["id"], *[T.StructField(n, T.ArrayType(t)) for n, t in lists]]
+    schema = T.StructType(kinds)
+    shared = texts.sparkSession.sparkContext.broadcast(queries.select(["clean"]))
+
+    def find(batches):
+        score = phrase_scorer(shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                points = score(pa.Table.from_batches([part])).T
+                row, query = np.nonzero(points)
+                lists = [pa.array(query.astype(np.int32)), pa.array(points[row, query])]
+                found = [lists_by_row(row, x, part.num_rows) for x in lists]
+                yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("id"), *found], names=schema.names)
+
+    return texts.select("_row", "id", "clean", "name").mapInArrow(find, schema)
 
 
 def hybrid_scorer(semantic: bool):
+    """Scores of items with their texts or, if semantic, with the points of phrase_points and a vector."""
+
     def prepare(queries: pa.Table):
-        phrases = PhraseFinder(queries.column("clean").to_pylist())
+        points = None if semantic else phrase_scorer(queries)
         left = unit_rows(matrix(queries.column("vector"))) if semantic else None
-        w = fixed.HYBRID_WEIGHTS
 
         def score(items: pa.Table) -> np.ndarray:
-            total = w["text"] * phrases.hits(items.column("clean").to_pylist())
-            total += w["name"] * phrases.hits(items.column("name").to_pylist())
             if semantic:
-                total += w["semantic"] * (left @ unit_rows(matrix(items.column("vector"))).T)
+                total = fixed.HYBRID_WEIGHTS["semantic"] * (left @ unit_rows(matrix(items.column("vector"))).T)
+                query = items.column("_query").combine_chunks()
+                row = np.repeat(np.arange(items.num_rows), query.value_lengths().to_numpy(zero_copy_only=False))
+                total[query.flatten().to_numpy(), row] += items.column("_points").combine_chunks().flatten().to_numpy()
+            else:
+                total = points(items)
             return np.where(total > MIN_SCORE, total, -np.inf)
 
         return score
@@ -134,24 +178,38 @@ def hybrid_search(
 ) -> DataFrame:
     """The k best places per query, as in the keyword search; without word vectors only phrase and name count.
 
-    The best 2k reviews are cut before the best one per place is kept.
+    The best 2k reviews are cut before the best one per place is kept. With word vectors the texts are cleaned and
+    stored once; a block of queries costs one scan of them, and what it finds meets the vectors by row.
     """
     usable = usable_reviews(reviews, "teks_mentah")
     asked = queries.select("query_id", clean_keywords(F.coalesce("query", F.lit(""))).alias("clean"))
-    known = usable.select(
-        "id", clean_keywords(F.col("teks_mentah")).alias("clean"), F.lower("nama").alias("name")
-    )
     size = F.octet_length("clean") + 16
     model = load_words(word_vectors) if word_vectors is not None else None
-    if model is not None:
-        asked = mean_vectors(asked, "query_id", "clean", model)
-        known = mean_vectors(known, "id", "clean", model)
-        size = size + 8 * F.size("vector")
-    scorer = hybrid_scorer(model is not None)
-    found = score_blocks(asked, known, scorer, 2 * k, "query_id", "id", size, **blocks)
+    if model is None:
+        known = usable.select("id", clean_keywords(F.col("teks_mentah")).alias("clean"), F.lower("nama").alias("name"))
+        found = score_blocks(asked, known, hybrid_scorer(False), 2 * k, "query_id", "id", size, **blocks)
+        return place_results(found, reviews, k, 1)
+    asked = mean_vectors(asked, "query_id", "clean", model)
+    known = number_rows(cleaned_texts(usable.select("id", F.col("teks_mentah").alias("clean"), F.lower("nama").alias("name"))))
+    vectors = row_vectors(known, "clean", model)
+    items = lambda block: phrase_points(block, known).join(vectors, "_row").drop("_row")
+    size = size + 8 * F.size("vector")
+    found = score_blocks(asked, items, hybrid_scorer(True), 2 * k, "query_id", "id", size, **blocks)
     return place_results(found, reviews, k, 1)
 
 
+def cleaned_texts(texts: DataFrame) -> DataFrame:
+    """The texts with `clean` as clean_keywords makes it, a slice at a time."""
+
+    def clean(batches):
+        for batch in batches:
+            for part in text_slices(batch, "clean"):
+                cleaned = keyword_texts(part.column("clean"))
+                yield part.set_column(part.schema.get_field_index("clean"), "clean", cleaned)
+
+    return texts.mapInArrow(clean, texts.schema)
+
+
 def search_summary(queries: DataFrame, results: DataFrame, name: str = "nama") -> DataFrame:
     """Per query: its cleaned form, the number of results and the best one."""
     first = results.groupBy("query_id").agg(

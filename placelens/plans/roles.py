@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placelens.functions.text import clean_keywords, words
 from placelens.operators.encode import pool_vectors
+from placelens.operators.words import keyword_counts
 from placelens.sources.readers import spread_rows
 
 # Word lists over the invented languages of the given texts.
@@ -144,13 +144,7 @@ def mixed_queries(spark: SparkSession, folder: str) -> DataFrame:
 
 def language_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """(word, vector): the share of a word's documents in each language."""
-    found = documents(spark, folder).select(
-        "lang", F.explode(F.array_distinct(words(clean_keywords(F.col("text"))))).alias("word")
-    )
-    counts = found.groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.col("lang") == lang).alias(lang) for lang in ("de", "en", "es", "fr")],
-    )
+    counts = keyword_counts(documents(spark, folder), "text", "lang", ("de", "en", "es", "fr"))
     shares = F.array(*[F.col(lang) / F.col("n") for lang in ("de", "en", "es", "fr")])
     return counts.select("word", shares.alias("vector"))
 

@@ -1,5 +1,8 @@
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,6 +13,7 @@ from placelens.functions import metadata as M
 from placelens.functions import scraped as S
 from placelens.functions import text as X
 from placelens.functions import vectors as V
+from placelens.functions.arrow_text import keyword_texts, lists_by_row, text_slices, text_words
 from placelens.operators.rerank import detect_intent
 
 
@@ -164,3 +168,29 @@ def test_term_counts(spark):
     texts = ["danau pantai danau", "", "a b", None, "satu", "É é éé éé zz aa éé"]
     got = run(spark, lambda c: F.map_from_entries(X.term_counts(c)), texts)
     assert got == [{"danau": 2, "pantai": 1}, None, None, None, {"satu": 1}, {"aa": 1, "zz": 1, "éé": 3}]
+
+
+def test_arrow_text_equals_columns(spark, tmp_path):
+    """Every character, alone and among others: cleaned and split in Arrow as in columns."""
+    signs = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"A{c}b {c}{c} " for c in signs[at : at + 64]) for at in range(0, len(signs), 64)] + ["", " \u2003\t", None]
+    pq.write_table(pa.table({"t": pa.array(texts, pa.string())}), f"{tmp_path}/t.parquet")
+    t = F.col("t")
+    spark.read.parquet(f"{tmp_path}/t.parquet").select("t", X.clean_keywords(t).alias("k"), X.words(t).alias("w")).write.parquet(f"{tmp_path}/out")
+    rows = pq.read_table(f"{tmp_path}/out")
+    array = rows["t"].combine_chunks()
+    assert len(array) == len(texts) and keyword_texts(array).to_pylist() == rows["k"].to_pylist()
+    row, said = text_words(array)
+    assert lists_by_row(row, said, len(array)).to_pylist() == [w or [] for w in rows["w"].to_pylist()]
+
+
+def test_arrow_text_of_odd_arrays():
+    ends = pa.py_buffer(np.array([0, 6, 6], np.int32))
+    broken = pa.Array.from_buffers(pa.string(), 2, [pa.py_buffer(b"\x01"), ends, pa.py_buffer(b"Ab\xff c\xc3")])
+    assert keyword_texts(broken).to_pylist() == ["ab c", None]
+    batch = pa.RecordBatch.from_pydict({"t": ["", "aaaa", None, "b" * 50, "c", "d" * 9, "e"]})
+    slices = [x.column("t").to_pylist() for x in text_slices(batch, "t", 10)]
+    assert slices == [["", "aaaa", None, "b" * 50], ["c", "d" * 9], ["e"]]
+    assert list(text_slices(batch.slice(0, 0), "t")) == []
+    row, said = text_words(batch.column("t"))
+    assert row.tolist() == [1, 3, 4, 5, 6] and said.to_pylist()[0] == "aaaa"

@@ -11,6 +11,7 @@ from placelens.operators import hybrid as H
 from placelens.operators import tfidf
 from placelens.operators.encode import HashingEncoder, encode, encode_places
 from placelens.operators.tfidf import build_tfidf, tfidf_search
+from placelens.operators.words import keyword_counts, word_counts
 from placelens.plans.recommend import recommend_texts
 
 GRID = {"max_queries": 2}
@@ -158,6 +159,47 @@ def test_a_large_model_is_not_shared_whole(monkeypatch, spark, model, model_byte
     assert H.MODEL_BYTES <= 16 << 20
 
 
+def test_texts_of_a_large_model_are_not_shuffled(monkeypatch, spark, model, tmp_path):
+    """Words and sums move, but no text does where only the vectors are asked for."""
+    rows = [(i, "api unggun danau pantai jalan murah " * 3 + str(i)) for i in range(50)]
+    spark.createDataFrame(rows, "k long, t string").write.parquet(f"{tmp_path}/t")
+    plans, store = [], H.materialise
+    explain = lambda df: plans.append(df._jdf.queryExecution().explainString(formatted))
+    formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    monkeypatch.setattr(H, "materialise", lambda df: explain(df) or store(df))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = H.mean_vectors(spark.read.parquet(f"{tmp_path}/t"), "k", "t", H.load_words(model[1], 0)).select("k", "vector")
+        explain(found)
+        assert found.count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    moved = [m for plan in plans for m in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)]
+    assert moved and not [m for m in moved if re.search(r"\bt#", m)]
+
+
+def test_hybrid_cleans_texts_once(monkeypatch, spark, reviews, queries, model):
+    """Every later step, for each block of queries, reads the stored texts."""
+    load, cleaned, clean = H.load_words, [], H.cleaned_texts
+    monkeypatch.setattr(H, "load_words", lambda vectors: load(vectors, 0))
+    monkeypatch.setattr(H, "cleaned_texts", lambda texts: cleaned.append(texts.count()) or clean(texts))
+    whole = by_query(H.hybrid_search(queries[1], reviews[1], model[1], 4))
+    assert by_query(H.hybrid_search(queries[1], reviews[1], model[1], 4, max_queries=1)) == whole
+    assert cleaned == [len([r for r in reviews[0] if r[3]])] * 2
+    nothing = H.hybrid_search(queries[1].limit(0), reviews[1], model[1], 4)
+    assert nothing.count() == 0 and nothing.columns == H.hybrid_search(queries[1], reviews[1], model[1], 4).columns
+
+
+def test_word_counts(spark):
+    texts = [("Api, api unggun", "en"), ("api\u00a0danau", None), (None, "en"), ("  ", "de"), ("Ünggun api", "id"), ("danau danau", "de")]
+    table = spark.createDataFrame(texts, "t string, lang string")
+    counts = {r["word"]: r["n"] for r in word_counts(table, "t").collect()}
+    assert counts == Counter(w for t, _ in texts for w in (t or "").split())
+    found = {r["word"]: tuple(r)[1:] for r in keyword_counts(table, "t", "lang", ("de", "en")).collect()}
+    assert found == {"api": (3, 0, 1), "unggun": (1, 0, 1), "nggun": (1, 0, 0), "danau": (2, 1, 0)}
+
+
 def test_summary(queries, reviews):
     results = H.hybrid_search(queries[1], reviews[1], k=2)
     rows = {r["query_id"]: r for r in H.search_summary(queries[1], results).collect()}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 # Letters, digits and the blanks of text.BLANK, as RE2 writes them.
 _OTHER = (
@@ -44,6 +46,24 @@ def text_slices(batch: pa.RecordBatch, text: str, most_bytes: int = SLICE_BYTES)
         yield batch.slice(at, end - at)
 
 
+def map_slices(
+    df: DataFrame, text: str, schema: T.StructType | str, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]
+) -> DataFrame:
+    """mapInArrow by slices of bounded text; `start()` makes a task's function of a slice.
+
+    A batch is let go before the next one is read, so a worker holds one batch and the words of one slice.
+    """
+
+    def run(batches):
+        step = start()
+        for batch in batches:
+            yield from map(step, text_slices(batch, text))
+            del batch
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
 def lists_by_row(row: np.ndarray, values: pa.Array, rows: int) -> pa.ListArray:
     """One list for each of so many rows, from values in the order of their rows."""
     ends = np.cumsum(np.bincount(row, minlength=rows), dtype=np.int32)

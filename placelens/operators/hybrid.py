@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placelens.functions import fixed_values as fixed
-from placelens.functions.arrow_text import keyword_texts, lists_by_row, text_slices, text_words
+from placelens.functions.arrow_text import keyword_texts, lists_by_row, map_slices, text_words
 from placelens.functions.text import clean_keywords
 from placelens.operators.blocks import matrix, score_blocks, unit_rows
 from placelens.operators.phrases import PhraseFinder
@@ -95,27 +95,27 @@ def _sums_by_lookup(numbered: DataFrame, text: str, shared: Broadcast, dim: int,
     """
     schema = "_row bigint, _sum array<double>, _n bigint" + ", _rare array<string>" * with_rare
 
-    def add_up(batches):
+    def start():
         known = shared.value.column("word").combine_chunks()
         vectors = matrix(shared.value.column("vector"))
-        for batch in batches:
-            for part in text_slices(batch, text):
-                rows = part.num_rows
-                row, said = text_words(part.column(text))
-                at = pc.index_in(said, value_set=known.cast(said.type)).fill_null(-1).to_numpy(zero_copy_only=False)
-                ends = np.searchsorted(row, np.arange(1, rows))
-                sums, counts = np.zeros((rows, dim)), np.bincount(row[at >= 0], minlength=rows)
-                for i, here in enumerate(np.split(at, ends)):
-                    if counts[i]:
-                        sums[i] = vectors[here[here >= 0]].sum(axis=0)
-                flat = np.repeat(np.arange(rows), dim)
-                columns = [part.column("_row"), lists_by_row(flat, pa.array(sums.ravel()), rows), pa.array(counts)]
-                if with_rare:
-                    rare = said.filter(pa.array(at < 0))
-                    columns.append(lists_by_row(row[at < 0], rare, rows))
-                yield pa.RecordBatch.from_arrays(columns, names=["_row", "_sum", "_n", "_rare"][: len(columns)])
-
-    return numbered.select("_row", text).mapInArrow(add_up, schema)
+
+        def add_up(part):
+            rows = part.num_rows
+            row, said = text_words(part.column(text))
+            at = pc.index_in(said, value_set=known.cast(said.type)).fill_null(-1).to_numpy(zero_copy_only=False)
+            sums, counts = np.zeros((rows, dim)), np.bincount(row[at >= 0], minlength=rows)
+            for i, here in enumerate(np.split(at, np.searchsorted(row, np.arange(1, rows)))):
+                if counts[i]:
+                    sums[i] = vectors[here[here >= 0]].sum(axis=0)
+            flat = np.repeat(np.arange(rows), dim)
+            columns = [part.column("_row"), lists_by_row(flat, pa.array(sums.ravel()), rows), pa.array(counts)]
+            if with_rare:
+                columns.append(lists_by_row(row[at < 0], said.filter(pa.array(at < 0)), rows))
+            return pa.RecordBatch.from_arrays(columns, names=["_row", "_sum", "_n", "_rare"][: len(columns)])
+
+        return add_up
+
+    return map_slices(numbered.select("_row", text), text, schema, start)
 
 
 def phrase_scorer(queries: pa.Table):
@@ -135,20 +135,25 @@ def phrase_points(queries: pa.Table, texts: DataFrame) -> DataFrame:
     lists = [("_query", T.IntegerType()), ("_points", T.DoubleType())]
     kinds = [T.StructField("_row", T.LongType()), texts.schema["id"], *[T.StructField(n, T.ArrayType(t)) for n, t in lists]]
     schema = T.StructType(kinds)
+    names = schema.names
     shared = texts.sparkSession.sparkContext.broadcast(queries.select(["clean"]))
 
-    def find(batches):
+    def start():
         score = phrase_scorer(shared.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                points = score(pa.Table.from_batches([part])).T
+
+        def find(part):
+            found = []
+            for at in range(0, part.num_rows, 1024):
+                points = score(pa.Table.from_batches([part.slice(at, 1024)])).T
                 row, query = np.nonzero(points)
-                lists = [pa.array(query.astype(np.int32)), pa.array(points[row, query])]
-                found = [lists_by_row(row, x, part.num_rows) for x in lists]
-                yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("id"), *found], names=schema.names)
+                found.append((row + at, query.astype(np.int32), points[row, query]))
+            row, *values = map(np.concatenate, zip(*found))
+            lists = [lists_by_row(row, pa.array(x), part.num_rows) for x in values]
+            return pa.RecordBatch.from_arrays([part.column("_row"), part.column("id"), *lists], names=names)
+
+        return find
 
-    return texts.select("_row", "id", "clean", "name").mapInArrow(find, schema)
+    return map_slices(texts.select("_row", "id", "clean", "name"), "clean", schema, start)
 
 
 def hybrid_scorer(semantic: bool):
@@ -192,22 +197,20 @@ def hybrid_search(
     asked = mean_vectors(asked, "query_id", "clean", model)
     known = number_rows(cleaned_texts(usable.select("id", F.col("teks_mentah").alias("clean"), F.lower("nama").alias("name"))))
     vectors = row_vectors(known, "clean", model)
-    items = lambda block: phrase_points(block, known).join(vectors, "_row").drop("_row")
+    # Stored, so that no task needs the workers of two steps at a time.
+    items = lambda block: materialise(phrase_points(block, known)).join(vectors, "_row").drop("_row")
     size = size + 8 * F.size("vector")
     found = score_blocks(asked, items, hybrid_scorer(True), 2 * k, "query_id", "id", size, **blocks)
     return place_results(found, reviews, k, 1)
 
 
 def cleaned_texts(texts: DataFrame) -> DataFrame:
-    """The texts with `clean` as clean_keywords makes it, a slice at a time."""
+    """The texts with `clean` as clean_keywords makes it."""
 
-    def clean(batches):
-        for batch in batches:
-            for part in text_slices(batch, "clean"):
-                cleaned = keyword_texts(part.column("clean"))
-                yield part.set_column(part.schema.get_field_index("clean"), "clean", cleaned)
+    def clean(part):
+        return part.set_column(part.schema.get_field_index("clean"), "clean", keyword_texts(part.column("clean")))
 
-    return texts.mapInArrow(clean, texts.schema)
+    return map_slices(texts, "clean", texts.schema, lambda: clean)
 
 
 def search_summary(queries: DataFrame, results: DataFrame, name: str = "nama") -> DataFrame:

@@ -64,6 +64,17 @@ def map_slices(
     return df.mapInArrow(run, schema)
 
 
+def positions(said: pa.Array, known: pa.Array) -> np.ndarray:
+    """The first place of each word among the known ones, -1 for others; the hash table is of the words said, the fewer."""
+    coded = said.dictionary_encode()
+    at = pc.index_in(known.cast(said.type), value_set=coded.dictionary).fill_null(-1).to_numpy(zero_copy_only=False)
+    # From the last to the first, as the later of two writes stays.
+    found = np.flatnonzero(at >= 0)[::-1]
+    place = np.full(len(coded.dictionary), -1)
+    place[at[found]] = found
+    return place[coded.indices.to_numpy(zero_copy_only=False)]
+
+
 def lists_by_row(row: np.ndarray, values: pa.Array, rows: int) -> pa.ListArray:
     """One list for each of so many rows, from values in the order of their rows."""
     ends = np.cumsum(np.bincount(row, minlength=rows), dtype=np.int32)

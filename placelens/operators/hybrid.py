@@ -6,14 +6,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placelens.functions import fixed_values as fixed
-from placelens.functions.arrow_text import keyword_texts, lists_by_row, map_slices, text_words
+from placelens.functions.arrow_text import keyword_texts, lists_by_row, map_slices, positions, text_words
 from placelens.functions.text import clean_keywords
 from placelens.operators.blocks import matrix, score_blocks, unit_rows
 from placelens.operators.phrases import PhraseFinder
@@ -102,7 +101,7 @@ def _sums_by_lookup(numbered: DataFrame, text: str, shared: Broadcast, dim: int,
         def add_up(part):
             rows = part.num_rows
             row, said = text_words(part.column(text))
-            at = pc.index_in(said, value_set=known.cast(said.type)).fill_null(-1).to_numpy(zero_copy_only=False)
+            at = positions(said, known)
             sums, counts = np.zeros((rows, dim)), np.bincount(row[at >= 0], minlength=rows)
             for i, here in enumerate(np.split(at, np.searchsorted(row, np.arange(1, rows)))):
                 if counts[i]:

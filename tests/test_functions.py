@@ -13,7 +13,7 @@ from placelens.functions import metadata as M
 from placelens.functions import scraped as S
 from placelens.functions import text as X
 from placelens.functions import vectors as V
-from placelens.functions.arrow_text import keyword_texts, lists_by_row, text_slices, text_words
+from placelens.functions.arrow_text import keyword_texts, lists_by_row, positions, text_slices, text_words
 from placelens.operators.rerank import detect_intent
 
 
@@ -194,3 +194,10 @@ def test_arrow_text_of_odd_arrays():
     assert list(text_slices(batch.slice(0, 0), "t")) == []
     row, said = text_words(batch.column("t"))
     assert row.tolist() == [1, 3, 4, 5, 6] and said.to_pylist()[0] == "aaaa"
+
+
+def test_positions_are_the_first():
+    said, known = pa.array(["b", "x", "a", "b"]), pa.array(["a", "b", "b", "c"])
+    assert positions(said, known).tolist() == [1, -1, 0, 1]
+    assert positions(said, known.slice(0, 0)).tolist() == [-1] * 4
+    assert positions(said.slice(0, 0), known).tolist() == []
